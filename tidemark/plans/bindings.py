@@ -103,3 +103,37 @@ SELECT event_id, 'feed' AS source_name, event_type AS data_type,
 FROM events
 """,
 )
+
+
+def observation_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events as evaluated signals: a forecast, the outcome and its cost."""
+    k = F.get_json_object("props", "$.k").cast("double")
+    return table(spark, sf_dir, "events").select(
+        F.col("event_id").alias("seq"),
+        F.col("ts").alias("timestamp"),
+        F.col("event_type").alias("symbol"),
+        F.concat(F.lit("m"), (F.col("user_id") % 4).cast("string")).alias("model_family"),
+        F.when(k < 30, "calm").when(k < 60, "trend").when(k < 90, "stress").alias("regime"),
+        (((F.col("event_id") * 37) % 201 - 100) / F.lit(10000.0)).alias("prediction"),
+        ((k - 50.0) / 5000.0).alias("actual_return"),
+        F.lit(None).cast("double").alias("position"),
+        (F.lit(0.0004) + F.col("value") * 1e-7).alias("transaction_cost"),
+        F.lit(None).cast("double").alias("holding_seconds"),
+        F.when(F.col("user_id") % 3 == 0, True).when(F.col("user_id") % 3 == 1, False).alias("external_ai_available"),
+        (F.col("ts") - F.expr("interval 5 seconds")).alias("available_to_model_time"),
+        (F.col("ts") + F.expr("interval 15 minutes")).alias("label_available_time"),
+    )
+
+
+common(
+    "observations",
+    """
+SELECT event_id AS seq, ts AS timestamp, event_type AS symbol, 'm' || CAST(user_id % 4 AS VARCHAR) AS model_family,
+       CASE WHEN k < 30 THEN 'calm' WHEN k < 60 THEN 'trend' WHEN k < 90 THEN 'stress' END AS regime,
+       CAST((event_id * 37) % 201 - 100 AS DOUBLE) / 10000 AS prediction, (k - 50) / 5000 AS actual_return,
+       CAST(0.0004 AS DOUBLE) + value * CAST(1e-7 AS DOUBLE) AS transaction_cost,
+       CASE WHEN user_id % 3 = 0 THEN true WHEN user_id % 3 = 1 THEN false END AS external_ai_available,
+       ts - INTERVAL 5 SECONDS AS available_to_model_time, ts + INTERVAL 15 MINUTES AS label_available_time
+FROM (SELECT *, CAST(json_extract_string(props, '$.k') AS DOUBLE) AS k FROM events)
+""",
+)

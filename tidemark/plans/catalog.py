@@ -12,6 +12,8 @@ from tidemark.plans.registry import QUERIES, SQL
 
 _MODULES = (
     "market",
+    "research",
+    "learning",
 )
 
 for _module in _MODULES:
