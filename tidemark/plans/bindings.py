@@ -137,3 +137,42 @@ SELECT event_id AS seq, ts AS timestamp, event_type AS symbol, 'm' || CAST(user_
 FROM (SELECT *, CAST(json_extract_string(props, '$.k') AS DOUBLE) AS k FROM events)
 """,
 )
+
+
+# Invented headlines, so that the keyword rules meet words they know.
+HEADLINES = [
+    "Bitcoin rally sets record as spot ETF approved", "Exchange hack drains bridge wallet, funds stolen",
+    "Fed cuts rates as inflation eases, dollar falls", "SEC sues exchange over lawsuit and regulation breach",
+    "Ethereum upgrade: validator staking growth of 12.5%", "Solana halts after exploit, 1,250 users hit",
+    "Ripple partnership expands adoption", "False rumor: team denies hack, not hacked", "Stablecoin depeg fear, tether reserve probe",
+    "Liquidation cascade wipes 300 million", "Quiet market day", "Bankruptcy filing shocks, war sanction risk 7%",
+]
+
+
+def news_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Articles with an invented title and the document as body."""
+    titles = F.array(*[F.lit(h) for h in HEADLINES])
+    return (
+        article_rows(spark, sf_dir)
+        .withColumn("title", F.element_at(titles, (F.col("article_id") % len(HEADLINES) + 1).cast("int")))
+        .withColumn("text", F.concat_ws("\n", "title", "text"))
+    )
+
+
+common(
+    "news",
+    "SELECT a.* REPLACE (list_extract([" + ", ".join("'" + h.replace("'", "''") + "'" for h in HEADLINES)
+    + f"], CAST(article_id % {len(HEADLINES)} + 1 AS INTEGER)) || chr(10) || text AS text), "
+    + "list_extract([" + ", ".join("'" + h.replace("'", "''") + "'" for h in HEADLINES)
+    + f"], CAST(article_id % {len(HEADLINES)} + 1 AS INTEGER)) AS title FROM articles a",
+)
+
+MARKET = {"click": "BTCUSDT", "view": "ETHUSDT", "purchase": "SOLUSDT", "signup": "BNBUSDT", "error": "DOGEUSDT"}
+
+
+def market_symbol(column: str = "symbol"):
+    pairs = [F.lit(x) for item in MARKET.items() for x in item]
+    return F.element_at(F.create_map(*pairs), F.col(column))
+
+
+common("market", "SELECT * FROM (VALUES " + ", ".join(f"('{k}', '{v}')" for k, v in MARKET.items()) + ") m(kind, symbol)")

@@ -14,6 +14,8 @@ _MODULES = (
     "market",
     "research",
     "learning",
+    "newsroom",
+    "health",
 )
 
 for _module in _MODULES:
