@@ -164,9 +164,12 @@ def feature_diagnostics(
 
 def shadow_divergence(rows: DataFrame, shadows: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Mean relative gap between live forecasts and shadow forecasts of the same trace."""
-    live = rows.where(F.col("recent")).select(*keys, "trace_id", "prediction_id", F.col("expected_return").alias("x"))
+    live = rows.where(F.col("recent")).select(
+        *keys, "trace_id", F.col("prediction_id").cast("string").alias("prediction_id"), F.col("expected_return").alias("x")
+    )
     other = shadows.select(
-        F.col("family").alias("__f"), "trace_id", F.col("prediction_id").alias("__pid"), F.col("expected_return").alias("y")
+        F.col("family").alias("__f"), "trace_id", F.col("prediction_id").cast("string").alias("__pid"),
+        F.col("expected_return").alias("y"),
     )
     pairs = live.join(other, "trace_id").where((F.col("__pid") != F.col("prediction_id")) & (F.col("__f") == F.col("family")))
     scale = F.greatest(F.abs("x") + F.abs("y"), F.lit(1e-9))

@@ -16,6 +16,7 @@ _MODULES = (
     "learning",
     "newsroom",
     "health",
+    "scoring",
 )
 
 for _module in _MODULES:

@@ -50,6 +50,20 @@ def rnd(column: Column | str, digits: int = 6) -> Column:
     return F.round(column.cast("double"), digits) + F.lit(0.0)
 
 
+# Short decimals often end exactly half way between two rounded values, where the
+# last bit of a double decides.  The nudge moves them off the half in both engines.
+NUDGE = 1e-12
+
+
+def rnd_nudged(column: Column | str, digits: int = 6) -> Column:
+    column = F.col(column) if isinstance(column, str) else column
+    return F.round(column.cast("double") + F.lit(NUDGE), digits) + F.lit(0.0)
+
+
+def sql_nudged(values: list[str], digits: int = 6) -> str:
+    return ", ".join(f"round(CAST({v} AS DOUBLE) + {NUDGE}, {digits}) + 0.0 AS {v}" for v in values)
+
+
 def rounded(df: DataFrame, keep: list[str], values: list[str], digits: int = 6) -> DataFrame:
     return df.select(*keep, *[rnd(v, digits).alias(v) for v in values])
 
