@@ -233,3 +233,22 @@ def ema(value: Column, span: int, window: W, index: Column, seed: Column) -> Col
 def numbered(df: DataFrame, keys: Iterable[str], order: Sequence[str], width_seconds: int, time: str) -> DataFrame:
     """``positions`` over time blocks: the usual start for candle series."""
     return positions(df.withColumn(BLOCK, time_block(time, width_seconds)), list(keys), order).drop(BLOCK)
+
+
+def lag_across(
+    blocks: DataFrame, keys: Sequence[str], order: Sequence[str], values: Mapping[str, Column], block: str = BLOCK
+) -> DataFrame:
+    """Previous row's values per key over block boundaries.
+
+    Inside a block it is a plain lag; a block's first row takes the last row of
+    the key's block before, of which only one row per block is shuffled.
+    """
+    inside = W.partitionBy(*keys, block).orderBy(*order)
+    packed = F.struct(*[e.alias(n) for n, e in values.items()])
+    here = blocks.withColumn("__pack", packed).select(
+        "*", F.lag("__pack").over(inside).alias("__prev"), F.lead(F.lit(1)).over(inside).alias("__more")
+    )
+    seam = W.partitionBy(*keys).orderBy(block)
+    ends = here.where(F.col("__more").isNull()).select(*keys, block, F.lag("__pack").over(seam).alias("__seam"))
+    out = here.join(ends, [*keys, block]).withColumn("__prev", F.coalesce("__prev", "__seam"))
+    return out.select(*blocks.columns, *[F.col(f"__prev.{n}").alias(n) for n in values])

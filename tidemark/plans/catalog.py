@@ -17,6 +17,7 @@ _MODULES = (
     "newsroom",
     "health",
     "scoring",
+    "ledger",
 )
 
 for _module in _MODULES:
