@@ -175,3 +175,14 @@ def next_row_target(rows: DataFrame, value: str, width_seconds: int = WEEK) -> D
     df = row_halo(base, after=1, rows=8192)
     nxt = F.lead(value).over(W.partitionBy("symbol", BLOCK).orderBy("pos"))
     return drop_halo(df.withColumn("target_next", nxt)).drop("pos")
+
+
+def replay_rewards(
+    rows: DataFrame, ret: Column, drawdown: Column, carry: list[str], fee_rate: float = 0.0004
+) -> DataFrame:
+    """What BUY and HOLD would have earned on each labelled row."""
+    buy = ret - 2.0 * fee_rate + F.least(drawdown, F.lit(0.0)) * 0.25
+    cells = F.array(
+        F.struct(F.lit("BUY").alias("action"), buy.alias("reward")), F.struct(F.lit("HOLD").alias("action"), (-F.abs(ret) * 0.15).alias("reward"))
+    )
+    return rows.select(*carry, F.explode(cells).alias("c")).select(*carry, "c.*")

@@ -18,6 +18,8 @@ _MODULES = (
     "health",
     "scoring",
     "ledger",
+    "desk",
+    "library",
 )
 
 for _module in _MODULES:
