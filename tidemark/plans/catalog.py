@@ -20,6 +20,7 @@ _MODULES = (
     "ledger",
     "desk",
     "library",
+    "dataset",
 )
 
 for _module in _MODULES:

@@ -9,6 +9,7 @@ from tidemark.operators import documents as dc
 from tidemark.plans import bindings as b
 from tidemark.plans.newsroom import structured_articles
 from tidemark.plans.registry import common, query, rnd
+from tidemark.session import checkpointed
 
 _VOCAB = 8000
 
@@ -144,8 +145,10 @@ def chronological_document_parts(spark, sf):
 
 
 def _label_rows(spark, sf) -> DataFrame:
+    """Teacher labels as a stored table: written once, so that the checks read
+    plain columns instead of re-deriving the labels for every rule."""
     i = F.col("article_id")
-    rows = structured_articles(spark, sf)
+    rows = checkpointed(structured_articles(spark, sf))
     return rows.select(
         "article_id", "title", "text", F.when(i % 17 == 0, "not a number").otherwise(F.col("sentiment").cast("string")).alias("sentiment"),
         (F.col("severity") + F.when(i % 19 == 0, 1.0).otherwise(0.0)).alias("severity"), "importance", "novelty", "confidence",
@@ -172,7 +175,7 @@ def label_validation_rejects(spark, sf):
 @query(
     "structured_event_normaliser",
     """SELECT article_id, CASE WHEN article_id % 23 = 0 THEN 'gossip' ELSE event_type END AS event_type, CASE WHEN article_id % 29 = 0 THEN 'bullish' ELSE direction END AS direction, CASE WHEN article_id % 31 = 0 THEN 'short_term' ELSE time_horizon END AS time_horizon,
-      array_to_string(list_transform(affected_assets, lambda a: CASE WHEN article_id % 13 = 0 THEN a || 'USDT' WHEN article_id % 37 = 0 THEN NULL ELSE a END), ',') AS assets,
+      coalesce(array_to_string(list_transform(affected_assets, lambda a: CASE WHEN article_id % 13 = 0 THEN a || 'USDT' WHEN article_id % 37 = 0 THEN NULL ELSE a END), ','), '') AS assets,
       CASE WHEN article_id % 37 = 0 AND article_id % 13 <> 0 AND len(affected_assets) > 0 THEN 'invalid asset symbol' ELSE '' END AS asset_reasons FROM structured""",
     uses="articles news structured",
 )
@@ -186,7 +189,7 @@ def structured_event_normaliser(spark, sf):
 @query(
     "student_dataset_rows",
     """WITH r AS (SELECT h.article_id, h.content_hash, s.confidence FROM hashed h JOIN structured s USING (article_id) WHERE s.confidence >= 0.45)
-      SELECT article_id, content_hash, round(confidence, 6) + 0.0 AS confidence FROM (SELECT *, row_number() OVER (PARTITION BY content_hash ORDER BY article_id) AS n FROM r) WHERE n = 1""",
+      SELECT article_id, content_hash, round(CAST(confidence AS DOUBLE), 6) + 0.0 AS confidence FROM (SELECT *, row_number() OVER (PARTITION BY content_hash ORDER BY article_id) AS n FROM r) WHERE n = 1""",
     uses="articles news structured hashed",
 )
 def student_dataset_rows(spark, sf):
