@@ -41,7 +41,8 @@ def clock_features(time: str, whole_hours: bool = False) -> dict[str, Column]:
 
 
 def age_hours(time: Column, now: Column) -> Column:
-    return F.greatest((micros(now) - micros(time)) / 3.6e9, F.lit(0.0))
+    # greatest() skips nulls, and an unknown time must stay unknown.
+    return F.when(time.isNotNull(), F.greatest((micros(now) - micros(time)) / 3.6e9, F.lit(0.0)))
 
 
 def recency_weight(time: Column, now: Column, horizon_hours: float = 48.0, floor: float = 0.0) -> Column:

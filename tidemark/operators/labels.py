@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
-from tidemark.functions.numeric import change, clamp, zero
+from tidemark.functions.numeric import change, clamp, finite, zero
 from tidemark.operators.asof import asof_join
 from tidemark.operators.series import BLOCK, drop_halo, micros, numbered, row_halo, time_halo
 
@@ -186,3 +186,21 @@ def replay_rewards(
         F.struct(F.lit("BUY").alias("action"), buy.alias("reward")), F.struct(F.lit("HOLD").alias("action"), (-F.abs(ret) * 0.15).alias("reward"))
     )
     return rows.select(*carry, F.explode(cells).alias("c")).select(*carry, "c.*")
+
+
+def label_inventory(
+    rows: DataFrame, keys: list[str], label: str, decision: str, label_time: str | None, horizon_seconds: int, as_of: Column
+) -> DataFrame:
+    """Counts of finite, available, pending and unusable labels as of a time.
+
+    Without an explicit label time a label is known one horizon after the decision.
+    """
+    value = finite(F.col(label))
+    known = (F.col(label_time) if label_time else F.lit(None).cast("timestamp_ntz"))
+    known = F.coalesce(known, F.col(decision) + F.make_dt_interval(secs=F.lit(horizon_seconds).cast("decimal(18,6)")))
+    ready = value.isNotNull() & (known <= as_of)
+    return rows.groupBy(*keys).agg(
+        F.count(F.lit(1)).alias("total_rows"), F.count(value).alias("finite_label_rows"), F.count(F.when(ready, 1)).alias("available_labeled_rows"),
+        F.count(F.when(value.isNotNull() & (known > as_of), 1)).alias("pending_label_rows"), F.count(F.when(value.isNull(), 1)).alias("missing_or_invalid_label_rows"),
+        F.max(F.when(ready, known)).alias("newest_available_label_time"),
+    )

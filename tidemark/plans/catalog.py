@@ -21,6 +21,8 @@ _MODULES = (
     "desk",
     "library",
     "dataset",
+    "feeds",
+    "streams",
 )
 
 for _module in _MODULES:
