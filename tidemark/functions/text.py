@@ -117,20 +117,14 @@ def blended_sentiment(first: Column, second: Column) -> Column:
     return clamp(first * 0.55 + second * 0.45)
 
 
-def boundary_hits(lowered: Column, keywords: Sequence[str]) -> Column:
-    total = F.lit(0)
-    for k in keywords:
-        total = total + F.regexp_count(lowered, F.lit(rf"\b{k}\b"))
-    return total
-
-
 def structured_event(lowered: str, tokens: str, duplicate: Column) -> dict[str, Column]:
     """Counts behind the rule-based event: first columns, then ``structured_event_scores``."""
     low, toks = F.col(lowered), F.col(tokens)
     hits = {t: token_hits(toks, w) for t, w in lx.EVENT_TYPES.items()}
     best = F.greatest(*hits.values())
     kind = F.coalesce(*[F.when((best > 0) & (h == best), F.lit(t)) for t, h in hits.items()], F.lit("other"))
-    assets = {a: boundary_hits(low, w) for a, w in lx.EVENT_ASSETS.items()}
+    every = "|".join(k for w in lx.EVENT_ASSETS.values() for k in w)
+    named = F.regexp_extract_all(low, F.lit(rf"\b({every})\b"), F.lit(1))
     return {
         "positive": token_hits(toks, lx.EVENT_POSITIVE),
         "negative": token_hits(toks, lx.EVENT_NEGATIVE),
@@ -139,12 +133,17 @@ def structured_event(lowered: str, tokens: str, duplicate: Column) -> dict[str,
         "event_type": kind,
         "word_count": F.size(toks),
         "is_duplicate": duplicate,
-        "asset_hits": F.filter(
-            F.array(*[F.struct(F.lit(a).alias("asset"), h.alias("hits")) for a, h in assets.items()]), lambda a: a["hits"] > 0
-        ),
+        "asset_names": named,
     }
 
 
+def _asset_hits() -> Column:
+    """Assets named in the text with how often, from the extracted names."""
+    count = lambda w: F.size(F.filter("asset_names", lambda n: n.isin(*w)))
+    cells = [F.struct(F.lit(a).alias("asset"), count(w).alias("hits")) for a, w in lx.EVENT_ASSETS.items()]
+    return F.filter(F.array(*cells), lambda a: a["hits"] > 0)
+
+
 def structured_event_scores() -> dict[str, Column]:
     p, n, severe, hits, n_words = (F.col(c) for c in ("positive", "negative", "severe", "event_hits", "word_count"))
     kind = F.col("event_type")
@@ -160,9 +159,9 @@ def structured_event_scores() -> dict[str, Column]:
         "confidence": clamp(0.35 + F.least(p + n + hits, F.lit(6)) * 0.07, 0.0, 0.85),
         "time_horizon": F.when(severity >= 0.70, "immediate").when(kind.isin("macro", "regulatory", "protocol"), "medium_term")
         .when(kind == "other", "unknown").otherwise("short_term"),
-        "affected_assets": F.transform("asset_hits", lambda a: a["asset"]),
+        "affected_assets": F.transform(_asset_hits(), lambda a: a["asset"]),
         "asset_probabilities": F.transform(
-            "asset_hits",
+            _asset_hits(),
             lambda a: F.struct(a["asset"].alias("asset"), clamp(0.45 + F.least(a["hits"], F.lit(4)) * 0.10, 0.05, 0.95).alias("p")),
         ),
     }

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from decimal import Decimal
 
 from pyspark.sql import Column, DataFrame, functions as F
 
@@ -15,6 +16,12 @@ def floor_time(time: Column | str, seconds: int) -> Column:
     return F.timestamp_micros(F.floor(micros(time) / step).cast("long") * step).cast("timestamp_ntz")
 
 
+def _arrival(time: str, tie: str) -> Column:
+    """(time, tie) as one decimal: unlike a struct it stays in the hash aggregate."""
+    base = micros(time).cast("decimal(18,0)") * F.lit(Decimal(10) ** 19)
+    return (base + F.col(tie).cast("decimal(19,0)")).cast("decimal(38,0)")
+
+
 def resample_ticks(
     ticks: DataFrame,
     seconds: int,
@@ -25,7 +32,7 @@ def resample_ticks(
     tie: str | None = None,
 ) -> DataFrame:
     """OHLCV bars of raw ticks; partial aggregates run before the shuffle."""
-    order = F.struct(F.col(time), F.col(tie)) if tie else F.col(time)
+    order = _arrival(time, tie) if tie else F.col(time)
     return (
         ticks.groupBy(*keys, floor_time(time, seconds).alias("open_time"))
         .agg(

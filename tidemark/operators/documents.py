@@ -64,7 +64,8 @@ class TextStudent:
         logs = self.token_counts.select("task", "label", "token", F.log(F.col("n") + 1.0).alias("gain"))
         doc_tokens = token_table(docs, key, text)
         seen = doc_tokens.join(F.broadcast(logs), "token").groupBy(key, "task", "label").agg(F.sum(F.col("n") * F.col("gain")).alias("gain"))
-        sizes = docs.select(key, F.size(token_list(F.col(text), 2)).alias("size")).withColumn("__one", F.lit(0))
+        counted = doc_tokens.groupBy(key).agg(F.sum("n").alias("size"))
+        sizes = docs.select(key).join(counted, key, "left").select(key, F.coalesce("size", F.lit(0)).alias("size"), F.lit(0).alias("__one"))
         # One row per (task, label): a handful.
         grid = sizes.join(F.broadcast(facts.withColumn("__one", F.lit(0))), "__one").drop("__one")
         scored = grid.join(seen, [key, "task", "label"], "left").withColumn(

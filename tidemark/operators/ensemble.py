@@ -54,17 +54,16 @@ def signal_weights(
     family_seen = F.row_number().over(W.partitionBy(decision, "family").orderBy("__place")) > 1
     ranked = ranked.withColumn("__same", F.when(family_seen, threshold))
     if correlations is not None:
-        earlier = ranked.select(
-            decision, F.col("family").alias("__ef"), F.col("__place").alias("__ep"), F.col("signal_id").alias("__eid")
+        # A decision holds one signal per model, so the list of earlier families
+        # is as short as the model registry.
+        before = W.partitionBy(decision).orderBy("__place").rowsBetween(W.unboundedPreceding, -1)
+        pairs = ranked.withColumn("__before", F.collect_set("family").over(before)).select(
+            decision, "signal_id", "family", F.explode("__before").alias("__ef")
         )
         both = correlations.select(F.col("left_family").alias("family"), F.col("right_family").alias("__ef"), "correlation").union(
             correlations.select("right_family", "left_family", "correlation")
         )
-        found = (
-            ranked.select(decision, "signal_id", "family", "__place").join(earlier, decision).where(F.col("__ep") < F.col("__place"))
-            .join(both, ["family", "__ef"])
-            .groupBy(decision, "signal_id").agg(F.max(clamp("correlation")).alias("__corr"))
-        )
+        found = pairs.join(both, ["family", "__ef"]).groupBy(decision, "signal_id").agg(F.max(clamp("correlation")).alias("__corr"))
         ranked = ranked.join(found, [decision, "signal_id"], "left")
     else:
         ranked = ranked.withColumn("__corr", F.lit(None).cast("double"))

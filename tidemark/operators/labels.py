@@ -59,8 +59,9 @@ def barriers_by_time(
         F.min("low").over(frame).alias("__lo"),
         F.collect_list(F.struct("low", "high")).over(frame).alias("__bars"),
     )
-    stops = F.transform("__bars", lambda b: b["low"] / F.col("close") - 1.0 <= stop)
-    takes = F.transform("__bars", lambda b: b["high"] / F.col("close") - 1.0 >= take)
+    price = F.when(F.col("close") != 0, F.col("close"))
+    stops = F.transform("__bars", lambda b: b["low"] / price - 1.0 <= stop)
+    takes = F.transform("__bars", lambda b: b["high"] / price - 1.0 >= take)
     df = df.withColumn("__s", F.array_position(stops, True)).withColumn("__k", F.array_position(takes, True))
     usable = (F.col("close") != 0) & F.col("__hi").isNotNull()
     stop_first = (F.col("__s") > 0) & ((F.col("__k") == 0) | (F.col("__s") <= F.col("__k")))

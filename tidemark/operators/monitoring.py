@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from tidemark.functions.numeric import clamp, ratio, zero
 from tidemark.operators.asof import asof_join, latest_per_key
+from tidemark.session import checkpointed
 
 
 def unlabelled(signals: DataFrame, outcomes: DataFrame, key: str = "signal_id") -> DataFrame:
@@ -197,7 +198,8 @@ def rolling_health(
     outcomes: DataFrame, shadows: DataFrame | None = None, window: int = 100, min_reference: int = 10
 ) -> DataFrame:
     """Every rolling diagnostic of each signal family, with its health status."""
-    rows = windowed(outcomes, ["family"], window)
+    # At most two windows per family, read by every diagnostic below.
+    rows = checkpointed(windowed(outcomes, ["family"], window))
     keys = ["family"]
     out = basic_health(rows, keys, min_reference)
     for value, name in (("expected_return", "prediction_drift"), ("net_return", "historical_divergence")):

@@ -11,6 +11,7 @@ from tidemark.functions.clock import recency_weight
 from tidemark.functions.numeric import clamp, zero
 from tidemark.functions.text import any_phrase, base_asset, phrase_hits
 from tidemark.operators.asof import asof_join, interval_sums, latest_per_key
+from tidemark.session import checkpointed
 
 NEWS_VALUES = [
     "sentiment_score", "sentiment_confidence", "risk_score", "impact_score", "macro_related", "btc_related", "eth_related",
@@ -38,7 +39,8 @@ def window_means(rows: DataFrame, news: DataFrame, hours: float = 6.0) -> DataFr
             *[F.when((F.col(f"{s}_related") > 0) | (F.col("macro_related") > 0), F.lit(s)) for s in _SCOPES],
         )
     )
-    tagged = news.withColumn("scope", F.explode(member))
+    # Scores come from whole texts; they are stored once and read by three steps.
+    tagged = checkpointed(news.select("event_time", F.explode(member).alias("scope"), *NEWS_VALUES))
     tau = max(hours / 2.0, 1.0) * 3600.0
     sums = interval_sums(
         points, tagged, ["scope"], "as_of", "event_time", int(hours * 3600),

@@ -11,6 +11,7 @@ from tidemark.operators.asof import latest_per_key
 from tidemark.plans import bindings as b
 from tidemark.plans.newsroom import offline_articles
 from tidemark.plans.registry import SQL, query, rnd
+from tidemark.session import checkpointed
 
 
 def build_training_rows(
@@ -24,7 +25,7 @@ def build_training_rows(
     """
     features = with_columns(indicators.warmed_up(indicators.offline_features(candles)), clock_features("as_of"))
     targets = labels.labels_by_time(candles.withColumn("as_of", F.col("close_time")), fee_rate)
-    keys = features.select("symbol", "as_of")
+    keys = candles.select("symbol", F.col("close_time").alias("as_of"))
     read = news.window_means(keys, articles, news_hours)
     seen = news.external_summary(keys, events, event_hours)
     out = features.join(targets, ["symbol", "as_of"], "left").join(read, ["symbol", "as_of"], "left").join(seen, ["symbol", "as_of"], "left")
@@ -32,7 +33,7 @@ def build_training_rows(
 
 
 def _rows(spark, sf) -> DataFrame:
-    candles = b.candles(spark, sf).withColumn("symbol", b.market_symbol())
+    candles = checkpointed(b.candles(spark, sf).withColumn("symbol", b.market_symbol()))
     articles = offline_articles(spark, sf).withColumn("event_time", F.col("published_at"))
     events = b.external_events(spark, sf).select(
         F.when(F.col("symbol").isNotNull(), b.market_symbol("data_type")).alias("symbol"), "event_time", "numeric_value"

@@ -251,10 +251,16 @@ def ensemble_input(spark, sf) -> DataFrame:
 
 def family_pairs(spark, sf) -> DataFrame:
     """A correlation per family pair, measured on the forecasts themselves."""
-    f = forecasts(spark, sf).select("event_id", "family", "expected_return")
-    other = f.select("event_id", F.col("family").alias("right_family"), F.col("expected_return").alias("y"))
-    both = f.join(other, "event_id").where(F.col("family") < F.col("right_family"))
-    return both.groupBy(F.col("family").alias("left_family"), "right_family").agg(F.corr("expected_return", "y").alias("correlation"))
+    names = sorted(_F_SQL)
+    wide = forecasts(spark, sf).groupBy("event_id").agg(
+        *[F.max(F.when(F.col("family") == n, F.col("expected_return"))).alias(f"r{i}") for i, n in enumerate(names)]
+    )
+    spots = [(i, j) for i in range(len(names)) for j in range(i + 1, len(names))]
+    row = wide.agg(*[F.corr(f"r{i}", f"r{j}").alias(f"c{i}_{j}") for i, j in spots])
+    cells = F.array(
+        *[F.struct(F.lit(names[i]).alias("left_family"), F.lit(names[j]).alias("right_family"), F.col(f"c{i}_{j}").alias("correlation")) for i, j in spots]
+    )
+    return row.select(F.explode(cells).alias("c")).select("c.*")
 
 
 common(
