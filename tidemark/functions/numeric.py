@@ -40,3 +40,15 @@ def sigmoid(value: Column, bound: float = 20.0) -> Column:
 
 def zero(value: Column) -> Column:
     return F.coalesce(value, F.lit(0.0))
+
+
+def correlation(x: Column | str, y: Column | str) -> Column:
+    """Aggregate: Pearson correlation in [-1, 1], null with under two pairs or no variance.
+
+    The built-in one divides by zero variance, which is an error in ANSI mode.
+    """
+    x, y = _col(x), _col(y)
+    a, b = F.when(y.isNotNull(), x), F.when(x.isNotNull(), y)
+    sa, sb = F.stddev_pop(a), F.stddev_pop(b)
+    n = F.count(a)
+    return F.when((n >= 2) & (sa > 0) & (sb > 0), clamp(F.covar_pop(a, b) / F.when((sa > 0) & (sb > 0), sa * sb)))

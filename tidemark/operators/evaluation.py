@@ -6,7 +6,7 @@ from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
-from tidemark.functions.numeric import clamp, ratio
+from tidemark.functions.numeric import clamp, correlation, ratio
 from tidemark.operators.ranks import average_rank, quantiles, value_ranks
 from tidemark.operators.recurrence import linear_scan
 from tidemark.operators.series import BLOCK, micros, range_blocks
@@ -100,13 +100,12 @@ def _plain_metrics(rows: DataFrame, keys: Sequence[str]) -> DataFrame:
     active = F.col("position") != 0
     net, gross = F.col("net"), F.col("gross")
     hit = F.signum("prediction") == F.signum("actual")
-    spread = (F.stddev_pop("prediction") > 0) & (F.stddev_pop("actual") > 0)
     n = F.count(F.lit(1))
     return rows.groupBy(*keys).agg(
         n.alias("observation_count"),
         F.count(F.when(active, 1)).alias("active_observation_count"),
         (F.count(F.when(active, 1)) / n).alias("active_rate"),
-        clamp(F.when((n >= 2) & spread, F.corr("prediction", "actual"))).alias("information_coefficient"),
+        correlation("prediction", "actual").alias("information_coefficient"),
         F.avg(F.when(active, hit.cast("double"))).alias("directional_hit_rate"),
         F.avg(F.when(active, gross)).alias("gross_expectancy"),
         F.avg(F.when(active, net)).alias("net_expectancy"),
@@ -273,7 +272,7 @@ def evaluate(
     cov = F.col("sxy") - F.col("sx") * F.col("sy") / F.col("n")
     rank_ic = sums.select(
         *keys,
-        F.when((F.col("n") >= 2) & (vx > 0) & (vy > 0), clamp(cov / F.sqrt(vx * vy))).alias("rank_information_coefficient"),
+        F.when((F.col("n") >= 2) & (vx > 0) & (vy > 0), clamp(cov / F.sqrt(F.when((vx > 0) & (vy > 0), vx * vy)))).alias("rank_information_coefficient"),
     )
     out = _plain_metrics(blocks, keys).join(series, keys).join(var, keys, "left").join(tail, keys, "left").join(
         rank_ic, keys, "left"

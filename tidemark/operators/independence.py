@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window as W, functions as F
+from pyspark.sql import DataFrame, Window as W, functions as F
 
-from tidemark.functions.numeric import clamp
+from tidemark.functions.numeric import correlation
 from tidemark.operators.evaluation import evaluate
 from tidemark.operators.series import BLOCK, range_blocks, running
 from tidemark.session import checkpointed
@@ -45,13 +45,9 @@ def pair_correlations(series: DataFrame, feature_sets: DataFrame | None = None)
     right = series.select("timestamp", F.col("signal_id").alias("right_signal_id"), *[F.col(c).alias(f"r_{c}") for c in values])
     both = left.join(right, "timestamp").where(F.col("left_signal_id") < F.col("right_signal_id"))
 
-    def corr(c: str) -> Column:
-        spread = (F.count(F.lit(1)) >= 2) & (F.stddev_pop(f"l_{c}") > 0) & (F.stddev_pop(f"r_{c}") > 0)
-        return clamp(F.when(spread, F.corr(f"l_{c}", f"r_{c}")))
-
     pairs = both.groupBy("left_signal_id", "right_signal_id").agg(
         F.count(F.lit(1)).alias("aligned_observations"),
-        *[corr(c).alias(f"{c}_correlation") for c in values],
+        *[correlation(f"l_{c}", f"r_{c}").alias(f"{c}_correlation") for c in values],
         F.count(F.when((F.col("l_position") != 0) & (F.col("r_position") != 0), 1)).alias("__both"),
     )
     active = series.groupBy("signal_id").agg(F.count(F.when(F.col("position") != 0, 1)).alias("n"))

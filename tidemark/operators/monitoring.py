@@ -6,7 +6,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
-from tidemark.functions.numeric import clamp, ratio, zero
+from tidemark.functions.numeric import clamp, correlation, zero
 from tidemark.operators.asof import asof_join, latest_per_key
 from tidemark.session import checkpointed
 
@@ -98,7 +98,7 @@ def basic_health(rows: DataFrame, keys: Sequence[str], min_reference: int = 10)
     return rows.groupBy(*keys).agg(
         F.count(F.when(r, 1)).alias("observations"),
         F.count(F.when(~r, 1)).alias("reference_observations"),
-        F.when((F.stddev_pop(x) > 0) & (F.stddev_pop(y) > 0), F.corr(x, y)).alias("information_coefficient"),
+        correlation(x, y).alias("information_coefficient"),
         F.avg(y).alias("net_expectancy"),
         F.avg(F.when(r, hit)).alias("calibration_error"),
         F.coalesce(F.avg(F.when(r, F.col("missing_features").cast("double"))), F.lit(0.0)).alias("missing_feature_rate"),
@@ -120,7 +120,7 @@ def regime_dependence(rows: DataFrame, keys: Sequence[str]) -> DataFrame:
     total = F.sum("ss") - s * s / n
     between = F.sum(F.col("s") * F.col("s") / F.col("n")) - s * s / n
     return each.groupBy(*keys).agg(
-        F.when(n < 2, None).when(F.count(F.lit(1)) == 1, 1.0).when(total <= 1e-18, 0.0).otherwise(clamp(between / total, 0, 1)).alias("regime_dependence")
+        F.when(n < 2, None).when(F.count(F.lit(1)) == 1, 1.0).when(total <= 1e-18, 0.0).otherwise(clamp(between / F.when(total > 1e-18, total), 0, 1)).alias("regime_dependence")
     )
 
 
@@ -185,8 +185,8 @@ def correlation_increase(rows: DataFrame, min_points: int = 10) -> DataFrame:
     minute = rows.groupBy("family", "recent", F.date_trunc("minute", "observed_at").alias("m")).agg(F.avg("net_return").alias("r"))
     other = minute.select(F.col("family").alias("peer"), "recent", "m", F.col("r").alias("q"))
     both = minute.join(other, ["recent", "m"]).where(F.col("family") != F.col("peer"))
-    spread = (F.stddev_pop("r") > 0) & (F.stddev_pop("q") > 0) & (F.count(F.lit(1)) >= min_points)
-    corr = both.groupBy("family", "peer", "recent").agg(F.when(spread, F.corr("r", "q")).alias("c"))
+    enough = F.count(F.lit(1)) >= min_points
+    corr = both.groupBy("family", "peer", "recent").agg(F.when(enough, correlation("r", "q")).alias("c"))
     wide = corr.groupBy("family", "peer").agg(
         F.max(F.when(F.col("recent"), F.abs("c"))).alias("a"), F.max(F.when(~F.col("recent"), F.abs("c"))).alias("b")
     )
@@ -294,9 +294,8 @@ def family_correlations(outcomes: DataFrame, window: int = 100) -> DataFrame:
     left = minute.select(F.col("family").alias("left_family"), "m", F.col("r").alias("a"))
     right = minute.select(F.col("family").alias("right_family"), "m", F.col("r").alias("b"))
     both = left.join(right, "m").where(F.col("left_family") < F.col("right_family"))
-    spread = (F.stddev_pop("a") > 0) & (F.stddev_pop("b") > 0)
     return both.groupBy("left_family", "right_family").agg(
-        F.count(F.lit(1)).alias("points"), F.when(spread, F.corr("a", "b")).alias("correlation")
+        F.count(F.lit(1)).alias("points"), correlation("a", "b").alias("correlation")
     )
 
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from tidemark.functions import scores as sc
+from tidemark.functions.numeric import correlation
 from tidemark.functions import text as tx
 from tidemark.operators import ensemble as en
 from tidemark.plans import bindings as b
@@ -256,7 +257,7 @@ def family_pairs(spark, sf) -> DataFrame:
         *[F.max(F.when(F.col("family") == n, F.col("expected_return"))).alias(f"r{i}") for i, n in enumerate(names)]
     )
     spots = [(i, j) for i in range(len(names)) for j in range(i + 1, len(names))]
-    row = wide.agg(*[F.corr(f"r{i}", f"r{j}").alias(f"c{i}_{j}") for i, j in spots])
+    row = wide.agg(*[correlation(f"r{i}", f"r{j}").alias(f"c{i}_{j}") for i, j in spots])
     cells = F.array(
         *[F.struct(F.lit(names[i]).alias("left_family"), F.lit(names[j]).alias("right_family"), F.col(f"c{i}_{j}").alias("correlation")) for i, j in spots]
     )
