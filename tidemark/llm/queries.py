@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from tidemark.llm import language
 from tidemark.llm.minhash import near_duplicates
 from tidemark.llm.tables import table
 
@@ -16,8 +17,12 @@ def op1_minmax_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op2_language_models(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language.identify(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_minmax_near_duplicates,)}
+    return {f.__name__: f for f in (op1_minmax_near_duplicates, op2_language_models)}
 
 
 def oracle_sql() -> dict[str, str]:
