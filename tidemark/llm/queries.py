@@ -4,14 +4,17 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+import public_tokenizers
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tidemark.llm import language
+from tidemark.llm import decontaminate, language, packing, toxicity
 from tidemark.llm.minhash import near_duplicates
 from tidemark.llm.tables import table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
+VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
+
 
 def op1_minmax_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
@@ -21,8 +24,31 @@ def op2_language_models(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.identify(table(spark, sf_dir, "documents"))
 
 
+def op3_sum_of_squares_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pieces = packing.packed(table(spark, sf_dir, "documents"), VOCABULARY)
+    return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
+
+
+def op8_toxicity_models(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.scored(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op10_positional_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = decontaminate.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    named = F.sort_array(F.transform("items", lambda i: i.cast("string")))
+    return found.select(
+        "doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(F.concat_ws(",", named).cast("binary"), 256).alias("items_sha256"),
+        "contaminated", F.size("near_items").cast("long").alias("n_near_items"),
+    )
+
+
+_ALL = (
+    op1_minmax_near_duplicates, op2_language_models, op3_sum_of_squares_packing, op8_toxicity_models, op10_positional_decontamination,
+)
+
+
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_minmax_near_duplicates, op2_language_models)}
+    return {f.__name__: f for f in _ALL}
 
 
 def oracle_sql() -> dict[str, str]:
