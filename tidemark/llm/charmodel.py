@@ -23,6 +23,8 @@ from tidemark.llm.tables import stored
 
 BITS = 22
 _STEP = np.uint64(0x5851F42D4C957F2D)
+#: Bytes of text that are in hand at once; every order has a hash of each symbol.
+SLICE = 1_000_000
 #: Counts a task gathers before it hands them on.
 _HELD = 1_500_000
 
@@ -92,7 +94,7 @@ class _Counter:
     def __call__(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple[np.ndarray, ...]] = []
         for batch in batches:
-            for part in text_slices(batch):
+            for part in text_slices(batch, most=SLICE):
                 held.append(self._slice(part))
                 if sum(len(h[0]) for h in held) > _HELD:
                     held = [_added(held)]

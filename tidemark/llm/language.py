@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 from tidemark.llm.arrays import text_slices
-from tidemark.llm.charmodel import CharModel, fitted, gram_counts, isotonic, symbols, usable
+from tidemark.llm.charmodel import SLICE, CharModel, fitted, gram_counts, isotonic, symbols, usable
 
 ORDER = 4
 FOLDS = 5
@@ -43,7 +43,7 @@ class _Measure:
     def __call__(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model: CharModel = self.model.value
         for batch in batches:
-            for part in text_slices(batch):
+            for part in text_slices(batch, most=SLICE):
                 letters, best, entropy, evidence = self._measured(model, part.column("text"))
                 yield pa.RecordBatch.from_arrays(
                     [*[part.column(c) for c in self.columns], pa.array(letters, pa.int64()), pa.array(best, pa.int32()), pa.array(entropy), pa.array(evidence)],

@@ -1,8 +1,11 @@
 """Toxicity by class-conditional Kneser-Ney models over words.
 
-Each class has its own discounted word counts and backs off to one distribution that
-both share: in how many different texts, labelled or not, a word occurs.  A word that
-is rare everywhere is then equally likely in both classes.  A text is judged by its
+As Kneser-Ney lower orders do, all counts count contexts: in how many different texts a
+word occurs, so that a text that repeats a word says no more than one that does not.
+Each class discounts its counts and backs off to one distribution that both share,
+over all labelled texts.  A word that is rare everywhere is then about equally likely
+in both classes.  (Texts without a label stay out of it: they would count for frequent
+toxic words, which they hold too, but not for words of a single toxic text.)  A text is judged by its
 length-normalised log-likelihood ratio and by the ratio of its worst word, because one
 expression makes a long text toxic.
 
@@ -36,7 +39,7 @@ BITS = 21
 #: Labelled rows that calibrate the score, at most.
 FIT_ROWS = 20_000
 FIT_SHARE = 5
-_ORDINARY, _TOXIC, _UNLABELLED = 0, 1, 2
+_ORDINARY, _TOXIC = 0, 1
 _HELD = 1_000_000
 #: ASCII that is not a letter.
 _SEPARATORS = bytes(b for b in range(128) if not chr(b).isalpha())
@@ -48,7 +51,7 @@ def _words(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Per word: occurrences in ordinary and in toxic texts, and the number of texts."""
+    """Per word: the number of ordinary texts, of toxic texts, and of all texts."""
     held: list[tuple[np.ndarray, np.ndarray]] = []
     for batch in batches:
         for part in text_slices(batch):
@@ -64,13 +67,11 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _slice_counts(part: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
     hashes, first = _words(part.column("text"))
     text_of = np.repeat(np.arange(part.num_rows), np.diff(first))
-    classes = part.column("cls").to_numpy(zero_copy_only=False)[text_of]
     keys, inverse = np.unique(hashes, return_inverse=True)
-    counts = np.zeros((len(keys), 3), np.int64)
-    for c in (_ORDINARY, _TOXIC):
-        counts[:, c] = np.bincount(inverse[classes == c], minlength=len(keys))
-    once = np.unique(inverse.astype(np.int64) * max(part.num_rows, 1) + text_of)
-    counts[:, 2] = np.bincount(once // max(part.num_rows, 1), minlength=len(keys))
+    size = max(part.num_rows, 1)
+    word, text = np.divmod(np.unique(inverse.astype(np.int64) * size + text_of), size)
+    classes = part.column("cls").to_numpy(zero_copy_only=False)[text]
+    counts = np.stack([np.bincount(word[mine], minlength=len(keys)) for mine in (classes == _ORDINARY, classes == _TOXIC, slice(None))], axis=1)
     return keys, counts
 
 
@@ -103,7 +104,7 @@ class WordModel:
     """Slot counts by table, and the sums and discounts of a class."""
 
     counts: np.ndarray
-    tokens: list[float]
+    totals: list[float]
     discounts: list[list[float]]
     spare: list[float]
     all_texts: float
@@ -116,7 +117,7 @@ class WordModel:
         logs = []
         for c in (_ORDINARY, _TOXIC):
             discount = np.array(self.discounts[c])[np.minimum(seen[:, c], 3).astype(np.int64)]
-            logs.append(np.log(np.maximum(seen[:, c] - discount, 0) / self.tokens[c] + self.spare[c] * shared))
+            logs.append(np.log(np.maximum(seen[:, c] - discount, 0) / self.totals[c] + self.spare[c] * shared))
         return logs[_TOXIC] - logs[_ORDINARY]
 
 
@@ -232,9 +233,7 @@ def fit(docs: DataFrame, labels: DataFrame) -> ToxicityModel | None:
     fold, part = remainder("doc_id", FOLDS), F.pmod(F.xxhash64("doc_id"), F.lit(FIT_SHARE))
     marks = labels.where("toxic IS NOT NULL").groupBy("doc_id").agg(F.max("toxic").alias("toxic")).where(fold != HELD_OUT)
     texts = docs.select("doc_id", "text").where(fold != HELD_OUT)
-    classed = texts.join(marks.where(part != 0), "doc_id", "left").select(
-        "text", F.when(F.col("toxic").isNull(), _UNLABELLED).when(F.col("toxic") > 0, _TOXIC).otherwise(_ORDINARY).cast("int").alias("cls")
-    )
+    classed = texts.join(marks.where(part != 0), "doc_id").select("text", F.when(F.col("toxic") > 0, _TOXIC).otherwise(_ORDINARY).cast("int").alias("cls"))
     counted = classed.mapInArrow(_count, "word long, ordinary long, toxic long, texts long")
     model = word_model(stored(counted.groupBy("word").agg(*[F.sum(c).alias(c) for c in ("ordinary", "toxic", "texts")]), "words"))
     if model is None:
