@@ -80,7 +80,7 @@ def band_keys(low: np.ndarray, high: np.ndarray) -> np.ndarray:
     return mixed((ends * _BAND_FACTORS).sum(axis=2, dtype=np.uint64) + _BAND_SEEDS)
 
 
-_SKETCH = "doc_id {id}, n_shingles long, node binary, bands array<long>, signature binary"
+_SKETCH = "doc_id {id}, same long, n_shingles long, node binary, bands array<long>, signature binary"
 
 
 def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -97,9 +97,9 @@ def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     nodes[i] = _node(sets[i])
                     bands[i], signs[i] = keys[k], short[k].tobytes()
             yield pa.RecordBatch.from_arrays(
-                [part.column("doc_id"), pa.array([len(s) for s in sets], pa.int64()), pa.array(nodes, pa.binary()),
+                [part.column("doc_id"), part.column("same"), pa.array([len(s) for s in sets], pa.int64()), pa.array(nodes, pa.binary()),
                  pa.array(bands, pa.list_(pa.int64())), pa.array(signs, pa.binary())],
-                ["doc_id", "n_shingles", "node", "bands", "signature"],
+                ["doc_id", "same", "n_shingles", "node", "bands", "signature"],
             )
 
 
@@ -204,9 +204,11 @@ def components(edges: DataFrame) -> DataFrame:
     return roots
 
 
-def near_duplicates(docs: DataFrame) -> DataFrame:
+def near_duplicates(docs: DataFrame, same: bool = False) -> DataFrame:
     """doc_id, n_shingles, component_id (smallest linked doc_id), kept, per row of ``docs`` (doc_id, text).
 
+    With ``same`` also a hash of the text.
+
     A text without words, or a null text, has an empty set and is linked with nothing.
     Texts of fewer than five words are one shingle.  Rows that repeat a doc_id share
     its component; a null doc_id is ignored when the smallest is sought, and a row
@@ -214,7 +216,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     columns of ``docs`` are not read.
     """
     spark = docs.sparkSession
-    docs = docs.select("doc_id", "text")
+    docs = docs.select("doc_id", F.xxhash64("text").alias("same"), "text")
     kind = docs.schema["doc_id"].dataType.simpleString()
     sketches = stored(docs.mapInArrow(_sketch, _SKETCH.format(id=kind)), "sketches")
     filled = sketches.where("node IS NOT NULL")
@@ -230,8 +232,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     wanted = members.select("node").distinct().join(classes.select("node", "first_id"), "node")
     # A doc_id may repeat, with the same text or with another one.
     sets = stored(
-        docs.withColumn("same", F.xxhash64("text"))
-        .join(wanted.select(F.col("first_id").alias("id"), "node"), F.col("doc_id").eqNullSafe(F.col("id")))
+        docs.join(wanted.select(F.col("first_id").alias("id"), "node"), F.col("doc_id").eqNullSafe(F.col("id")))
         .groupBy("doc_id", "node", "same").agg(F.first("text").alias("text"))
         .select("node", "text").mapInArrow(_sets, "node binary, shingles array<long>"),
         "sets",
@@ -253,8 +254,25 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     own = own.withColumn("root", F.col("node")) if roots is None else own.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     least = own.groupBy("root").agg(F.min("first_id").alias("component_id"))
     known = stored(own.join(least, "root").select("node", "component_id"), "components")
-    out = sketches.select("doc_id", "n_shingles", "node").join(known, "node", "left")
+    hashed = ["same"] if same else []
+    out = sketches.select("doc_id", *hashed, "n_shingles", "node").join(known, "node", "left")
     component = F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("component_id"))
-    return out.select("doc_id", "n_shingles", component.alias("component_id")).withColumn(
+    return out.select("doc_id", *hashed, "n_shingles", component.alias("component_id")).withColumn(
         "kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.col("component_id").isNull())
     )
+
+
+def without_near_duplicates(docs: DataFrame) -> DataFrame:
+    """One row of ``docs`` for each group, with all its columns.
+
+    Rows are told by doc_id and text.  Of rows that repeat the doc_id and text of a
+    group's smallest document any one stays; rows without a doc_id are all kept.
+    """
+    found = near_duplicates(docs, same=True)
+    dropped = found.where(~F.col("kept")).select(F.col("doc_id").alias("__id"), F.col("same").alias("__same"))
+    repeated = found.where("kept AND doc_id IS NOT NULL").groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("doc_id")
+    rest = docs.join(dropped.distinct(), docs["doc_id"].eqNullSafe(F.col("__id")) & F.xxhash64(docs["text"]).eqNullSafe(F.col("__same")), "left_anti")
+    if repeated.isEmpty():
+        return rest
+    repeated = stored(repeated, "repeated")
+    return rest.join(repeated, "doc_id", "left_anti").unionByName(rest.join(repeated, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(*docs.columns))
