@@ -7,9 +7,10 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tidemark.llm import decontaminate, language, packing, toxicity
+from tidemark.llm import decontaminate, language, licences, packing, sharding, sketches, tokencount, toxicity, warc
 from tidemark.llm.minhash import near_duplicates
 from tidemark.llm.tables import table
+from tidemark.session import scratch_path
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -29,6 +30,39 @@ def op3_sum_of_squares_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
 
 
+def op4_licence_digests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = licences.scan(table(spark, sf_dir, "documents"), licences.known_licences(spark))
+    return found.withColumn("line_licences", F.concat_ws(",", "line_licences"))
+
+
+def op5_content_addressed_archive(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = scratch_path(spark, "archive")
+    warc.write(table(spark, sf_dir, "pages"), path)
+    return warc.read(spark, path).drop("url")
+
+
+def op6_kd_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    placed = sharding.shards(table(spark, sf_dir, "documents"), count=8)
+    return placed.withColumns({"law": F.lit("bytes"), "grown_shard": F.lit(None).cast("int")})
+
+
+def op7_paragraph_sketches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sketches.versions(table(spark, sf_dir, "documents")).withColumn("differing", F.size("differing").cast("long"))
+
+
+def op9_edit_aware_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Three edits of every document: an insertion, a deletion and a replacement at the end."""
+    n = F.char_length("text")
+    edits = F.array(
+        F.struct(F.floor(n / 3).cast("int").alias("start"), F.lit(0).alias("removed"), F.lit(" edited 12,").alias("inserted")),
+        F.struct(F.floor(n / 2).cast("int").alias("start"), F.lit(5).alias("removed"), F.lit("").alias("inserted")),
+        F.struct((n - 5).alias("start"), F.lit(16).alias("removed"), F.substring("text", 1, 20).alias("inserted")),
+    )
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", edits.alias("edits"))
+    done = tokencount.edited(tokencount.trees(docs, VOCABULARY), VOCABULARY)
+    return done.select("doc_id", "n_tokens", "edited_tokens", F.char_length("text").cast("long").alias("edited_chars"), "encoded_again")
+
+
 def op8_toxicity_models(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.scored(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -43,7 +77,8 @@ def op10_positional_decontamination(spark: SparkSession, sf_dir: str) -> DataFra
 
 
 _ALL = (
-    op1_minmax_near_duplicates, op2_language_models, op3_sum_of_squares_packing, op8_toxicity_models, op10_positional_decontamination,
+    op1_minmax_near_duplicates, op2_language_models, op3_sum_of_squares_packing, op4_licence_digests, op5_content_addressed_archive, op6_kd_shards,
+    op7_paragraph_sketches, op8_toxicity_models, op9_edit_aware_counts, op10_positional_decontamination,
 )
 
 
