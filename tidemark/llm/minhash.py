@@ -10,8 +10,8 @@ Equal shingle sets form a class first, so exact copies cost one row.  Inside a b
 bucket, members are compared with the bucket's hub only: a number of comparisons
 linear in the bucket.  Links are confirmed on full sets.  Members of a bucket that
 are then in different components meet other hubs, and what is still apart after
-``HUB_ROUNDS`` is compared exhaustively, in blocks, after a test on signatures.  A
-group of near copies is one component long before that.
+``HUB_ROUNDS`` is compared exhaustively: small groups after a test on signatures,
+large ones in blocks of full sets, inside tasks.  No pairs of a group are listed there.
 """
 
 from __future__ import annotations
@@ -33,6 +33,8 @@ BANDS = 32
 ROWS = 4
 HUB_ROUNDS = 3
 BLOCK = 64
+LARGE_BLOCK = 256
+_COLUMNS = 4096
 #: Pairs whose estimate from 128 values is below this are five deviations away from 0.75.
 ESTIMATE = 0.55
 SPACES = b"\x20\x09\x0a\x0b\x0c\x0d"
@@ -118,20 +120,63 @@ def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _likely(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Pairs across components of two blocks of a bucket whose signatures agree often enough."""
+    """Pairs across components of a small group whose signatures agree often enough."""
     for batch in batches:
         found_a, found_b = [], []
-        for one, two in zip(batch.column("one").to_pylist(), batch.column("two").to_pylist()):
-            x, y = (np.frombuffer(b"".join(m["signature"] for m in block), np.uint16).reshape(len(block), -1) for block in (one, two))
-            agree = (x[:, None, :] == y[None, :, :]).mean(axis=2)
+        for group in batch.column("content").to_pylist():
+            signs = np.frombuffer(b"".join(m["signature"] for m in group), np.uint16).reshape(len(group), -1)
+            agree = (signs[:, None, :] == signs[None, :, :]).mean(axis=2)
             for i, j in np.argwhere(agree >= ESTIMATE):
-                a, b = one[i], two[j]
-                if a["root"] != b["root"] and min(a["n"], b["n"]) * 100 >= SIMILARITY * max(a["n"], b["n"]):
-                    found_a.append(min(a["node"], b["node"]))
-                    found_b.append(max(a["node"], b["node"]))
+                a, b = group[i], group[j]
+                if a["node"] < b["node"] and a["root"] != b["root"] and min(a["n"], b["n"]) * 100 >= SIMILARITY * max(a["n"], b["n"]):
+                    found_a.append(a["node"])
+                    found_b.append(b["node"])
         yield pa.RecordBatch.from_arrays([pa.array(found_a, pa.binary()), pa.array(found_b, pa.binary())], ["a", "b"])
 
 
+def common_counts(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
+    """Sizes of the intersections of every left with every right set, over columns for what both sides hold."""
+    values = [np.concatenate(side) for side in (left, right)]
+    rows = [np.repeat(np.arange(len(side)), [len(s) for s in side]) for side in (left, right)]
+    shared = np.intersect1d(*values)
+    out = np.zeros((len(left), len(right)), np.float32)
+    places = []
+    for v, r in zip(values, rows):
+        at = np.minimum(np.searchsorted(shared, v), max(len(shared) - 1, 0))
+        held = shared[at] == v if len(shared) else np.zeros(len(v), bool)
+        places.append((at[held], r[held]))
+    for begin in range(0, len(shared), _COLUMNS):
+        sides = []
+        for (at, r), side in zip(places, (left, right)):
+            here = (at >= begin) & (at < begin + _COLUMNS)
+            held = np.zeros((len(side), min(_COLUMNS, len(shared) - begin)), np.float32)
+            held[r[here], at[here] - begin] = 1
+            sides.append(held)
+        out += sides[0] @ sides[1].T
+    return out
+
+
+def _linked_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Links across components between two blocks of a large group (or inside one), by their full sets."""
+    for batch in batches:
+        for k in range(batch.num_rows):
+            unit = batch.slice(k, 1)
+            content = unit.column("content").flatten()
+            blocks, nodes, roots = (content.field(f).to_pylist() for f in ("block", "node", "root"))
+            shingles = content.field("shingles")
+            ends = np.cumsum(shingles.value_lengths().to_numpy())
+            sets = np.split(shingles.flatten().to_numpy(), ends[:-1])
+            one = [i for i, b in enumerate(blocks) if b == unit.column("low")[0].as_py()]
+            two = [i for i, b in enumerate(blocks) if b == unit.column("high")[0].as_py()]
+            if not one or not two:
+                continue
+            common = common_counts([sets[i] for i in one], [sets[i] for i in two])
+            sizes = np.array([len(s) for s in sets])
+            union = sizes[one][:, None] + sizes[two][None, :] - common
+            pairs = [(nodes[one[i]], nodes[two[j]]) for i, j in np.argwhere(common * 100 >= union * SIMILARITY) if roots[one[i]] != roots[two[j]]]
+            yield pa.RecordBatch.from_arrays([pa.array([f(p) for p in pairs], pa.binary()) for f in (min, max)], ["a", "b"])
+
+
 def _sized() -> F.Column:
     return F.least("n", "other_n") * 100 >= F.greatest("n", "other_n") * SIMILARITY
 
@@ -148,21 +193,6 @@ def hub_pairs(members: DataFrame, salt: int) -> DataFrame:
     )
 
 
-def remaining_pairs(members: DataFrame, classes: DataFrame) -> DataFrame:
-    """All likely pairs across components inside a bucket, found block by block."""
-    sizes = members.groupBy("bucket").agg(F.count(F.lit(1)).alias("size"))
-    blocks = (
-        members.join(classes.select("node", "signature"), "node")
-        .join(sizes, "bucket")
-        .withColumn("block", F.pmod(F.xxhash64("node"), F.ceil(F.col("size") / BLOCK)))
-        .groupBy("bucket", "block")
-        .agg(F.collect_list(F.struct("node", "n", "root", "signature")).alias("content"))
-    )
-    two = blocks.select("bucket", F.col("block").alias("next"), F.col("content").alias("two"))
-    units = blocks.withColumnRenamed("content", "one").join(two, "bucket").where(F.col("block") <= F.col("next")).select("one", "two")
-    return units.mapInArrow(_likely, "a binary, b binary").distinct()
-
-
 def linked(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """The pairs whose full sets are similar enough."""
     both = (
@@ -174,6 +204,30 @@ def linked(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return both.where(F.col("common") * 100 >= union * SIMILARITY).select("a", "b")
 
 
+def remaining_links(members: DataFrame, classes: DataFrame, sets: DataFrame) -> DataFrame:
+    """All links across components between nodes that share a bucket.
+
+    Buckets with one hub form a group.  In a group of at most ``BLOCK`` nodes likely
+    pairs are listed and confirmed.  A larger one is cut into blocks by hash, and the
+    full sets of every two blocks are compared in one task, which emits links only.
+    """
+    hub = F.min(F.struct(F.xxhash64("node", F.lit(0)).alias("rank"), "node"))["node"].alias("hub")
+    groups = stored(members.join(members.groupBy("bucket").agg(hub), "bucket").select("hub", "node", "n", "root").distinct(), "groups")
+    sized = groups.join(groups.groupBy("hub").agg(F.count(F.lit(1)).alias("size")), "hub")
+    few = sized.where(F.col("size") <= BLOCK).join(classes.select("node", "signature"), "node")
+    pairs = few.groupBy("hub").agg(F.collect_list(F.struct("node", "n", "root", "signature")).alias("content")).mapInArrow(_likely, "a binary, b binary").distinct()
+    blocks = F.ceil(F.col("size") / LARGE_BLOCK)
+    block = F.pmod(F.xxhash64("node", F.lit(1)), blocks)
+    other = F.explode(F.sequence(F.lit(0).cast("long"), blocks - 1))
+    units = (
+        sized.where(F.col("size") > BLOCK).join(sets, "node")
+        .withColumn("block", block).withColumn("other", other)
+        .groupBy("hub", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"))
+        .agg(F.collect_list(F.struct("block", "node", "root", "shingles")).alias("content"))
+    )
+    return linked(pairs, sets).union(units.mapInArrow(_linked_blocks, "a binary, b binary")).distinct()
+
+
 def components(edges: DataFrame) -> DataFrame:
     """A common root for the nodes of every component, by contraction.
 
@@ -240,8 +294,7 @@ def near_duplicates(docs: DataFrame, same: bool = False) -> DataFrame:
     edges = spark.createDataFrame([], "a binary, b binary")
     roots = None
     for salt in range(HUB_ROUNDS + 1):
-        pairs = hub_pairs(members, salt) if salt < HUB_ROUNDS else remaining_pairs(members, classes)
-        fresh = stored(linked(pairs, sets), "links")
+        fresh = stored(linked(hub_pairs(members, salt), sets) if salt < HUB_ROUNDS else remaining_links(members, classes, sets), "links")
         if not fresh.isEmpty():
             edges = edges.union(fresh)
             roots = components(edges)
