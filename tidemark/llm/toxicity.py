@@ -233,14 +233,15 @@ def fit(docs: DataFrame, labels: DataFrame) -> ToxicityModel | None:
     fold, part = remainder("doc_id", FOLDS), F.pmod(F.xxhash64("doc_id"), F.lit(FIT_SHARE))
     marks = labels.where("toxic IS NOT NULL").groupBy("doc_id").agg(F.max("toxic").alias("toxic")).where(fold != HELD_OUT)
     texts = docs.select("doc_id", "text").where(fold != HELD_OUT)
-    classed = texts.join(marks.where(part != 0), "doc_id").select("text", F.when(F.col("toxic") > 0, _TOXIC).otherwise(_ORDINARY).cast("int").alias("cls"))
+    # One plan at every size: texts and labels meet by a shuffle, since labels have no bound.
+    classed = texts.join(marks.where(part != 0).hint("merge"), "doc_id").select("text", F.when(F.col("toxic") > 0, _TOXIC).otherwise(_ORDINARY).cast("int").alias("cls"))
     counted = classed.mapInArrow(_count, "word long, ordinary long, toxic long, texts long")
     model = word_model(stored(counted.groupBy("word").agg(*[F.sum(c).alias(c) for c in ("ordinary", "toxic", "texts")]), "words"))
     if model is None:
         return None
     out = ToxicityModel(spark.sparkContext.broadcast(model), [-4.0, 0.0, 1.0], [-1e9], [0.0])
     chosen = marks.where(part == 0).orderBy(F.xxhash64("doc_id", F.lit(1)), "doc_id").limit(FIT_ROWS)
-    sample = out.measured(texts.where(part == 0).join(chosen, "doc_id"), ["toxic"]).toPandas()
+    sample = out.measured(texts.where(part == 0).join(F.broadcast(chosen), "doc_id"), ["toxic"]).toPandas()
     toxic = (sample["toxic"] > 0).to_numpy().astype(float)
     if len(set(toxic)) == 2:
         out.weights = logistic(sample[["whole", "worst"]].to_numpy(), toxic)
