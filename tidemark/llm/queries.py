@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tidemark.llm import decontaminate, language, licences, packing, sharding, sketches, tokencount, toxicity, warc
+from tidemark.llm import decontaminate, language, licences, packing, sharding, sketches, sql, tokencount, toxicity, warc
 from tidemark.llm.minhash import near_duplicates
 from tidemark.llm.tables import table
 from tidemark.session import scratch_path
@@ -68,11 +68,11 @@ def op8_toxicity_models(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_positional_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = decontaminate.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    found = decontaminate.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), slack=0)
     named = F.sort_array(F.transform("items", lambda i: i.cast("string")))
     return found.select(
         "doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(F.concat_ws(",", named).cast("binary"), 256).alias("items_sha256"),
-        "contaminated", F.size("near_items").cast("long").alias("n_near_items"),
+        "contaminated",
     )
 
 
@@ -87,4 +87,4 @@ def queries() -> dict[str, Query]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(sql.ORACLES)
