@@ -192,13 +192,16 @@ def numbers(text: Column) -> Column:
     return F.regexp_extract_all(text, F.lit(f"({lx.NUMBER_PATTERN})"), F.lit(1))
 
 
-def claims(text: Column, most: int = 3) -> Column:
-    """The first sentences that state numbers, with up to twelve of their numbers."""
+def claims(text: Column, most: int | None = None, chars: int | None = None, figures: int | None = None) -> Column:
+    """Sentences that state numbers, with their numbers; all of them unless limits are given."""
     found = F.transform(
         sentences(text),
-        lambda s: F.struct(F.substring(s, 1, 1000).alias("claim"), F.slice(numbers(s), 1, 12).alias("numbers")),
+        lambda s: F.struct(
+            (F.substring(s, 1, chars) if chars else s).alias("claim"), (F.slice(numbers(s), 1, figures) if figures else numbers(s)).alias("numbers")
+        ),
     )
-    return F.slice(F.filter(found, lambda c: F.size(c["numbers"]) > 0), 1, most)
+    stating = F.filter(found, lambda c: F.size(c["numbers"]) > 0)
+    return F.slice(stating, 1, most) if most else stating
 
 
 def plain_numbers(values: Column) -> Column:
@@ -215,14 +218,17 @@ def _unescape(values: pd.Series) -> pd.Series:
     return values.map(html.unescape, na_action="ignore")
 
 
-# Entities decoded inside the JVM; texts with others take the Python decoder.
+# Entities decoded inside the JVM; only texts with others go to the Python decoder.
 _COMMON_ENTITIES = {
     "&lt;": "<", "&gt;": ">", "&quot;": '"', "&#39;": "'", "&apos;": "'", "&nbsp;": " ", "&copy;": "©",
     "&middot;": "·",
 }
 
 
-def decode_entities(text: Column) -> Column:
+_OTHER_ENTITY = r"&(?!(?:lt|gt|quot|#39|apos|nbsp|copy|middot|amp);)#?\w+;"
+
+
+def decode_common_entities(text: Column) -> Column:
     """Common entities only; ``&amp;`` last, so that nothing is decoded twice."""
     out = text
     for name, char in _COMMON_ENTITIES.items():
@@ -230,6 +236,11 @@ def decode_entities(text: Column) -> Column:
     return F.replace(out, F.lit("&amp;"), F.lit("&"))
 
 
+def decode_entities(text: Column) -> Column:
+    """All HTML entities, by name or number."""
+    return F.coalesce(_unescape(F.when(F.regexp_like(text, F.lit(_OTHER_ENTITY)), text)), decode_common_entities(text))
+
+
 def strip_markup(raw: Column) -> Column:
     """Text between tags; script, style, noscript and comments are dropped."""
     out = F.regexp_replace(raw, r"(?s)<!--.*?-->", " ")
@@ -243,9 +254,9 @@ def squeeze(text: Column) -> Column:
     return F.trim(F.regexp_replace(text, r"[\s ]+", " "))
 
 
-def clean_html(text: Column, every_entity: bool = False) -> Column:
-    """Plain text of an HTML snippet; ``every_entity`` decodes all HTML5 names."""
-    return squeeze(strip_markup(_unescape(text) if every_entity else decode_entities(text)))
+def clean_html(text: Column, every_entity: bool = True) -> Column:
+    """Plain text of an HTML snippet; without ``every_entity`` only common names are decoded."""
+    return squeeze(strip_markup(decode_entities(text) if every_entity else decode_common_entities(text)))
 
 
 def base_asset(symbol: Column) -> Column:

@@ -84,8 +84,16 @@ def asof_join(
     share a time; the last (first, looking forward) wins.  ``nearest`` prefers the
     earlier row when both sides are equally far.  ``width_seconds`` gives time
     blocks for regular series; otherwise the rows are range partitioned, so hot
-    keys and bursts are split.  Left rows without a time are dropped.
+    keys and bursts are split.  Left rows without a time or a key match nothing.
     """
+    nowhere = F.col(left_on).isNull()
+    for name in by:
+        nowhere = nowhere | F.col(name).isNull()
+    unmatched, left = left.where(nowhere), left.where(~nowhere)
+    types = {f.name: f.dataType for f in right.schema.fields}
+    blank = [F.lit(None).cast(types[source]).alias(name) for name, source in take.items()]
+    if matched_time:
+        blank.append(F.lit(None).cast(types[right_on]).alias(matched_time))
     args = (by, left_on, right_on, take)
     rest = (allow_exact, tie, width_seconds)
     if direction == "nearest":
@@ -108,7 +116,8 @@ def asof_join(
     columns = [F.col(f"__m.{name}").alias(name) for name in take]
     if matched_time:
         columns.append(F.col("__m.__time").alias(matched_time))
-    return found.select(*[F.col(c) for c in left.columns], *columns)
+    found = found.select(*[F.col(c) for c in left.columns], *columns)
+    return found.unionByName(unmatched.select(*[F.col(c) for c in left.columns], *blank))
 
 
 def interval_sums(
@@ -193,7 +202,7 @@ def interval_sums(
 
 
 def latest_per_key(df: DataFrame, keys: Sequence[str], order: Sequence[Column], n: int = 1) -> DataFrame:
-    """The ``n`` newest rows per key; the rank filter is also applied map-side."""
+    """The ``n`` newest rows per key.  For small ``n`` Spark also ranks before the shuffle; a large one moves all rows."""
     return (
         df.withColumn("__rank", F.row_number().over(W.partitionBy(*keys).orderBy(*order)))
         .where(F.col("__rank") <= n)

@@ -20,18 +20,20 @@ def token_table(docs: DataFrame, key: str, text: str) -> DataFrame:
 
 
 class TextStudent:
-    """Multinomial naive Bayes with add-one smoothing over a bounded vocabulary.
+    """Multinomial naive Bayes with add-one smoothing.
 
-    Training is three aggregates.  The vocabulary, and with it every table that
-    is broadcast for scoring, holds at most ``vocabulary`` tokens per label.
+    Training is three aggregates.  All tokens count unless ``vocabulary`` keeps the most
+    frequent ones; tables of tokens are joined without a hint, by their size.
     """
 
-    def __init__(self, docs: DataFrame, key: str, text: str, tasks: Sequence[str], vocabulary: int = 8000) -> None:
+    def __init__(self, docs: DataFrame, key: str, text: str, tasks: Sequence[str], vocabulary: int | None = None) -> None:
         labelled = docs.select(key, text, *[F.col(t).cast("string").alias(t) for t in tasks])
         tokens = labelled.select(*tasks, F.explode(token_list(F.col(text), 2)).alias("token"))
         by_labels = tokens.groupBy(*tasks, "token").agg(F.count(F.lit(1)).alias("n"))
-        self.vocabulary = by_labels.groupBy("token").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "token").limit(vocabulary)
-        kept = by_labels.join(F.broadcast(self.vocabulary.select("token")), "token", "left_semi")
+        self.vocabulary, kept = by_labels.groupBy("token").agg(F.sum("n").alias("n")), by_labels
+        if vocabulary is not None:
+            self.vocabulary = self.vocabulary.orderBy(F.desc("n"), "token").limit(vocabulary)
+            kept = by_labels.join(self.vocabulary.select("token"), "token", "left_semi")
 
         def stacked(df: DataFrame, extra: Sequence[str]) -> DataFrame:
             cells = F.array(*[F.struct(F.lit(t).alias("task"), F.col(t).alias("label")) for t in tasks])
@@ -63,7 +65,7 @@ class TextStudent:
         ).withColumn("prior", F.log((F.col("rows") + 1) / (F.col("task_rows") + F.col("labels"))))
         logs = self.token_counts.select("task", "label", "token", F.log(F.col("n") + 1.0).alias("gain"))
         doc_tokens = token_table(docs, key, text)
-        seen = doc_tokens.join(F.broadcast(logs), "token").groupBy(key, "task", "label").agg(F.sum(F.col("n") * F.col("gain")).alias("gain"))
+        seen = doc_tokens.join(logs, "token").groupBy(key, "task", "label").agg(F.sum(F.col("n") * F.col("gain")).alias("gain"))
         counted = doc_tokens.groupBy(key).agg(F.sum("n").alias("size"))
         sizes = docs.select(key).join(counted, key, "left").select(key, F.coalesce("size", F.lit(0)).alias("size"), F.lit(0).alias("__one"))
         # One row per (task, label): a handful.

@@ -17,11 +17,6 @@ from tidemark.operators.ranks import quantiles, value_ranks
 from tidemark.operators.series import micros
 from tidemark.session import checkpointed
 
-# Beyond this many features the sums are made by numpy in the tasks instead of
-# one generated aggregate expression per pair.
-WIDE = 20
-
-
 @dataclass(frozen=True)
 class LinearModel:
     features: tuple[str, ...]
@@ -38,8 +33,9 @@ class LinearModel:
 def gram(df: DataFrame, features: Sequence[str], target: str, group: str, weight: str | None = None) -> dict:
     """Weighted second moments of (1, features, target) per ``group`` value.
 
-    The result holds (p + 2)^2 numbers per group; the groups are folds or model
-    scopes, never rows.
+    A row with a null or NaN feature, target or weight is left out of all of them.  The
+    sums are made by numpy in the tasks, whatever the number of features.  The result
+    holds (p + 2)^2 numbers per group; the groups are folds or model scopes, never rows.
     """
     columns = ["__one", *features, target]
     staged = df.select(
@@ -47,21 +43,9 @@ def gram(df: DataFrame, features: Sequence[str], target: str, group: str, weight
         F.lit(1.0).alias("__one"),
         *[F.col(c).cast("double").alias(c) for c in [*features, target]],
         (F.col(weight).cast("double") if weight else F.lit(1.0)).alias("__w"),
-    )
+    ).dropna(subset=[*features, target, "__w"])
     size = len(columns)
     out: dict = {}
-    if size <= WIDE:
-        pairs = [(i, j) for i in range(size) for j in range(i, size)]
-        sums = staged.groupBy("__g").agg(
-            *[F.sum(F.col("__w") * F.col(columns[i]) * F.col(columns[j])).alias(f"s_{i}_{j}") for i, j in pairs]
-        )
-        for row in sums.collect():
-            m = np.zeros((size, size))
-            for i, j in pairs:
-                m[i, j] = m[j, i] = row[f"s_{i}_{j}"]
-            out[row["__g"]] = m
-        return out
-
     def partial(batches: Iterable[pd.DataFrame]):
         totals: dict = {}
         for pdf in batches:
@@ -191,7 +175,7 @@ def candidate_grid(
     usable: Sequence[str],
     alphas: Sequence[float] = (0.1, 1.0, 10.0),
     robust: frozenset[str] = frozenset(),
-    widest: int = 128,
+    widest: int | None = None,
 ) -> tuple[list[Candidate], list[str]]:
     """Families x penalties with stable ids; families without usable columns are reported."""
     out, missing = [], []

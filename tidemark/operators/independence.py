@@ -80,7 +80,7 @@ def pair_correlations(series: DataFrame, feature_sets: DataFrame | None = None)
     )
 
 
-def connected_groups(nodes: DataFrame, edges: DataFrame, limit: int = 64) -> DataFrame:
+def connected_groups(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """Smallest member of each node's component, by min-label spreading with shortcuts.
 
     Each round takes the least label among neighbours and then jumps to that
@@ -89,7 +89,7 @@ def connected_groups(nodes: DataFrame, edges: DataFrame, limit: int = 64) -> Dat
     """
     links = edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct()
     labels = checkpointed(nodes.select(F.col("node"), F.col("node").alias("label")))
-    for _ in range(limit):
+    while True:
         near = (
             links.join(labels.select(F.col("node").alias("b"), "label"), "b")
             .groupBy(F.col("a").alias("node")).agg(F.min("label").alias("near"))
@@ -103,7 +103,6 @@ def connected_groups(nodes: DataFrame, edges: DataFrame, limit: int = 64) -> Dat
         labels = following.select("node", "label")
         if not changed:
             return labels
-    raise RuntimeError("component labels did not settle")
 
 
 def correlated_groups(pairs: DataFrame, threshold: float = 0.8) -> DataFrame:

@@ -159,16 +159,18 @@ def manifest_facts(
 ) -> DataFrame:
     """Rows, time range, symbols and an order-free content hash per table.
 
+    The hash is the sum of 32-bit row digests, as text: a decimal sum cannot overflow.
+
     Each table is read once with map-side aggregation.  ``tables`` maps a name to
     (rows, time column, symbol column, hashed columns).
     """
     parts = None
     for name, (df, time, symbol, columns) in tables.items():
-        digest = F.conv(F.substring(F.md5(F.concat_ws("|", *[F.col(c).cast("string") for c in columns])), 1, 8), 16, 10).cast("long")
+        digest = F.conv(F.substring(F.md5(F.concat_ws("|", *[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in columns])), 1, 8), 16, 10).cast("long")
         one = df.agg(
             F.count(F.lit(1)).alias("row_count"), F.min(time).alias("first_timestamp"), F.max(time).alias("last_timestamp"),
             (F.countDistinct(symbol) if symbol else F.lit(0).cast("long")).alias("symbols"),
-            F.coalesce(F.sum(digest), F.lit(0)).alias("content_hash"),
+            F.coalesce(F.sum(digest.cast("decimal(10,0)")), F.lit(0).cast("decimal(20,0)")).cast("string").alias("content_hash"),
         ).select(F.lit(name).alias("table_name"), "*")
         parts = one if parts is None else parts.unionByName(one)
     return parts

@@ -63,14 +63,14 @@ def trade_summary(trades: DataFrame, pnl: str, keys: Sequence[str] = ()) -> Data
 
 
 def provider_ledger(requests: DataFrame, today: Column, http: str = "attempts") -> DataFrame:
-    """Daily requests, spend, last request and failures since the newest success, per provider."""
+    """Daily requests, spend of the month, last request and failures since the newest success, per provider."""
     at = F.col("requested_at")
     last_ok = requests.where(F.col("status") == "SUCCESS").groupBy("provider").agg(F.max(F.struct("requested_at", "request_id")).alias("__ok"))
     both = requests.join(last_ok, "provider", "left")
     after = F.col("__ok").isNull() | (F.struct("requested_at", "request_id") > F.col("__ok"))
     return both.groupBy("provider").agg(
         zero(F.sum(F.when(F.to_date(at) == today, F.col(http)))).cast("long").alias("daily_requests"),
-        zero(F.sum(F.greatest("cost", F.lit(0.0)) * F.col(http))).alias("monthly_spend"), F.max(at).alias("last_requested"),
+        zero(F.sum(F.when(F.trunc(F.to_date(at), "month") == F.trunc(today, "month"), F.greatest("cost", F.lit(0.0)) * F.col(http)))).alias("monthly_spend"), F.max(at).alias("last_requested"),
         zero(F.sum(F.when(after & (F.col("status") == "FAILED"), F.col(http)))).cast("long").alias("consecutive_failures"),
     )
 

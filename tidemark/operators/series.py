@@ -39,12 +39,24 @@ def range_blocks(df: DataFrame, keys: Sequence[str], order: Sequence[str]) -> Da
 
     The run number is the range partition, so a key holding a third of all rows
     spreads over a third of the partitions.  Range bounds are sampled, therefore
-    the labelled rows are checkpointed before anything reads them twice.
+    the labelled rows are checkpointed before anything reads them twice.  The number
+    of runs is given, so adaptive execution does not put them together again.
     """
-    ranged = df.repartitionByRange(*[F.col(c) for c in (*keys, *order)])
+    runs = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ranged = df.repartitionByRange(runs, *[F.col(c) for c in (*keys, *order)])
     return checkpointed(ranged.withColumn(BLOCK, F.spark_partition_id().cast("long")))
 
 
+def meet(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Inner join on ``keys`` in which null keys meet, with the keys of ``left``."""
+    renamed = right.select(*[F.col(k).alias(f"__r_{k}") for k in keys], *[c for c in right.columns if c not in keys])
+    same = [F.col(k).eqNullSafe(F.col(f"__r_{k}")) for k in keys]
+    on = same[0]
+    for condition in same[1:]:
+        on = on & condition
+    return left.join(renamed, on).drop(*[f"__r_{k}" for k in keys])
+
+
 def positions(
     df: DataFrame, keys: Sequence[str], order: Sequence[str], block: str = BLOCK, name: str = "pos"
 ) -> DataFrame:
@@ -59,7 +71,7 @@ def positions(
         .select(*keys, block, F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__off"))
     )
     return (
-        local.join(offsets, [*keys, block])
+        meet(local, offsets, [*keys, block])
         .withColumn(name, F.col("__off") + F.col("__rn") - 1)
         .drop("__off", "__rn")
     )
@@ -171,7 +183,7 @@ def running(
     here = staged.select(
         "*", *[_AGGREGATE[kind](f"__v_{name}").over(local).alias(f"__l_{name}") for name, (kind, _) in specs.items()]
     )
-    joined = here.join(carries, [*keys, block])
+    joined = meet(here, carries, [*keys, block])
     out = joined.select(
         *[c for c in df.columns],
         *[
@@ -209,7 +221,7 @@ def running_last(
         *keys, block, F.last("__here", ignorenulls=True).over(before).alias("__carry")
     )
     return (
-        here.join(carries, [*keys, block])
+        meet(here, carries, [*keys, block])
         .withColumn(name, F.coalesce("__here", "__carry"))
         .drop("__v", "__here", "__more", "__carry")
     )
@@ -250,5 +262,5 @@ def lag_across(
     )
     seam = W.partitionBy(*keys).orderBy(block)
     ends = here.where(F.col("__more").isNull()).select(*keys, block, F.lag("__pack").over(seam).alias("__seam"))
-    out = here.join(ends, [*keys, block]).withColumn("__prev", F.coalesce("__prev", "__seam"))
+    out = meet(here, ends, [*keys, block]).withColumn("__prev", F.coalesce("__prev", "__seam"))
     return out.select(*blocks.columns, *[F.col(f"__prev.{n}").alias(n) for n in values])

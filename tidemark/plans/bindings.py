@@ -8,19 +8,9 @@ from tidemark.operators.bars import resample_ticks
 from tidemark.plans.registry import common
 
 
-# Tables whose rows are expensive to work on before their first shuffle.
-_BUSY = {"events", "documents", "pages", "lineitem"}
-
-
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """A given table; one stored as fewer files than there are cores is spread first.
-
-    A small table is a single split, hence a single task for all row work.  A table
-    of many files is read as it is, without the extra shuffle.
-    """
-    df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
-    cores = spark.sparkContext.defaultParallelism
-    return df.repartition(cores) if name in _BUSY and len(df.inputFiles()) < cores else df
+    """A given table as it is stored; files are split by ``spark.sql.files.maxPartitionBytes``."""
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def ticks(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -158,7 +158,7 @@ def table_row_counts(spark, sf):
     "provider_usage_ledger",
     """WITH r AS (SELECT 'p' || CAST(user_id % 6 AS VARCHAR) AS provider, event_id, ts, CASE WHEN event_type = 'purchase' THEN 'SUCCESS' WHEN event_type = 'error' THEN 'FAILED' ELSE 'TIMEOUT' END AS status, event_id % 3 + 1 AS attempts, value / 1000 AS cost FROM events),
       s AS (SELECT provider, max((ts, event_id)) AS ok FROM r WHERE status = 'SUCCESS' GROUP BY provider)
-      SELECT r.provider, CAST(sum(CASE WHEN CAST(ts AS DATE) = DATE '2024-01-15' THEN attempts ELSE 0 END) AS BIGINT) AS daily_requests, round(sum(cost * attempts), 6) + 0.0 AS monthly_spend, max(ts) AS last_requested,
+      SELECT r.provider, CAST(sum(CASE WHEN CAST(ts AS DATE) = DATE '2024-01-15' THEN attempts ELSE 0 END) AS BIGINT) AS daily_requests, round(coalesce(sum(CASE WHEN date_trunc('month', ts) = DATE '2024-01-01' THEN cost * attempts END), 0), 6) + 0.0 AS monthly_spend, max(ts) AS last_requested,
         CAST(coalesce(sum(CASE WHEN status = 'FAILED' AND (ok IS NULL OR (ts, event_id) > ok) THEN attempts END), 0) AS BIGINT) AS consecutive_failures FROM r LEFT JOIN s USING (provider) GROUP BY r.provider""",
 )
 def provider_usage_ledger(spark, sf):

@@ -304,25 +304,36 @@ def feature_snapshot_checks(spark, sf):
     return out.select("event_id", "leaks", F.array_join("missing_required", ",").alias("missing_required"), rnd("oldest_seconds").alias("oldest_seconds"))
 
 
+#: Every column of a table; times and decimals as whole numbers, which both engines print alike.
+_HASHED = {
+    "events": ["event_id", "ts_us", "user_id", "event_type", "value_e4", "props"],
+    "orders": ["o_orderkey", "o_custkey", "o_orderstatus", "price_e2", "date_us", "o_orderpriority"],
+    "documents": ["article_id", "source", "provider", "text", "n_chars"],
+}
+
+
 def _tables(spark, sf, lossy: bool = False):
-    events, orders = b.table(spark, sf, "events"), b.table(spark, sf, "orders")
+    micros = lambda c: F.unix_micros(F.col(c).cast("timestamp"))
+    events = b.table(spark, sf, "events").withColumns({"ts_us": micros("ts"), "value_e4": F.round(F.col("value") * 10_000).cast("long")})
+    orders = b.table(spark, sf, "orders").withColumns({"date_us": micros("o_orderdate"), "price_e2": F.round(F.col("o_totalprice") * 100).cast("long")})
     if lossy:
         events = events.where(F.col("event_type") != "error")
     return {
-        "events": (events, "ts", "event_type", ["event_id", "event_type", "user_id"]),
-        "orders": (orders, "o_orderdate", "o_orderstatus", ["o_orderkey", "o_custkey", "o_orderstatus"]),
-        "documents": (b.article_rows(spark, sf), "published_at", None, ["article_id", "source", "n_chars"]),
+        "events": (events, "ts", "event_type", _HASHED["events"]),
+        "orders": (orders, "o_orderdate", "o_orderstatus", _HASHED["orders"]),
+        "documents": (b.article_rows(spark, sf), "published_at", None, _HASHED["documents"]),
     }
 
 
 def _facts_sql(name, src, time, sym, cols):
-    h = "concat_ws('|', " + ", ".join(cols) + ")"
-    return f"SELECT '{name}' AS table_name, count(*) AS row_count, min({time}) AS first_timestamp, max({time}) AS last_timestamp, {f'count(DISTINCT {sym})' if sym else 'CAST(0 AS BIGINT)'} AS symbols, CAST(sum(CAST('0x' || substr(md5({h}), 1, 8) AS BIGINT)) AS BIGINT) AS content_hash FROM {src}"
+    h = "concat_ws('|', " + ", ".join(f"coalesce(CAST({c} AS VARCHAR), '')" for c in cols) + ")"
+    return f"SELECT '{name}' AS table_name, count(*) AS row_count, min({time}) AS first_timestamp, max({time}) AS last_timestamp, {f'count(DISTINCT {sym})' if sym else 'CAST(0 AS BIGINT)'} AS symbols, CAST(sum(CAST('0x' || substr(md5({h}), 1, 8) AS BIGINT)) AS VARCHAR) AS content_hash FROM {src}"
 
 
 _FACTS = [
-    ("events", "events", "ts", "event_type", ["event_id", "event_type", "user_id"]), ("orders", "orders", "o_orderdate", "o_orderstatus", ["o_orderkey", "o_custkey", "o_orderstatus"]),
-    ("documents", "articles", "published_at", None, ["article_id", "source", "n_chars"]),
+    ("events", "(SELECT *, epoch_us(ts) AS ts_us, CAST(round(value * 10000) AS BIGINT) AS value_e4 FROM events)", "ts", "event_type", _HASHED["events"]),
+    ("orders", "(SELECT *, epoch_us(o_orderdate) AS date_us, CAST(round(o_totalprice * 100) AS BIGINT) AS price_e2 FROM orders)", "o_orderdate", "o_orderstatus", _HASHED["orders"]),
+    ("documents", "articles", "published_at", None, _HASHED["documents"]),
 ]
 
 

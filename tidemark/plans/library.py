@@ -11,14 +11,12 @@ from tidemark.plans.newsroom import structured_articles
 from tidemark.plans.registry import common, query, rnd
 from tidemark.session import checkpointed
 
-_VOCAB = 8000
-
 common("taught", "SELECT doc_id, text, CAST(quality AS VARCHAR) AS quality, CAST(toxic AS VARCHAR) AS toxic FROM documents JOIN labels USING (doc_id)")
 common(
     "taught_tokens",
     "SELECT quality, toxic, token, count(*) AS n FROM (SELECT quality, toxic, unnest(regexp_extract_all(lower(text), '[a-z0-9]{2,}')) AS token FROM taught) GROUP BY ALL",
 )
-common("vocab", f"SELECT token FROM taught_tokens GROUP BY token ORDER BY sum(n) DESC, token LIMIT {_VOCAB}")
+common("vocab", "SELECT token FROM taught_tokens GROUP BY token ORDER BY sum(n) DESC, token")
 common(
     "tcounts",
     """SELECT task, label, token, sum(n) AS n FROM (SELECT 'quality' AS task, quality AS label, token, n FROM taught_tokens UNION ALL SELECT 'toxic', toxic, token, n FROM taught_tokens) WHERE token IN (SELECT token FROM vocab) GROUP BY ALL""",
@@ -39,7 +37,7 @@ common(
 
 def _student(spark, sf) -> dc.TextStudent:
     docs = b.table(spark, sf, "documents").join(b.table(spark, sf, "labels"), "doc_id")
-    return dc.TextStudent(docs, "doc_id", "text", ["quality", "toxic"], _VOCAB)
+    return dc.TextStudent(docs, "doc_id", "text", ["quality", "toxic"])
 
 
 @query("text_student_facts", "SELECT * FROM tfacts", uses="taught taught_tokens vocab tcounts tfacts")

@@ -188,7 +188,7 @@ _NUM_SQL = r"regexp_extract_all(s, '(^|[^A-Za-z0-9_])([-+]?\d+(?:,\d{3})*(?:\.\d
         generate_subscripts(string_split(regexp_replace(trim(text, ' ' || chr(10)), '([.!?])\s+', '\1' || chr(1), 'g'), chr(1)), 1) AS i FROM news),
       n AS (SELECT article_id, i, s, {_NUM_SQL} AS nums FROM s),
       k AS (SELECT *, row_number() OVER (PARTITION BY article_id ORDER BY i) AS rn FROM n WHERE len(nums) > 0)
-      SELECT article_id, rn AS place, substring(s, 1, 1000) AS claim, array_to_string(nums[1:12], '|') AS numbers FROM k WHERE rn <= 3""",
+      SELECT article_id, rn AS place, s AS claim, array_to_string(nums, '|') AS numbers FROM k""",
     uses="articles news",
 )
 def sentence_claims(spark, sf):

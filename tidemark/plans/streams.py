@@ -13,17 +13,17 @@ from tidemark.streaming import flows
 
 def _ticks(spark, sf) -> DataFrame:
     return flows.read_events(spark, sf).select(
-        F.col("event_type").alias("symbol"), "ts", F.col("value").alias("price"), F.get_json_object("props", "$.k").cast("double").alias("quantity")
+        F.col("event_type").alias("symbol"), "ts", F.col("value").alias("price"), F.get_json_object("props", "$.k").cast("double").alias("quantity"), "event_id"
     )
 
 
 @query(
     "stream_tumbling_bars",
-    """SELECT event_type AS symbol, time_bucket(INTERVAL 5 MINUTES, ts) AS open_time, first(value ORDER BY ts) AS open, max(value) AS high, min(value) AS low, last(value ORDER BY ts) AS close,
+    """SELECT event_type AS symbol, time_bucket(INTERVAL 5 MINUTES, ts) AS open_time, first(value ORDER BY ts, event_id) AS open, max(value) AS high, min(value) AS low, last(value ORDER BY ts, event_id) AS close,
       sum(CAST(json_extract_string(props, '$.k') AS DOUBLE)) AS volume, count(*) AS trades FROM events GROUP BY event_type, time_bucket(INTERVAL 5 MINUTES, ts)""",
 )
 def stream_tumbling_bars(spark, sf):
-    bars = flows.tumbling_bars(_ticks(spark, sf), "5 minutes")
+    bars = flows.tumbling_bars(_ticks(spark, sf), "5 minutes", tie="event_id")
     return flows.drain(bars, "update", ["symbol", "open_time"], "bars").withColumn("open_time", F.col("open_time").cast("timestamp_ntz"))
 
 
@@ -68,12 +68,12 @@ def stream_unique_articles(spark, sf):
 
 @query(
     "stream_matured_labels",
-    """SELECT s.event_id AS signal_id, s.event_type AS symbol, c.event_id AS candle_id FROM events s JOIN events c ON c.event_type = s.event_type AND c.ts >= s.ts + INTERVAL 1 HOUR AND c.ts <= s.ts + INTERVAL 70 MINUTES""",
+    """SELECT s.event_id AS signal_id, s.event_type AS symbol, arg_min(c.event_id, (c.ts, c.event_id)) AS candle_id FROM events s JOIN events c ON c.event_type = s.event_type AND c.ts >= s.ts + INTERVAL 1 HOUR AND c.ts <= s.ts + INTERVAL 70 MINUTES GROUP BY s.event_id, s.event_type""",
 )
 def stream_matured_labels(spark, sf):
     signals = flows.read_events(spark, sf).select(F.col("event_id").alias("signal_id"), F.col("event_type").alias("symbol"), F.col("ts").alias("generated_at"))
     candles = flows.read_events(spark, sf).select(F.col("event_type").alias("symbol"), F.col("ts").alias("close_time"), F.col("event_id").alias("close"))
-    out = flows.drain(flows.matured_labels(signals, candles, "1 hour", "10 minutes"), "append", [], "matured")
+    out = flows.drain(flows.matured_labels(signals, candles, "1 hour", "10 minutes"), "append", ["signal_id"], "matured", keep=flows.first_candle())
     return out.select("signal_id", "symbol", F.col("close").alias("candle_id"))
 
 
@@ -85,7 +85,8 @@ def stream_matured_labels(spark, sf):
 def stream_kline_upsert(spark, sf):
     klines = feeds.parse_klines(kline_stream_rows(flows.read_events(spark, sf)))
     messages = flows.drain(klines, "append", [], "klines").withColumn("updates", F.lit(1).cast("long"))
-    half = F.pmod(F.xxhash64("open_time"), F.lit(2)) == 0
+    # Two batches that share bars: the second updates what the first stored.
+    half = F.pmod(F.xxhash64("symbol", "open_time", "event_time", "close"), F.lit(2)) == 0
     first = flows.upsert_klines(messages.where(half), None)
     out = flows.upsert_klines(messages.where(~half), first)
     return out.select(F.lower("symbol").alias("symbol"), F.col("open_time").cast("timestamp_ntz").alias("open_time"), "close", "is_closed", "updates")

@@ -14,10 +14,11 @@ from tidemark.operators.asof import latest_per_key
 from tidemark.session import scratch_path
 
 
-def tumbling_bars(ticks: DataFrame, width: str, lateness: str = "10 minutes") -> DataFrame:
-    """OHLCV bars per symbol; a bar is final when the watermark passes its end."""
+def tumbling_bars(ticks: DataFrame, width: str, lateness: str = "10 minutes", tie: str | None = None) -> DataFrame:
+    """OHLCV bars per symbol; a bar is final when the watermark passes its end.  ``tie`` orders ticks of one time."""
+    order = F.struct("ts", tie) if tie else F.col("ts")
     return ticks.withWatermark("ts", lateness).groupBy("symbol", F.window("ts", width).alias("w")).agg(
-        F.min_by("price", "ts").alias("open"), F.max("price").alias("high"), F.min("price").alias("low"), F.max_by("price", "ts").alias("close"),
+        F.min_by("price", order).alias("open"), F.max("price").alias("high"), F.min("price").alias("low"), F.max_by("price", order).alias("close"),
         F.sum("quantity").alias("volume"), F.count(F.lit(1)).alias("trades"),
     ).select("symbol", F.col("w.start").alias("open_time"), "open", "high", "low", "close", "volume", "trades")
 
@@ -55,8 +56,9 @@ def unique_articles(articles: DataFrame, lateness: str = "7 days") -> DataFrame:
 def matured_labels(signals: DataFrame, candles: DataFrame, horizon: str, grace: str) -> DataFrame:
     """Signals joined to the candles closing in [due, due + grace] once known.
 
-    Both sides are watermarked, so a pending signal is kept for horizon plus grace
-    and no longer.
+    Both sides are watermarked, so a pending signal is kept for horizon plus grace and
+    no longer.  A signal may meet several candles; ``first_candle`` is the order by which
+    the table that is written keeps one row per signal.
     """
     s = signals.withWatermark("generated_at", grace).withColumn("due", F.col("generated_at") + F.expr(f"interval {horizon}"))
     c = candles.withWatermark("close_time", grace).select(F.col("symbol").alias("c_symbol"), "close_time", "close")
@@ -64,6 +66,10 @@ def matured_labels(signals: DataFrame, candles: DataFrame, horizon: str, grace:
     return s.join(c, inside).select("signal_id", "symbol", "generated_at", "due", "close_time", "close")
 
 
+def first_candle() -> list[Column]:
+    return [F.col("close_time").asc(), F.col("close").asc()]
+
+
 def closed_and_live(klines: DataFrame) -> tuple[DataFrame, DataFrame]:
     return klines.where("is_closed"), klines.where(~F.col("is_closed"))
 
@@ -89,19 +95,28 @@ def fingerprint(columns: Sequence[str]) -> Column:
 
 def read_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The events table as a file stream, with zoned times as watermarks need them."""
-    schema = spark.read.parquet(f"{sf_dir}/events.parquet").schema
-    raw = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf_dir)
+    path = f"{sf_dir}/events.parquet"
+    schema = spark.read.parquet(path).schema
+    # A stream takes folders: the table's own, or that of a table of one file.
+    stream = spark.readStream.schema(schema)
+    raw = stream.parquet(path) if _is_folder(spark, path) else stream.option("pathGlobFilter", "events.parquet").parquet(sf_dir)
     return raw.withColumn("ts", F.col("ts").cast("timestamp"))
 
 
-def drain(stream: DataFrame, mode: str, keys: Sequence[str], name: str) -> DataFrame:
+def _is_folder(spark: SparkSession, path: str) -> bool:
+    files = spark.read.format("binaryFile").load(path).select("path").limit(1).collect()
+    return bool(files) and not files[0]["path"].endswith("/events.parquet")
+
+
+def drain(stream: DataFrame, mode: str, keys: Sequence[str], name: str, keep: Sequence[Column] = ()) -> DataFrame:
     """Run a stream over all available input into a table and read it back.
 
-    Every micro-batch appends its rows with its number; in update mode the newest
-    version per key is returned.
+    Every micro-batch appends its rows with its number.  In update mode the newest
+    version per key is returned, and with ``keep`` the first row per key in that order.
     """
     spark = stream.sparkSession
     out, state = scratch_path(spark, name), scratch_path(spark, f"{name}-state")
+    spark.createDataFrame([], _with_batch(stream)).write.parquet(out)  # also when no batch comes
 
     def save(batch: DataFrame, number: int) -> None:
         batch.withColumn("__batch", F.lit(number)).write.mode("append").parquet(out)
@@ -109,7 +124,9 @@ def drain(stream: DataFrame, mode: str, keys: Sequence[str], name: str) -> DataF
     query = stream.writeStream.outputMode(mode).option("checkpointLocation", state).trigger(availableNow=True).foreachBatch(save).start()
     query.awaitTermination()
     got = spark.read.schema(_with_batch(stream)).parquet(out)
-    if mode == "update":
+    if keep:
+        got = latest_per_key(got, keys, list(keep))
+    elif mode == "update":
         got = latest_per_key(got, keys, [F.col("__batch").desc()])
     return got.drop("__batch")
 
