@@ -23,6 +23,7 @@ _MODULES = (
     "dataset",
     "feeds",
     "streams",
+    "lookups",
 )
 
 for _module in _MODULES:
