@@ -52,5 +52,5 @@ def test_peeling_recovers_the_difference(changed):
     pick = np.random.default_rng(changed)
     shared, left, right = (pick.integers(1, 2**63, n).astype(np.uint64) for n in (50, changed, changed // 2))
     a, b = np.concatenate([shared, left]), np.concatenate([right, shared])
-    one, two = sketches.difference(a, b, sketches.Sketch.of(a), sketches.Sketch.of(b))
+    one, two = sketches.differences([a, shared], [b, b], sketches.Sketches.of([a, shared]), sketches.Sketches.of([b, b]))[0]
     assert set(one.tolist()) == set(left.tolist()) and set(two.tolist()) == set(right.tolist())

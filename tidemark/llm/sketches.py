@@ -21,13 +21,15 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from tidemark.llm.arrays import keyed, mixed
+from tidemark.llm.arrays import keyed, mixed, text_slices
 
 CELLS = 18
 LONG = 400
 _SENTENCE = re.compile(r"(?<=[.!?]) ")
 _SEEDS = keyed(3, 31)
 _CHECK = keyed(1, 32)[0]
+#: Bytes of text whose sketches are made together.
+SLICE = 1_000_000
 #: Ranges of doc_id a shuffle partition gets on average.
 _RANGES = 4
 
@@ -53,76 +55,84 @@ def digests(text: str) -> np.ndarray:
     return out
 
 
-class Sketch:
-    """Cells of a sketch: counts, digests and checks, three subtables one after another."""
+class Sketches:
+    """Sketches of many texts: counts, digests and checks, a row of cells each, in three subtables."""
 
-    def __init__(self, cells: int) -> None:
-        self.count = np.zeros(cells, np.int32)
-        self.digest = np.zeros(cells, np.uint64)
-        self.check = np.zeros(cells, np.uint32)
+    def __init__(self, rows: int, cells: int) -> None:
+        self.rows, self.cells = rows, cells
+        self.count = np.zeros((rows, cells), np.int32)
+        self.digest = np.zeros((rows, cells), np.uint64)
+        self.check = np.zeros((rows, cells), np.uint32)
 
     @classmethod
-    def of(cls, keys: np.ndarray, cells: int = CELLS) -> Sketch:
-        out = cls(cells)
-        out.add(keys, np.ones(len(keys), np.int32))
+    def of(cls, keys: list[np.ndarray], cells: int = CELLS) -> Sketches:
+        out = cls(len(keys), cells)
+        owner = np.repeat(np.arange(len(keys)), [len(k) for k in keys])
+        out.add(owner, np.concatenate([np.zeros(0, np.uint64), *keys]), np.ones(len(owner), np.int32))
         return out
 
-    def places(self, keys: np.ndarray) -> np.ndarray:
-        third = len(self.count) // 3
-        return np.stack([(mixed(keys ^ seed) % np.uint64(third)).astype(np.int64) + j * third for j, seed in enumerate(_SEEDS)])
-
     @staticmethod
     def checks(keys: np.ndarray) -> np.ndarray:
         return (mixed(keys + _CHECK) >> np.uint64(32)).astype(np.uint32)
 
-    def add(self, keys: np.ndarray, signs: np.ndarray) -> None:
-        if len(keys):
-            at, checks = self.places(keys), self.checks(keys)
-            for row in at:
-                np.add.at(self.count, row, signs)
-                np.bitwise_xor.at(self.digest, row, keys)
-                np.bitwise_xor.at(self.check, row, checks)
-
-    def minus(self, other: Sketch) -> Sketch:
-        out = Sketch(len(self.count))
+    def add(self, owner: np.ndarray, keys: np.ndarray, signs: np.ndarray) -> None:
+        third = self.cells // 3
+        checks = self.checks(keys)
+        for j, seed in enumerate(_SEEDS):
+            at = owner * self.cells + (mixed(keys ^ seed) % np.uint64(third)).astype(np.int64) + j * third
+            np.add.at(self.count.reshape(-1), at, signs)
+            np.bitwise_xor.at(self.digest.reshape(-1), at, keys)
+            np.bitwise_xor.at(self.check.reshape(-1), at, checks)
+
+    def minus(self, other: Sketches) -> Sketches:
+        out = Sketches(self.rows, self.cells)
         out.count, out.digest, out.check = self.count - other.count, self.digest ^ other.digest, self.check ^ other.check
         return out
 
-    def peeled(self) -> tuple[np.ndarray, np.ndarray] | None:
-        """Digests of one side and of the other, or None if some stay hidden.  Empties the sketch."""
-        found: list[tuple[np.ndarray, np.ndarray]] = []
+    def peeled(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Row, digest and side (1 or -1) of what could be recovered, and which rows are whole.  Empties the cells."""
+        rows, keys, sides = [np.zeros(0, np.int64)], [np.zeros(0, np.uint64)], [np.zeros(0, np.int32)]
         while True:
-            pure = np.flatnonzero(np.abs(self.count) == 1)
-            pure = pure[self.checks(self.digest[pure]) == self.check[pure]]
-            if not len(pure):
+            row, cell = np.nonzero(np.abs(self.count) == 1)
+            pure = self.checks(self.digest[row, cell]) == self.check[row, cell]
+            row, cell = row[pure], cell[pure]
+            if not len(row):
                 break
-            keys, first = np.unique(self.digest[pure], return_index=True)
-            signs = self.count[pure][first]
-            self.add(keys, -signs)
-            found.append((keys, signs))
-        if self.count.any() or self.digest.any() or self.check.any():
-            return None
-        keys = np.concatenate([np.zeros(0, np.uint64), *[k for k, _ in found]])
-        signs = np.concatenate([np.zeros(0, np.int32), *[s for _, s in found]])
-        return keys[signs > 0], keys[signs < 0]
-
-    def text(self) -> str:
-        return base64.b64encode(self.count.astype("<i4").tobytes() + self.digest.astype("<u8").tobytes() + self.check.astype("<u4").tobytes()).decode("ascii")
-
-
-def difference(left: np.ndarray, right: np.ndarray, a: Sketch, b: Sketch) -> tuple[np.ndarray, np.ndarray]:
-    """Digests only in ``left`` and only in ``right``, from the sketches ``a`` and ``b``, larger ones where they fail."""
-    while (found := a.minus(b).peeled()) is None:
-        cells = 4 * len(a.count)
-        a, b = Sketch.of(left, cells), Sketch.of(right, cells)
-    return found
+            found = self.digest[row, cell]
+            _, first = np.unique(mixed(found) + row.astype(np.uint64) * _SEEDS[0], return_index=True)
+            row, found, side = row[first], found[first], self.count[row[first], cell[first]]
+            self.add(row, found, -side)
+            rows.append(row)
+            keys.append(found)
+            sides.append(side)
+        whole = ~(self.count.any(axis=1) | self.digest.any(axis=1) | self.check.any(axis=1))
+        return np.concatenate(rows), np.concatenate(keys), np.concatenate(sides), whole
+
+    def texts(self) -> list[str]:
+        parts = zip(self.count.astype("<i4"), self.digest.astype("<u8"), self.check.astype("<u4"))
+        return [base64.b64encode(c.tobytes() + d.tobytes() + k.tobytes()).decode("ascii") for c, d, k in parts]
+
+
+def differences(left: list[np.ndarray], right: list[np.ndarray], a: Sketches, b: Sketches) -> list[tuple[np.ndarray, np.ndarray]]:
+    """For each pair the digests only in ``left`` and only in ``right``, from the rows of ``a`` and ``b``; larger sketches where those fail."""
+    out: list = [None] * len(left)
+    todo = np.arange(len(left))
+    while len(todo):
+        rows, keys, sides, whole = a.minus(b).peeled()
+        order = np.argsort(rows, kind="stable")
+        ends = np.searchsorted(rows[order], np.arange(len(todo) + 1))
+        for i in np.flatnonzero(whole):
+            mine = order[ends[i] : ends[i + 1]]
+            out[todo[i]] = (keys[mine[sides[mine] > 0]], keys[mine[sides[mine] < 0]])
+        todo = todo[~whole]
+        a, b = (Sketches.of([side[i] for i in todo], 4 * a.cells) for side in (left, right))
+    return out
 
 
-def likeness(left: np.ndarray, right: np.ndarray, a: Sketch, b: Sketch) -> float:
+def likeness(keys: np.ndarray, gone: np.ndarray, new: np.ndarray) -> float:
     """Shared paragraphs by all paragraphs; two texts without any are alike."""
-    one, two = difference(left, right, a, b)
-    common = len(left) - len(one)
-    union = common + len(one) + len(two)
+    common = len(keys) - len(gone)
+    union = common + len(gone) + len(new)
     return common / union if union else 1.0
 
 
@@ -147,41 +157,37 @@ class _Ranges:
 
 def _sketched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows in order, each with its successor; the last row of a range is a copy of the next range's head."""
-    waiting = None
+    waiting: list[tuple] = []
     for batch in batches:
-        rows = []
-        for doc, text, part, copy in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "text", "part", "copy"))):
-            text = text or ""
-            keys = digests(text)
-            current = (doc, text, part, keys, Sketch.of(keys))
-            if waiting is not None and waiting[2] == part:
-                rows.append(_row(waiting, current))
-            waiting = None if copy else current
-        if rows:
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), _row_types(batch))], _NAMES)
+        for piece in text_slices(batch, most=SLICE):
+            columns = (piece.column(c).to_pylist() for c in ("doc_id", "text", "part", "copy"))
+            rows = [*waiting, *((doc, text or "", part, copy, digests(text or "")) for doc, text, part, copy in zip(*columns))]
+            pairs = [i for i in range(len(rows) - 1) if not rows[i][3] and rows[i][2] == rows[i + 1][2]]
+            waiting = rows[-1:]
+            if pairs:
+                yield _compared(rows, pairs, piece.column("doc_id").type)
+
+
+def _compared(rows: list[tuple], pairs: list[int], kind: pa.DataType) -> pa.RecordBatch:
+    keys = [rows[i][4] for i in pairs]
+    following = [rows[i + 1][4] for i in pairs]
+    others = [edited(rows[i][1], rows[i + 1][1]) for i in pairs]
+    other_keys = [digests(t) for t in others]
+    own, other, after = Sketches.of(keys), Sketches.of(other_keys), Sketches.of(following)
+    versions_differ = differences(keys, other_keys, own, other)
+    next_differ = differences(keys, following, own, after)
+    columns = [
+        [rows[i][0] for i in pairs], [len(rows[i][1]) for i in pairs], [hashlib.sha256(t.encode("utf-8")).hexdigest() for t in others], own.texts(), other.texts(),
+        [likeness(k, *d) for k, d in zip(keys, versions_differ)], [likeness(k, *d) for k, d in zip(keys, next_differ)],
+        [np.concatenate(d).view(np.int64) for d in versions_differ],
+    ]
+    types = [kind, pa.int64(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.float64(), pa.list_(pa.int64())]
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], _NAMES)
 
 
 _NAMES = ["doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next", "differing"]
 
 
-def _row_types(batch: pa.RecordBatch) -> list[pa.DataType]:
-    return [batch.column("doc_id").type, pa.int64(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.float64(), pa.list_(pa.int64())]
-
-
-def _row(one: tuple, two: tuple) -> tuple:
-    doc, text, _, keys, sketch = one
-    other = edited(text, two[1])
-    other_keys = digests(other)
-    other_sketch = Sketch.of(other_keys)
-    gone, new = difference(keys, other_keys, sketch, other_sketch)
-    common = len(keys) - len(gone)
-    union = common + len(gone) + len(new)
-    return (
-        doc, len(text), hashlib.sha256(other.encode("utf-8")).hexdigest(), sketch.text(), other_sketch.text(), common / union if union else 1.0,
-        likeness(keys, two[3], sketch, two[4]), np.concatenate([gone, new]).view(np.int64).tolist(),
-    )
-
-
 def versions(docs: DataFrame) -> DataFrame:
     """Fingerprints of every row of ``docs`` (doc_id numeric, text) and of an edited text.
 
