@@ -8,9 +8,9 @@ With 32 bands of 4 values a pair at similarity 0.75 shares a band with probabili
 
 Equal shingle sets form a class first, so exact copies cost one row.  Inside a band
 bucket, members are compared with the bucket's hub only: a number of comparisons
-linear in the bucket.  Links are confirmed on full sets.  Members of a bucket that
-are then in different components meet other hubs, and what is still apart after
-``HUB_ROUNDS`` is compared exhaustively: small groups after a test on signatures,
+linear in the bucket.  Links are confirmed on full sets.  Buckets whose members are
+in different components after ``HUB_ROUNDS`` rounds of hubs are compared
+exhaustively: small groups after a test on signatures,
 large ones in blocks of full sets, inside tasks.  No pairs of a group are listed there.
 """
 
@@ -31,7 +31,7 @@ SIMILARITY = 75
 PERMUTATIONS = 64
 BANDS = 32
 ROWS = 4
-HUB_ROUNDS = 3
+HUB_ROUNDS = 1
 BLOCK = 64
 LARGE_BLOCK = 256
 _COLUMNS = 4096
@@ -258,6 +258,16 @@ def components(edges: DataFrame) -> DataFrame:
     return roots
 
 
+def at_roots(edges: DataFrame, own: DataFrame) -> DataFrame:
+    """Edges between the roots of their ends."""
+    ends = edges.join(own.select(F.col("node").alias("a"), F.col("root").alias("c")), "a").join(own.select(F.col("node").alias("b"), F.col("root").alias("d")), "b")
+    return ends.where("c != d").select(F.least("c", "d").alias("a"), F.greatest("c", "d").alias("b")).distinct()
+
+
+def _moved(rows: DataFrame, moved: DataFrame) -> DataFrame:
+    return rows.join(moved, "root", "left").withColumn("root", F.coalesce("to", "root")).drop("to")
+
+
 def near_duplicates(docs: DataFrame, same: bool = False) -> DataFrame:
     """doc_id, n_shingles, component_id (smallest linked doc_id), kept, per row of ``docs`` (doc_id, text).
 
@@ -291,20 +301,18 @@ def near_duplicates(docs: DataFrame, same: bool = False) -> DataFrame:
         .select("node", "text").mapInArrow(_sets, "node binary, shingles array<long>"),
         "sets",
     )
-    edges = spark.createDataFrame([], "a binary, b binary")
-    roots = None
+    own = classes.select("node", "first_id", F.col("node").alias("root"))
     for salt in range(HUB_ROUNDS + 1):
         fresh = stored(linked(hub_pairs(members, salt), sets) if salt < HUB_ROUNDS else remaining_links(members, classes, sets), "links")
         if not fresh.isEmpty():
-            edges = edges.union(fresh)
-            roots = components(edges)
-            members = members.drop("root").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-        mixed_buckets = members.groupBy("bucket").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low != high").select("bucket")
-        members = stored(members.join(mixed_buckets, "bucket"), "members")
-        if members.isEmpty():
-            break
-    own = classes.select("node", "first_id")
-    own = own.withColumn("root", F.col("node")) if roots is None else own.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+            moved = components(at_roots(fresh, own) if salt else fresh).select(F.col("node").alias("root"), F.col("root").alias("to"))
+            own = stored(_moved(own, moved), "owners")
+            members = _moved(members, moved)
+        if salt < HUB_ROUNDS:
+            mixed_buckets = members.groupBy("bucket").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low != high").select("bucket")
+            members = stored(members.join(mixed_buckets, "bucket"), "members")
+            if members.isEmpty():
+                break
     least = own.groupBy("root").agg(F.min("first_id").alias("component_id"))
     known = stored(own.join(least, "root").select("node", "component_id"), "components")
     hashed = ["same"] if same else []
