@@ -160,3 +160,19 @@ def test_exponential_mean_over_many_blocks(spark):
     np.testing.assert_allclose(got.macd_signal_pct, signal / c, atol=1e-12)
     np.testing.assert_allclose(got.ema_20_distance_pct, c / c.ewm(span=20, adjust=False).mean() - 1, atol=1e-12)
     np.testing.assert_allclose(got.volatility, c.pct_change().rolling(20, min_periods=2).std().fillna(0), atol=1e-12)
+
+
+def test_left_rows_without_time_or_key_stay(spark):
+    left = spark.createDataFrame(
+        [("A", START, 1), (None, START, 2), ("A", None, 3), ("B", START, 4)], "k string, ts timestamp_ntz, seq long"
+    )
+    right = spark.createDataFrame([("A", START, 0.5), (None, START, 0.7)], "k string, at timestamp_ntz, x double")
+    got = asof.asof_join(left, right, ["k"], "ts", "at", {"found": "x"}, matched_time="seen").collect()
+    assert sorted((r["seq"], r["found"]) for r in got) == [(1, 0.5), (2, None), (3, None), (4, None)]
+
+
+def test_null_keys_are_a_series_of_their_own(spark):
+    data = [(None if r[0] == "B" else r[0], *r[1:]) for r in rows(120)]
+    blocks = series.range_blocks(frame(spark, data), ["k"], ["ts", "seq"])
+    got = series.running(series.positions(blocks, ["k"], ["ts", "seq"]), ["k"], ["ts", "seq"], {"n": ("count", F.col("x"))}).collect()
+    assert len(got) == 120 and all(r["n"] == r["pos"] + 1 for r in got)

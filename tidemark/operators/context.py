@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from tidemark.functions.clock import age_hours, recency_weight
 from tidemark.functions.numeric import change, clamp, zero
-from tidemark.operators.series import BLOCK, lag_across, time_block
+from tidemark.operators.series import BLOCK, lag_across, range_blocks
 
 
 def _within(events: DataFrame, as_of: Column, hours: int) -> DataFrame:
@@ -151,11 +151,10 @@ def derivatives_snapshot(events: DataFrame, as_of: Column, hours: int = 24, tie:
 def previous_change(events: DataFrame) -> DataFrame:
     """Change of each metric against its previous stored value.
 
-    Metrics arrive at most once per (source, type, symbol, minute), so a series is
-    cut into time blocks.
+    Series are cut into balanced runs, so a busy one is no single task.
     """
-    keyed = events.withColumn("__sym", F.coalesce("symbol", F.lit(""))).withColumn(BLOCK, time_block("event_time", 7 * 86400))
     keys = ["source_name", "data_type", "__sym"]
+    keyed = range_blocks(events.withColumn("__sym", F.coalesce("symbol", F.lit(""))), keys, ["event_time", "event_id"])
     out = lag_across(keyed, keys, ["event_time", "event_id"], {"previous_value": F.col("numeric_value")})
     return out.withColumn("value_change", F.col("numeric_value") - F.col("previous_value")).withColumn(
         "value_change_pct", change(F.col("numeric_value"), F.col("previous_value"))

@@ -62,7 +62,7 @@ FROM (SELECT a.*, e.close / a.start_price - 1 AS realized_return, expected_cost
 
 
 def outcome_rows(spark, sf) -> DataFrame:
-    return mon.mature_outcomes(signal_rows(spark, sf), b.candles(spark, sf), _now(), width_seconds=86400)
+    return mon.mature_outcomes(signal_rows(spark, sf), b.candles(spark, sf), _now())
 
 
 _OUT = ["realized_return", "realized_cost", "net_return"]

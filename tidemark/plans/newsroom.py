@@ -428,7 +428,7 @@ def latest_news_state(spark, sf):
 def asof_candle_close(spark, sf):
     rows = b.ticks(spark, sf).select("event_id", "symbol", "ts")
     return asof.asof_join(
-        rows, b.candles(spark, sf), ["symbol"], "ts", "close_time", {"close": "close", "candle_time": "open_time"}, width_seconds=86400
+        rows, b.candles(spark, sf), ["symbol"], "ts", "close_time", {"close": "close", "candle_time": "open_time"}
     ).select("event_id", "close", "candle_time")
 
 
