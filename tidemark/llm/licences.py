@@ -25,6 +25,8 @@ KNOWN = {
 SPELLINGS = [("licence", "license"), ("sub-license", "sublicense"), ("non-commercial", "noncommercial"), ("https:", "http:"), ("copyright holder", "copyright owner"), ("&", " and ")]
 COPYRIGHT_LINE = r"(?m)^[ \t]*(copyright|\(c\)|©)[^\n]*$"
 PUNCTUATION = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+#: Known digests that are broadcast, about 10 MB; more are joined by shuffles.
+BROADCAST_ROWS = 100_000
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -56,10 +58,13 @@ def scan(docs: DataFrame, known: DataFrame) -> DataFrame:
     columns are not read.
     """
     digests = known.select("licence", digest(F.col("text")).alias("digest")).where("digest IS NOT NULL").groupBy("digest").agg(F.min("licence").alias("licence"))
-    rows = docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", "text")
-    whole = F.array(F.struct(F.lit(True).alias("whole"), digest(F.col("text")).alias("digest")))
-    lines = F.transform(F.split(F.coalesce("text", F.lit("")), "\n"), lambda line: F.struct(F.lit(False).alias("whole"), digest(line).alias("digest")))
-    units = rows.select("row", "doc_id", F.explode(F.concat(whole, lines)).alias("unit")).select("row", "doc_id", "unit.*")
+    if digests.count() <= BROADCAST_ROWS:
+        digests = F.broadcast(digests)
+    # The whole text first, then its lines; each is normalised once.
+    plain = F.transform(F.concat(F.array(F.col("text")), F.split(F.coalesce("text", F.lit("")), "\n")), canonical)
+    units = docs.select(
+        F.monotonically_increasing_id().alias("row"), "doc_id", F.posexplode(F.transform(plain, lambda c: F.when(c != "", F.sha2(c, 256)))).alias("place", "digest")
+    ).withColumn("whole", F.col("place") == 0)
     found = units.where("whole OR digest IS NOT NULL").join(digests, "digest", "left")
     line_hit = (~F.col("whole")) & F.col("licence").isNotNull()
     return found.groupBy("row", "doc_id").agg(
