@@ -62,8 +62,9 @@ def scan(docs: DataFrame, known: DataFrame) -> DataFrame:
         digests = F.broadcast(digests)
     # The whole text first, then its lines; each is normalised once.
     plain = F.transform(F.concat(F.array(F.col("text")), F.split(F.coalesce("text", F.lit("")), "\n")), canonical)
-    units = docs.select(
-        F.monotonically_increasing_id().alias("row"), "doc_id", F.posexplode(F.transform(plain, lambda c: F.when(c != "", F.sha2(c, 256)))).alias("place", "digest")
+    rows = docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", "text")
+    units = rows.select(
+        "row", "doc_id", F.posexplode(F.transform(plain, lambda c: F.when(c != "", F.sha2(c, 256)))).alias("place", "digest")
     ).withColumn("whole", F.col("place") == 0)
     found = units.where("whole OR digest IS NOT NULL").join(digests, "digest", "left")
     line_hit = (~F.col("whole")) & F.col("licence").isNotNull()
