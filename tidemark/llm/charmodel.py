@@ -26,7 +26,9 @@ _STEP = np.uint64(0x5851F42D4C957F2D)
 #: Bytes of text that are in hand at once; every order has a hash of each symbol.
 SLICE = 1_000_000
 #: Counts a task gathers before it hands them on.
-_HELD = 1_500_000
+_HELD = 600_000
+#: Rows handed on together.
+_ROWS = 100_000
 
 
 @lru_cache(maxsize=1)
@@ -99,9 +101,9 @@ class _Counter:
                 if sum(len(h[0]) for h in held) > _HELD:
                     held = [_added(held)]
                     if len(held[0][0]) > _HELD // 2:
-                        yield self._rows(held.pop())
+                        yield from self._rows(held.pop())
         if held:
-            yield self._rows(_added(held))
+            yield from self._rows(_added(held))
 
     def _slice(self, part: pa.RecordBatch) -> tuple[np.ndarray, ...]:
         found = symbols(part.column("text"), self.order)
@@ -114,9 +116,10 @@ class _Counter:
         return keys, classes[first], np.ascontiguousarray(grams, np.uint32).view(f"<U{self.order}").ravel(), n
 
     @staticmethod
-    def _rows(counted: tuple[np.ndarray, ...]) -> pa.RecordBatch:
-        _, classes, grams, n = counted
-        return pa.RecordBatch.from_arrays([pa.array(classes, pa.int32()), pa.array(grams.tolist(), pa.string()), pa.array(n, pa.int64())], ["cls", "gram", "n"])
+    def _rows(counted: tuple[np.ndarray, ...]) -> Iterator[pa.RecordBatch]:
+        for begin in range(0, len(counted[0]), _ROWS):
+            _, classes, grams, n = (x[begin : begin + _ROWS] for x in counted)
+            yield pa.RecordBatch.from_arrays([pa.array(classes, pa.int32()), pa.array(grams.tolist(), pa.string()), pa.array(n, pa.int64())], ["cls", "gram", "n"])
 
 
 def _added(held: list[tuple[np.ndarray, ...]]) -> tuple[np.ndarray, ...]:
@@ -160,14 +163,24 @@ class Level:
     contexts: np.ndarray
     weights: np.ndarray
     gram_at: np.ndarray | None = field(default=None, repr=False)
-    context_at: np.ndarray | None = field(default=None, repr=False)
 
     def index(self, bits: int) -> None:
-        """Where each hash stands in the sorted arrays."""
+        """A table of where each n-gram stands, for the order at which every symbol is looked up."""
         if self.gram_at is None:
-            self.gram_at, self.context_at = (np.full(1 << bits, -1, np.int32) for _ in range(2))
+            self.gram_at = np.full(1 << bits, -1, np.int32)
             self.gram_at[self.grams] = np.arange(len(self.grams), dtype=np.int32)
-            self.context_at[self.contexts] = np.arange(len(self.contexts), dtype=np.int32)
+
+    def gram_rows(self, hashes: np.ndarray) -> np.ndarray:
+        return self.gram_at[hashes] if self.gram_at is not None else _found(self.grams, hashes)
+
+    def context_rows(self, hashes: np.ndarray) -> np.ndarray:
+        return _found(self.contexts, hashes)
+
+
+def _found(ordered: np.ndarray, values: np.ndarray) -> np.ndarray:
+    """Places in a sorted array, -1 for values that it lacks."""
+    at = np.minimum(np.searchsorted(ordered, values), len(ordered) - 1)
+    return np.where(ordered[at] == values, at, -1)
 
 
 @dataclass
@@ -190,16 +203,17 @@ class CharModel:
         left = np.arange(len(found.at))
         for k in range(self.order - 1, -1, -1):
             level = self.levels[k]
-            level.index(self.bits)
+            if k == self.order - 1:
+                level.index(self.bits)
             at = found.at[left]
-            row = level.gram_at[shortened(hashes[k][at], self.bits)]
+            row = level.gram_rows(shortened(hashes[k][at], self.bits))
             known = row >= 0
             out[left[known]] += level.scores[row[known]]
             left, at = left[~known], at[~known]
             if not len(left):
                 return out
             before = hashes[k - 1][at - 1] if k else np.zeros(len(at), np.uint64)
-            row = level.context_at[shortened(before, self.bits)]
+            row = level.context_rows(shortened(before, self.bits))
             known = row >= 0
             out[left[known]] += level.weights[row[known]]
         out[left] += np.float32(self.unseen)
