@@ -26,7 +26,7 @@ SEPARATOR = 1
 #: Open windows a task holds before it merges them.
 OPEN = 4096
 #: Rows and tokens handed on together.
-_ROWS, _TOKENS = 2000, 1_000_000
+_ROWS, _TOKENS = 2000, 250_000
 
 #: doc_id, start, tokens of the document, ids.
 Piece = tuple[object, int, int, np.ndarray]
@@ -132,7 +132,7 @@ class _Pack:
             yield doc, start, ids[start : start + self.window], total, levels.whole(), 0
         if whole < total:
             number, _, full = levels.place(total - whole)
-            levels.content[number].append((doc, whole, total, ids[whole:]))
+            levels.content[number].append((doc, whole, total, ids[whole:].copy()))
             if full:
                 yield from _laid(number, levels.content.pop(number))
 
