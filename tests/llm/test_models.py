@@ -125,3 +125,28 @@ def test_rare_words_speak_for_neither_class(spark):
 
 def test_isotonic_pools():
     assert charmodel.isotonic([0.0, 0.5, 0.3, 1.0], [1, 1, 1, 1]) == [0.0, 0.4, 0.4, 1.0]
+
+
+def test_every_labelled_training_text_counts(spark):
+    """Also those of the fifth by xxhash64 that once only calibrated."""
+    rows = spark.range(6000).selectExpr("id AS doc_id", "pmod(xxhash64(id), 5) AS fifth").collect()
+    texts = [(r["doc_id"], f"plain words here {'vile' if r['fifth'] == 0 else 'mild'}", int(r["fifth"] == 0 or r["doc_id"] % 7 == 0)) for r in rows]
+    frame = spark.createDataFrame(texts, "doc_id long, text string, toxic int")
+    model = toxicity.fit(frame.select("doc_id", "text"), frame.select("doc_id", "toxic"))
+    vile, mild = model.broadcast.value.ratios(toxicity._words(pa.array(["vile mild"]))[0])
+    assert vile > 3 and mild < 0
+
+
+def test_own_counts_are_taken_off(spark):
+    """As if the text had not been counted; discounts and the words' number stay."""
+    rows = [(f"common words {'filth filth' if i % 4 == 0 else 'fine'} only{i}", int(i % 4 == 0)) for i in range(200)]
+    names = ("ordinary", "toxic", "texts")
+
+    def model(of):
+        counted = spark.createDataFrame(of, "text string, cls int").mapInArrow(toxicity._count, "word long, ordinary long, toxic long, texts long")
+        return toxicity.word_model(counted.groupBy("word").agg(*[toxicity.F.sum(c).alias(c) for c in names]))
+
+    whole, without = model(rows), model(rows[1:])
+    without.discounts, without.spare, without.vocabulary = whole.discounts, whole.spare, whole.vocabulary
+    text = pa.array([rows[0][0]])
+    assert np.allclose(toxicity.compared(whole, text, np.array([rows[0][1]])), toxicity.compared(without, text))

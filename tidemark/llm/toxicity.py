@@ -9,8 +9,9 @@ toxic words, which they hold too, but not for words of a single toxic text.)  A
 length-normalised log-likelihood ratio and by the ratio of its worst word, because one
 expression makes a long text toxic.
 
-Rows whose crc32(doc_id) mod 3 is 1 are held out.  The others give the counts, except
-that the labels of about a fifth of them calibrate the score.
+Rows whose crc32(doc_id) mod 3 is 1 are held out.  All others with a label give the
+counts.  A bounded sample of them also calibrates the score, each text by counts from
+which its own are taken off.
 
 Counts reach the tasks as two hashed tables of 2^BITS slots (a word's count is the
 smaller of its two slots), which bounds what is broadcast whatever the vocabulary.
@@ -38,7 +39,6 @@ TABLES = 2
 BITS = 21
 #: Labelled rows that calibrate the score, at most.
 FIT_ROWS = 20_000
-FIT_SHARE = 5
 _ORDINARY, _TOXIC = 0, 1
 _HELD = 1_000_000
 #: ASCII that is not a letter.
@@ -110,14 +110,26 @@ class WordModel:
     all_texts: float
     vocabulary: float
 
-    def ratios(self, hashes: np.ndarray) -> np.ndarray:
-        """Log-likelihood ratio, toxic against ordinary, of every word."""
+    def ratios(self, hashes: np.ndarray, own: tuple[np.ndarray, np.ndarray] | None = None) -> np.ndarray:
+        """Log-likelihood ratio, toxic against ordinary, of every word.
+
+        ``own`` takes a counted text's own contribution off: per word, the class of its
+        text and the number of different words there.
+        """
         seen = np.minimum.reduce([self.counts[t][slots(hashes, t)] for t in range(TABLES)]).astype(np.float64)
-        shared = (seen[:, 2] + 0.5) / (self.all_texts + 0.5 * self.vocabulary + 0.5)
+        totals, all_texts = self.totals, self.all_texts
+        if own is not None:
+            classes, kinds = own
+            for c in (_ORDINARY, _TOXIC):
+                seen[:, c] -= classes == c
+            seen[:, 2] -= 1
+            seen = np.maximum(seen, 0)
+            totals, all_texts = [np.maximum(t - kinds * (classes == c), 1) for c, t in enumerate(totals)], np.maximum(all_texts - kinds, 0)
+        shared = (seen[:, 2] + 0.5) / (all_texts + 0.5 * self.vocabulary + 0.5)
         logs = []
         for c in (_ORDINARY, _TOXIC):
             discount = np.array(self.discounts[c])[np.minimum(seen[:, c], 3).astype(np.int64)]
-            logs.append(np.log(np.maximum(seen[:, c] - discount, 0) / self.totals[c] + self.spare[c] * shared))
+            logs.append(np.log(np.maximum(seen[:, c] - discount, 0) / totals[c] + self.spare[c] * shared))
         return logs[_TOXIC] - logs[_ORDINARY]
 
 
@@ -155,30 +167,42 @@ def word_model(counted: DataFrame) -> WordModel | None:
 
 
 class _Compare:
-    """Appends the log-likelihood ratio a word of the whole text, and that of its worst word."""
+    """Appends the log-likelihood ratio a word of the whole text, and that of its worst word.
+
+    With ``counted`` the texts are among those counted, and have their class in ``cls``.
+    """
 
-    def __init__(self, model, columns: list[str]) -> None:
-        self.model, self.columns = model, columns
+    def __init__(self, model, columns: list[str], counted: bool) -> None:
+        self.model, self.columns, self.counted = model, columns, counted
 
     def __call__(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in text_slices(batch):
-                whole, worst = compared(self.model.value, part.column("text"))
+                whole, worst = compared(self.model.value, part.column("text"), part.column("cls").to_numpy() if self.counted else None)
                 yield pa.RecordBatch.from_arrays([*[part.column(c) for c in self.columns], pa.array(whole), pa.array(worst)], [*self.columns, "whole", "worst"])
 
 
-def compared(model: WordModel, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+def compared(model: WordModel, texts: pa.Array, classes: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Ratios of the whole text and of its worst word; ``classes`` are given for texts that are counted."""
     hashes, first = _words(texts)
     whole, worst = np.zeros(len(texts)), np.zeros(len(texts))
     size = np.diff(first)
     filled = size > 0
     if filled.any():
-        ratios = model.ratios(hashes)
+        ratios = model.ratios(hashes, None if classes is None else _own(hashes, size, classes))
         whole[filled] = np.add.reduceat(ratios, first[:-1][filled]) / size[filled]
         worst[filled] = np.maximum.reduceat(ratios, first[:-1][filled])
     return whole, worst
 
 
+def _own(hashes: np.ndarray, size: np.ndarray, classes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Per word: the class of its text, and the number of different words there."""
+    text_of = np.repeat(np.arange(len(size)), size)
+    _, word = np.unique(hashes, return_inverse=True)
+    kinds = np.bincount(np.unique(word.astype(np.int64) * len(size) + text_of) % len(size), minlength=len(size))
+    return classes[text_of], kinds[text_of]
+
+
 def logistic(features: np.ndarray, labels: np.ndarray, steps: int = 50) -> list[float]:
     """Weights of a logistic regression with an intercept, by Newton steps with a small penalty."""
     x = np.column_stack([np.ones(len(features)), features])
@@ -213,9 +237,10 @@ class ToxicityModel:
     limits: list[float]
     shares: list[float]
 
-    def measured(self, docs: DataFrame, columns: list[str]) -> DataFrame:
+    def measured(self, docs: DataFrame, columns: list[str], counted: bool = False) -> DataFrame:
         schema = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in columns)
-        return docs.select(*dict.fromkeys([*columns, "text"])).mapInArrow(_Compare(self.broadcast, columns), f"{schema}, whole double, worst double")
+        read = [*columns, "text", *(["cls"] if counted else [])]
+        return docs.select(*dict.fromkeys(read)).mapInArrow(_Compare(self.broadcast, columns, counted), f"{schema}, whole double, worst double")
 
     def score(self) -> Column:
         """Nine tenths calibrated step, one tenth logistic, which orders texts within a step."""
@@ -230,19 +255,20 @@ class ToxicityModel:
 def fit(docs: DataFrame, labels: DataFrame) -> ToxicityModel | None:
     """Learn from the text of ``docs`` (doc_id, text) and ``labels`` (doc_id, toxic); None if a class is missing."""
     spark = docs.sparkSession
-    fold, part = remainder("doc_id", FOLDS), F.pmod(F.xxhash64("doc_id"), F.lit(FIT_SHARE))
+    fold = remainder("doc_id", FOLDS)
     marks = labels.where("toxic IS NOT NULL").groupBy("doc_id").agg(F.max("toxic").alias("toxic")).where(fold != HELD_OUT)
     texts = docs.select("doc_id", "text").where(fold != HELD_OUT)
     # One plan at every size: texts and labels meet by a shuffle, since labels have no bound.
-    classed = texts.join(marks.where(part != 0).hint("merge"), "doc_id").select("text", F.when(F.col("toxic") > 0, _TOXIC).otherwise(_ORDINARY).cast("int").alias("cls"))
+    cls = F.when(F.col("toxic") > 0, _TOXIC).otherwise(_ORDINARY).cast("int").alias("cls")
+    classed = texts.join(marks.hint("merge"), "doc_id").select("text", cls)
     counted = classed.mapInArrow(_count, "word long, ordinary long, toxic long, texts long")
     model = word_model(stored(counted.groupBy("word").agg(*[F.sum(c).alias(c) for c in ("ordinary", "toxic", "texts")]), "words"))
     if model is None:
         return None
     out = ToxicityModel(spark.sparkContext.broadcast(model), [-4.0, 0.0, 1.0], [-1e9], [0.0])
-    chosen = marks.where(part == 0).orderBy(F.xxhash64("doc_id", F.lit(1)), "doc_id").limit(FIT_ROWS)
-    sample = out.measured(texts.where(part == 0).join(F.broadcast(chosen), "doc_id"), ["toxic"]).toPandas()
-    toxic = (sample["toxic"] > 0).to_numpy().astype(float)
+    chosen = marks.orderBy(F.xxhash64("doc_id", F.lit(1)), "doc_id").limit(FIT_ROWS)
+    sample = out.measured(texts.join(F.broadcast(chosen), "doc_id").select("text", cls), ["cls"], counted=True).toPandas()
+    toxic = (sample["cls"] == _TOXIC).to_numpy().astype(float)
     if len(set(toxic)) == 2:
         out.weights = logistic(sample[["whole", "worst"]].to_numpy(), toxic)
         out.limits, out.shares = steps_of(sample["worst"].to_numpy(), toxic)
