@@ -150,3 +150,13 @@ def test_own_counts_are_taken_off(spark):
     without.discounts, without.spare, without.vocabulary = whole.discounts, whole.spare, whole.vocabulary
     text = pa.array([rows[0][0]])
     assert np.allclose(toxicity.compared(whole, text, np.array([rows[0][1]])), toxicity.compared(without, text))
+
+
+def test_no_word_takes_counts_of_another(spark):
+    """Millions of counted words: unseen ones stay unseen, and rare ones keep their own counts."""
+    counted = spark.range(6_000_000).selectExpr("xxhash64(id) AS word", "20L AS ordinary", "id % 2 AS toxic", "20 + id % 2 AS texts")
+    model = toxicity.word_model(counted)
+    probe = np.array([r[0] for r in spark.range(6_000_000, 6_000_500).selectExpr("xxhash64(id)").collect()]).view(np.uint64)
+    assert len(model.keys) == 6_000_000 and np.ptp(model.ratios(probe)) == 0
+    rare = np.array([r[0] for r in spark.range(500).selectExpr("xxhash64(id)").collect()]).view(np.uint64)
+    assert len(set(model.ratios(rare).round(6))) == 2

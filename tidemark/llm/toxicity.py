@@ -13,8 +13,8 @@ Rows whose crc32(doc_id) mod 3 is 1 are held out.  All others with a label give
 counts.  A bounded sample of them also calibrates the score, each text by counts from
 which its own are taken off.
 
-Counts reach the tasks as two hashed tables of 2^BITS slots (a word's count is the
-smaller of its two slots), which bounds what is broadcast whatever the vocabulary.
+Counts reach the tasks as sorted arrays of whole 64-bit word hashes, so no word takes
+another's counts; they grow with the vocabulary of the labelled texts, 20 bytes a word.
 """
 
 from __future__ import annotations
@@ -27,7 +27,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, functions as F
 
-from tidemark.llm.arrays import flat_bytes, mixed, text_slices, word_bytes, words
+from tidemark.llm.arrays import flat_bytes, text_slices, word_bytes, words
 from tidemark.llm.charmodel import isotonic
 from tidemark.llm.language import remainder
 from tidemark.llm.tables import stored
@@ -35,8 +35,6 @@ from tidemark.llm.tables import stored
 FOLDS = 3
 HELD_OUT = 1
 TOXIC_FROM = 0.7
-TABLES = 2
-BITS = 21
 #: Labelled rows that calibrate the score, at most.
 FIT_ROWS = 20_000
 _ORDINARY, _TOXIC = 0, 1
@@ -85,24 +83,11 @@ def _rows(keys: np.ndarray, counts: np.ndarray) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), *[pa.array(counts[:, c].copy()) for c in range(3)]], ["word", "ordinary", "toxic", "texts"])
 
 
-def slots(keys: np.ndarray, number: int) -> np.ndarray:
-    return (mixed(keys ^ np.uint64((number * 0x9E3779B97F4A7C15) & ((1 << 64) - 1))) >> np.uint64(64 - BITS)).astype(np.int64)
-
-
-def _slotted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        keys = batch.column("word").to_numpy().view(np.uint64)
-        for number in range(TABLES):
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(np.full(len(keys), number, np.int32)), pa.array(slots(keys, number).astype(np.int32)), *[batch.column(c) for c in ("ordinary", "toxic", "texts")]],
-                ["number", "slot", "ordinary", "toxic", "texts"],
-            )
-
-
 @dataclass
 class WordModel:
-    """Slot counts by table, and the sums and discounts of a class."""
+    """Word hashes in order, their counts (ordinary, toxic, texts), and the sums and discounts of a class."""
 
+    keys: np.ndarray
     counts: np.ndarray
     totals: list[float]
     discounts: list[list[float]]
@@ -116,7 +101,8 @@ class WordModel:
         ``own`` takes a counted text's own contribution off: per word, the class of its
         text and the number of different words there.
         """
-        seen = np.minimum.reduce([self.counts[t][slots(hashes, t)] for t in range(TABLES)]).astype(np.float64)
+        at = np.minimum(np.searchsorted(self.keys, hashes), len(self.keys) - 1)
+        seen = np.where((self.keys[at] == hashes)[:, None], self.counts[at], 0).astype(np.float64)
         totals, all_texts = self.totals, self.all_texts
         if own is not None:
             classes, kinds = own
@@ -155,15 +141,11 @@ def word_model(counted: DataFrame) -> WordModel | None:
         kinds = [sums[f"{c}1"], sums[f"{c}2"]]
         kinds.append(sums[f"{c}_kinds"] - sum(kinds))
         spare.append(sum(k * x for k, x in zip(kinds, d[1:])) / sums[c])
-    by_slot = (
-        counted.mapInArrow(_slotted, "number int, slot int, ordinary long, toxic long, texts long")
-        .groupBy("number", "slot").agg(*[F.least(F.sum(c), F.lit(2**31 - 1)).cast("int").alias(c) for c in (*names, "texts")]).toArrow()
-    )
-    counts = np.zeros((TABLES, 1 << BITS, 3), np.int32)
-    at = by_slot.column("number").to_numpy(), by_slot.column("slot").to_numpy()
-    for j, c in enumerate((*names, "texts")):
-        counts[(*at, j)] = by_slot.column(c).to_numpy()
-    return WordModel(counts, [float(sums[c]) for c in names], cut, spare, float(sums["texts"]), float(sums["words"]))
+    rows = counted.select("word", *[F.least(F.col(c), F.lit(2**31 - 1)).cast("int").alias(c) for c in (*names, "texts")]).toArrow()
+    keys = rows.column("word").to_numpy().view(np.uint64)
+    order = np.argsort(keys)
+    counts = np.stack([rows.column(c).to_numpy()[order] for c in (*names, "texts")], axis=1)
+    return WordModel(keys[order], counts, [float(sums[c]) for c in names], cut, spare, float(sums["texts"]), float(sums["words"]))
 
 
 class _Compare:
