@@ -160,3 +160,27 @@ def test_no_word_takes_counts_of_another(spark):
     assert len(model.keys) == 6_000_000 and np.ptp(model.ratios(probe)) == 0
     rare = np.array([r[0] for r in spark.range(500).selectExpr("xxhash64(id)").collect()]).view(np.uint64)
     assert len(set(model.ratios(rare).round(6))) == 2
+
+
+def test_toxicity_spread_over_moderate_words(spark):
+    """No single word tells the classes apart, their number does."""
+    pick = random.Random(5)
+    moderate, plain = [f"m{chr(97 + i)}" for i in range(20)], [f"p{chr(97 + i)}" for i in range(20)]
+    rows = []
+    for i in range(3000):
+        toxic = i % 3 == 0
+        rows.append((i, " ".join(pick.choice(moderate if pick.random() < (0.7 if toxic else 0.3) else plain) for _ in range(40)), int(toxic)))
+    frame = spark.createDataFrame(rows, "doc_id long, text string, toxic int")
+    got = {r["doc_id"]: r for r in toxicity.scored(frame.select("doc_id", "text"), frame.select("doc_id", "toxic")).collect()}
+    held = [(got[i]["predicted"], toxic) for i, _, toxic in rows if got[i]["held_out"]]
+    caught = sum(p and t for p, t in held)
+    assert caught >= 0.9 * sum(t for _, t in held) and caught >= 0.9 * sum(p for p, _ in held)
+
+
+def test_spans_stay_inside_texts():
+    class Plain:
+        def ratios(self, hashes, own=None):
+            return np.arange(len(hashes), dtype=float)
+
+    got = toxicity.compared(Plain(), pa.array(["a b c d e f g", None, "a b", "x", "", "a b c d e"]))
+    assert got.tolist() == [[3, 4, 6], [0, 0, 0], [7.5, 7.5, 8], [9, 9, 9], [0, 0, 0], [12, 12, 14]]

@@ -6,8 +6,10 @@ Each class discounts its counts and backs off to one distribution that both shar
 over all labelled texts.  A word that is rare everywhere is then about equally likely
 in both classes.  (Texts without a label stay out of it: they would count for frequent
 toxic words, which they hold too, but not for words of a single toxic text.)  A text is judged by its
-length-normalised log-likelihood ratio and by the ratio of its worst word, because one
-expression makes a long text toxic.
+length-normalised log-likelihood ratio, by that of its worst run of SPAN words and by
+the ratio of its worst word, because one expression makes a long text toxic.  A
+regression on labelled texts weighs the three, none of them against toxicity, and the
+score is the share of toxic texts at their weighted sum.
 
 Rows whose crc32(doc_id) mod 3 is 1 are held out.  All others with a label give the
 counts.  A bounded sample of them also calibrates the score, each text by counts from
@@ -25,7 +27,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import DataFrame, functions as F
 
 from tidemark.llm.arrays import flat_bytes, text_slices, word_bytes, words
 from tidemark.llm.charmodel import isotonic
@@ -37,6 +39,9 @@ HELD_OUT = 1
 TOXIC_FROM = 0.7
 #: Labelled rows that calibrate the score, at most.
 FIT_ROWS = 20_000
+#: Words of a short span.
+SPAN = 5
+_FEATURES = ("whole", "span", "worst")
 _ORDINARY, _TOXIC = 0, 1
 _HELD = 1_000_000
 #: ASCII that is not a letter.
@@ -83,6 +88,24 @@ def _rows(keys: np.ndarray, counts: np.ndarray) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), *[pa.array(counts[:, c].copy()) for c in range(3)]], ["word", "ordinary", "toxic", "texts"])
 
 
+@dataclass
+class Judge:
+    """From the three ratios of a text to its score."""
+
+    weights: list[float]
+    limits: list[float]
+    shares: list[float]
+
+    def sums(self, features: np.ndarray) -> np.ndarray:
+        return self.weights[0] + features @ np.array(self.weights[1:])
+
+    def score(self, features: np.ndarray) -> np.ndarray:
+        """Nine tenths calibrated step of the weighted sum, one tenth its logistic, which orders texts within a step."""
+        sums = self.sums(features)
+        step = np.array(self.shares)[np.maximum(np.searchsorted(self.limits, sums, "right") - 1, 0)]
+        return 0.9 * step + 0.1 / (1 + np.exp(-np.clip(sums, -30, 30)))
+
+
 @dataclass
 class WordModel:
     """Word hashes in order, their counts (ordinary, toxic, texts), and the sums and discounts of a class."""
@@ -149,32 +172,46 @@ def word_model(counted: DataFrame) -> WordModel | None:
 
 
 class _Compare:
-    """Appends the log-likelihood ratio a word of the whole text, and that of its worst word.
+    """Appends the three ratios of a text, and its score if there is a judge of them.
 
     With ``counted`` the texts are among those counted, and have their class in ``cls``.
     """
 
-    def __init__(self, model, columns: list[str], counted: bool) -> None:
-        self.model, self.columns, self.counted = model, columns, counted
+    def __init__(self, model, columns: list[str], counted: bool, judge: Judge) -> None:
+        self.model, self.columns, self.counted, self.judge = model, columns, counted, judge
 
     def __call__(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in text_slices(batch):
-                whole, worst = compared(self.model.value, part.column("text"), part.column("cls").to_numpy() if self.counted else None)
-                yield pa.RecordBatch.from_arrays([*[part.column(c) for c in self.columns], pa.array(whole), pa.array(worst)], [*self.columns, "whole", "worst"])
+                features = compared(self.model.value, part.column("text"), part.column("cls").to_numpy() if self.counted else None)
+                added = [*features.T, self.judge.score(features)]
+                yield pa.RecordBatch.from_arrays([*[part.column(c) for c in self.columns], *map(pa.array, added)], [*self.columns, *_FEATURES, "score"])
+
 
+def compared(model: WordModel, texts: pa.Array, classes: np.ndarray | None = None) -> np.ndarray:
+    """Per text the ratio a word of the whole, of its worst run of SPAN words, and of its worst word.
 
-def compared(model: WordModel, texts: pa.Array, classes: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
-    """Ratios of the whole text and of its worst word; ``classes`` are given for texts that are counted."""
+    A text of fewer words is one run; without words all are 0.  ``classes`` are given
+    for texts that are counted.
+    """
     hashes, first = _words(texts)
-    whole, worst = np.zeros(len(texts)), np.zeros(len(texts))
+    out = np.zeros((len(texts), len(_FEATURES)))
     size = np.diff(first)
     filled = size > 0
     if filled.any():
         ratios = model.ratios(hashes, None if classes is None else _own(hashes, size, classes))
-        whole[filled] = np.add.reduceat(ratios, first[:-1][filled]) / size[filled]
-        worst[filled] = np.maximum.reduceat(ratios, first[:-1][filled])
-    return whole, worst
+        begins = first[:-1][filled]
+        out[filled, 0] = np.add.reduceat(ratios, begins) / size[filled]
+        out[filled, 2] = np.maximum.reduceat(ratios, begins)
+        out[:, 1] = out[:, 0]
+        sums = np.concatenate([[0.0], np.cumsum(ratios)])
+        means = np.full(len(ratios), -np.inf)
+        ends = np.repeat(first[1:], size)
+        inside = np.flatnonzero(np.arange(len(ratios)) + SPAN <= ends)
+        means[inside] = (sums[inside + SPAN] - sums[inside]) / SPAN
+        longer = size[filled] >= SPAN
+        out[np.flatnonzero(filled)[longer], 1] = np.maximum.reduceat(means, begins)[longer]
+    return out
 
 
 def _own(hashes: np.ndarray, size: np.ndarray, classes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -199,39 +236,44 @@ def logistic(features: np.ndarray, labels: np.ndarray, steps: int = 50) -> list[
     return w.tolist()
 
 
-def steps_of(worst: np.ndarray, labels: np.ndarray, most: int = 256) -> tuple[list[float], list[float]]:
-    """How often a text is toxic by the ratio of its worst word: limits, and the share from each limit on."""
-    order = np.argsort(worst, kind="stable")
-    worst, labels = worst[order], labels[order]
+def weighed(features: np.ndarray, labels: np.ndarray) -> list[float]:
+    """Weights of a logistic regression; a feature that would speak against toxicity gets 0."""
+    used = list(range(features.shape[1]))
+    while True:
+        w = logistic(features[:, used], labels)
+        worst = min(range(len(used)), key=lambda i: w[1 + i], default=None)
+        if worst is None or w[1 + worst] >= 0:
+            out = [w[0], *[0.0] * features.shape[1]]
+            for i, j in enumerate(used):
+                out[1 + j] = w[1 + i]
+            return out
+        del used[worst]
+
+
+def steps_of(sums: np.ndarray, labels: np.ndarray, most: int = 256) -> tuple[list[float], list[float]]:
+    """How often a text is toxic by its weighted sum: limits, and the share from each limit on."""
+    order = np.argsort(sums, kind="stable")
+    sums, labels = sums[order], labels[order]
     shares = np.array(isotonic(labels.tolist(), [1.0] * len(labels)))
     begins = np.flatnonzero(np.diff(shares, prepend=-1.0) > 0)
     sizes = np.diff([*begins, len(labels)])
     # Half a text of either label in each step; a limit lies midway between the steps' texts.
     smooth = np.maximum.accumulate((shares[begins] * sizes + 0.25) / (sizes + 0.5))
-    limits = [-1e9, *[(worst[b - 1] + worst[b]) / 2 for b in begins[1:]]]
+    limits = [-1e9, *[(sums[b - 1] + sums[b]) / 2 for b in begins[1:]]]
     return limits[-most:], smooth.tolist()[-most:]
 
 
 @dataclass
 class ToxicityModel:
     broadcast: object
-    weights: list[float]
-    limits: list[float]
-    shares: list[float]
+    judge: Judge
 
     def measured(self, docs: DataFrame, columns: list[str], counted: bool = False) -> DataFrame:
+        """``columns`` of all rows, the three ratios and the score, under the names of ``_FEATURES`` and score."""
         schema = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in columns)
         read = [*columns, "text", *(["cls"] if counted else [])]
-        return docs.select(*dict.fromkeys(read)).mapInArrow(_Compare(self.broadcast, columns, counted), f"{schema}, whole double, worst double")
-
-    def score(self) -> Column:
-        """Nine tenths calibrated step, one tenth logistic, which orders texts within a step."""
-        base, whole, worst = self.weights
-        smooth = 1 / (1 + F.exp(-(F.lit(base) + F.lit(whole) * F.col("whole") + F.lit(worst) * F.col("worst"))))
-        step = F.lit(self.shares[0])
-        for limit, share in zip(self.limits[1:], self.shares[1:]):
-            step = F.greatest(step, F.when(F.col("worst") >= limit, share).otherwise(0.0))
-        return 0.9 * step + 0.1 * smooth
+        compare = _Compare(self.broadcast, columns, counted, self.judge)
+        return docs.select(*dict.fromkeys(read)).mapInArrow(compare, f"{schema}, {', '.join(f'{c} double' for c in _FEATURES)}, score double")
 
 
 def fit(docs: DataFrame, labels: DataFrame) -> ToxicityModel | None:
@@ -247,13 +289,14 @@ def fit(docs: DataFrame, labels: DataFrame) -> ToxicityModel | None:
     model = word_model(stored(counted.groupBy("word").agg(*[F.sum(c).alias(c) for c in ("ordinary", "toxic", "texts")]), "words"))
     if model is None:
         return None
-    out = ToxicityModel(spark.sparkContext.broadcast(model), [-4.0, 0.0, 1.0], [-1e9], [0.0])
+    out = ToxicityModel(spark.sparkContext.broadcast(model), Judge([-4.0, 0.0, 0.0, 1.0], [-1e9], [0.0]))
     chosen = marks.orderBy(F.xxhash64("doc_id", F.lit(1)), "doc_id").limit(FIT_ROWS)
     sample = out.measured(texts.join(F.broadcast(chosen), "doc_id").select("text", cls), ["cls"], counted=True).toPandas()
     toxic = (sample["cls"] == _TOXIC).to_numpy().astype(float)
     if len(set(toxic)) == 2:
-        out.weights = logistic(sample[["whole", "worst"]].to_numpy(), toxic)
-        out.limits, out.shares = steps_of(sample["worst"].to_numpy(), toxic)
+        features = sample[list(_FEATURES)].to_numpy()
+        out.judge.weights = weighed(features, toxic)
+        out.judge.limits, out.judge.shares = steps_of(out.judge.sums(features), toxic)
     return out
 
 
@@ -270,7 +313,7 @@ def scored(docs: DataFrame, labels: DataFrame) -> DataFrame:
     model = fit(docs, labels)
     if model is None:
         return docs.select("doc_id", held_out, F.lit(0.0).alias("score"), F.lit(0).alias("predicted"))
-    return model.measured(docs, ["doc_id"]).select("doc_id", held_out, model.score().alias("score")).withColumn(
+    return model.measured(docs, ["doc_id"]).select("doc_id", held_out, "score").withColumn(
         "predicted", (F.col("score") >= TOXIC_FROM).cast("int")
     )
 
@@ -281,5 +324,5 @@ def clean(docs: DataFrame, labels: DataFrame) -> DataFrame:
     if model is None:
         return docs
     plain = docs.select(*[F.col(c).alias(c if c == "text" else f"in_{i}") for i, c in enumerate(docs.columns)])
-    kept = model.measured(plain, plain.columns).where(model.score() < TOXIC_FROM)
+    kept = model.measured(plain, plain.columns).where(F.col("score") < TOXIC_FROM)
     return kept.select(*[F.col(p).alias(c) for p, c in zip(plain.columns, docs.columns)])
