@@ -38,3 +38,16 @@ def test_ties_and_empty_known_texts(spark):
 def test_plan_has_no_python(spark, odd):
     plan = licences.scan(odd, licences.known_licences(spark))._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan.replace("Scan ExistingRDD", "") and "Arrow" not in plan
+
+
+def test_whole_licences(spark):
+    bodies = {p.stem: p.read_text(encoding="utf-8") for p in licences.TEXTS.glob("*.txt")}
+    names = sorted(bodies)
+    texts = [bodies[n] for n in names]
+    flat = ["\n\n".join(" ".join(part.split()) for part in t.split("\n\n")) for t in texts]
+    headed = ["MIT License\n\nCopyright (c) 2020 A. Body\n\n" + bodies["MIT"], "Copyright 2021 B\nAll rights reserved" + bodies["ISC"], bodies["Apache-2.0"].split("APPENDIX")[0]]
+    got = scan(spark, texts + flat + headed + [t + " and more" for t in texts])
+    expected = [n.removesuffix(".University") for n in names]
+    assert [got[i]["text_licence"] for i in range(2 * len(names))] == expected * 2 and len(names) >= 20
+    rest = [got[i]["text_licence"] for i in range(2 * len(names), len(got))]
+    assert rest == ["MIT", None, "Apache-2.0"] + [None] * len(names)

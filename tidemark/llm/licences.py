@@ -7,6 +7,9 @@ whole texts and for each of their lines, since notices stand within other text.
 
 from __future__ import annotations
 
+import re
+from pathlib import Path
+
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 #: Short notices and licences by SPDX identifier.
@@ -21,6 +24,16 @@ KNOWN = {
         "copyright notice and this permission notice appear in all copies.",
     ],
 }
+#: Whole licences, as <SPDX identifier>[.<variant>].txt.
+TEXTS = Path(__file__).parent / "licence_texts"
+#: Titles that stand above licences whose text does not begin with one.
+TITLES = {
+    "MIT": ["MIT License", "The MIT License", "The MIT License (MIT)"], "BSD-2-Clause": ["BSD 2-Clause License", "The 2-Clause BSD License"],
+    "BSD-3-Clause": ["BSD 3-Clause License", "The 3-Clause BSD License"], "ISC": ["ISC License", "The ISC License"],
+    "0BSD": ["BSD Zero Clause License", "Zero-Clause BSD"], "Zlib": ["zlib License", "The zlib License"], "Unlicense": ["The Unlicense"],
+}
+#: What may follow the last term of a licence.
+APPENDIX = re.compile(r"(?<=END OF TERMS AND CONDITIONS)\s.*", re.DOTALL)
 #: Equivalent spellings, replaced in this order in lower-case text.
 SPELLINGS = [("licence", "license"), ("sub-license", "sublicense"), ("non-commercial", "noncommercial"), ("https:", "http:"), ("copyright holder", "copyright owner"), ("&", " and ")]
 COPYRIGHT_LINE = r"(?m)^[ \t]*(copyright|\(c\)|©)[^\n]*$"
@@ -45,7 +58,23 @@ def digest(text: Column) -> Column:
 
 
 def known_licences(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame([(name, text) for name, texts in KNOWN.items() for text in texts], "licence string, text string")
+    """Notices of ``KNOWN`` and the whole licences of ``TEXTS``."""
+    notices = [(name, text) for name, texts in KNOWN.items() for text in texts]
+    return spark.createDataFrame(notices + whole_licences(), "licence string, text string")
+
+
+def whole_licences() -> list[tuple[str, str]]:
+    """Each licence with and without title and appendix, as wrapped and with a line for each paragraph.
+
+    How a text is wrapped matters only where a line of it begins like a copyright line.
+    """
+    out = []
+    for path in sorted(TEXTS.glob("*.txt")):
+        name, text = re.sub(r"\.[A-Z]\w*$", "", path.stem), path.read_text(encoding="utf-8")
+        for body in dict.fromkeys([text, APPENDIX.sub("", text)]):
+            for layout in (body, "\n\n".join(" ".join(part.split()) for part in re.split(r"\n\s*\n", body))):
+                out.extend((name, title + layout) for title in ("", *[f"{t}\n\n" for t in TITLES.get(name, [])]))
+    return out
 
 
 def scan(docs: DataFrame, known: DataFrame) -> DataFrame:
