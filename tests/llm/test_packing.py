@@ -1,9 +1,11 @@
+import zlib
+
 import numpy as np
 import pytest
 from tokenizers import Tokenizer
 
 from tests.llm.conftest import odd_rows
-from tidemark.llm import packing
+from tidemark.llm import packing, queries
 from tidemark.llm.queries import VOCABULARY
 
 
@@ -71,3 +73,20 @@ def test_sum_of_squares_choice():
                 options.append(squares(after))
         levels.place(size)
         assert squares(levels.count) == min(options)
+
+
+def test_query_gives_special_tokens_their_id(spark, tmp_path):
+    """The ids of the tokenizers library with nothing but add_special_tokens=False."""
+    plain, literal = Tokenizer.from_file(VOCABULARY), "<|endoftext|>"
+    texts = [f"a {literal} b", literal, f"{literal}{literal}\n x", f"end {literal}", "<|endoftext|", f"caf\u00e9{literal}'s  12", "none", None]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    frame = spark.read.parquet(f"{tmp_path}/documents.parquet")
+    found, _ = rebuilt(packing.packed(frame, VOCABULARY, special=True).collect(), packing.WINDOW)
+    for (doc, total), parts in found.items():
+        ids = [x for _, part in parts for x in part]
+        assert ids == ids_of(plain, texts[doc]) and total == len(ids)
+    assert len(found) == len(texts)
+    got = queries.op3_sum_of_squares_packing(spark, str(tmp_path)).collect()
+    expected = {i: zlib.crc32(np.array(ids_of(plain, t), "<u4").tobytes()) for i, t in enumerate(texts)}
+    assert {r["doc_id"]: r["ids_crc32"] for r in got if r["length"] == r["doc_tokens"]}.items() <= expected.items()
+    assert {r["doc_id"]: r["doc_tokens"] for r in got} == {i: len(ids_of(plain, t)) for i, t in enumerate(texts)}

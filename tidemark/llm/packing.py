@@ -34,16 +34,20 @@ Piece = tuple[object, int, int, np.ndarray]
 
 @lru_cache(maxsize=2)
 def encoder(vocabulary: str):
-    """A byte-level BPE encoder for a tokenizer file; it gives the ids the tokenizers library gives."""
+    """A byte-level BPE encoder for a tokenizer file; it gives the ids the tokenizers library gives.
+
+    The file's special tokens are known to it; a caller allows them or takes them as text.
+    """
     import public_tokenizers
     import tiktoken
 
     with open(vocabulary, encoding="utf-8") as file:
-        tokens = json.load(file)["model"]["vocab"]
+        content = json.load(file)
+    tokens, special = content["model"]["vocab"], {t["content"]: t["id"] for t in content["added_tokens"] if t["special"]}
     plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
     letters = {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(sorted(set(range(256)) - set(plain)))}
-    ranks = {bytes(letters[c] for c in t): i for t, i in tokens.items() if all(c in letters for c in t) and t != "<|endoftext|>"}
-    return tiktoken.Encoding("bpe", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    ranks = {bytes(letters[c] for c in t): i for t, i in tokens.items() if all(c in letters for c in t) and t not in special}
+    return tiktoken.Encoding("bpe", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens=special)
 
 
 class Levels:
@@ -103,8 +107,9 @@ _PIECES = "doc_id {id}, start long, length long, ids binary, doc_tokens long, se
 
 
 class _Pack:
-    def __init__(self, vocabulary: str, window: int, separator: int) -> None:
+    def __init__(self, vocabulary: str, window: int, separator: int, special: bool) -> None:
         self.vocabulary, self.window, self.separator = vocabulary, window, separator
+        self.allowed = "all" if special else set()
 
     def __call__(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         levels, bpe, out = Levels(self.window, TaskContext.get().partitionId() << 40), encoder(self.vocabulary), []
@@ -112,7 +117,7 @@ class _Pack:
         for batch in batches:
             kind = batch.column("doc_id").type
             for doc, text in zip(batch.column("doc_id"), batch.column("text")):
-                ids = np.append(bpe.encode_to_numpy(text.as_py() or "", disallowed_special=()), np.uint32(self.separator)).astype("<u4")
+                ids = np.append(bpe.encode_to_numpy(text.as_py() or "", allowed_special=self.allowed, disallowed_special=()), np.uint32(self.separator)).astype("<u4")
                 out.extend(self._placed(levels, doc.as_py(), ids))
                 tokens += len(ids)
                 if len(levels.content) > OPEN:
@@ -158,13 +163,15 @@ def _laid(number: int, pieces: list[Piece]) -> Iterator[tuple]:
         offset += len(ids)
 
 
-def packed(docs: DataFrame, vocabulary: str, window: int = WINDOW, separator: int = SEPARATOR) -> DataFrame:
+def packed(docs: DataFrame, vocabulary: str, window: int = WINDOW, separator: int = SEPARATOR, special: bool = False) -> DataFrame:
     """Pieces of all rows of ``docs`` (doc_id, text): doc_id, start, length, ids, doc_tokens, sequence_id, offset.
 
     ``ids`` holds little-endian unsigned 32-bit ids.  ``vocabulary`` is the path of a
-    byte-level BPE tokenizer file.  A null or empty text is the separator alone.  Every
+    byte-level BPE tokenizer file.  With ``special`` its special tokens, written out in a
+    text, have their one id, as the tokenizers library does by itself; else they are
+    text like other text (its ``encode_special_tokens``).  A null or empty text is the separator alone.  Every
     row is a document of its own, also when its doc_id repeats or is null.  No rows give
     no pieces.  Other columns are not read.
     """
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text").mapInArrow(_Pack(vocabulary, window, separator), _PIECES.format(id=kind))
+    return docs.select("doc_id", "text").mapInArrow(_Pack(vocabulary, window, separator, special), _PIECES.format(id=kind))

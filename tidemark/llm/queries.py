@@ -26,7 +26,7 @@ def op2_language_models(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_sum_of_squares_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pieces = packing.packed(table(spark, sf_dir, "documents"), VOCABULARY)
+    pieces = packing.packed(table(spark, sf_dir, "documents"), VOCABULARY, special=True)
     return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
 
 

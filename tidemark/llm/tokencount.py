@@ -5,7 +5,7 @@ every leaf and the sums of every subtree.  An edit finds its leaves by descendin
 character sums, encodes again from the leaf before it until pre-tokens meet an old leaf
 border behind it, and updates the sums on the paths of the leaves in between.  The split
 into pre-tokens looks at most two characters ahead and never back, so nothing outside
-that region changes.
+that region changes.  Special tokens written out in a text count as text like other text.
 """
 
 from __future__ import annotations
