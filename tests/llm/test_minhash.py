@@ -109,3 +109,13 @@ def test_signatures_estimate_similarity():
 def test_short_texts_are_one_shingle():
     sets = minhash.shingle_sets(pa.array(["a b", "A  B", "a b c", "", None]))
     assert [len(s) for s in sets] == [1, 1, 1, 0, 0] and sets[0] == sets[1] and sets[0] != sets[2]
+
+
+def test_one_doc_id_in_several_groups(spark):
+    """A row that duplicates nothing stays, whatever its doc_id; null ids go only where a doc_id is."""
+    first, other, third = (" ".join(f"{w}{i}" for i in range(40)) for w in ("a", "b", "c"))
+    near = first.replace("a39", "z")
+    rows = [(1, first), (1, first), (1, near), (1, other), (1, None), (1, ""), (1, ""), (None, other), (None, third), (None, third), (2, near)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = [(r["doc_id"], "first" if r["text"] in (first, near) else r["text"]) for r in minhash.without_near_duplicates(docs).collect()]
+    assert sorted(got, key=str) == sorted([(1, "first"), (1, other), (1, None), (1, ""), (None, third), (None, third)], key=str)

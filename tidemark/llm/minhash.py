@@ -314,11 +314,11 @@ def near_duplicates(docs: DataFrame, same: bool = False) -> DataFrame:
             if members.isEmpty():
                 break
     least = own.groupBy("root").agg(F.min("first_id").alias("component_id"))
-    known = stored(own.join(least, "root").select("node", "component_id"), "components")
-    hashed = ["same"] if same else []
+    known = stored(own.join(least, "root").select("node", "component_id", "root"), "components")
+    hashed, rooted = (["same"], ["root"]) if same else ([], [])
     out = sketches.select("doc_id", *hashed, "n_shingles", "node").join(known, "node", "left")
     component = F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("component_id"))
-    return out.select("doc_id", *hashed, "n_shingles", component.alias("component_id")).withColumn(
+    return out.select("doc_id", *hashed, *rooted, "n_shingles", component.alias("component_id")).withColumn(
         "kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.col("component_id").isNull())
     )
 
@@ -326,14 +326,20 @@ def near_duplicates(docs: DataFrame, same: bool = False) -> DataFrame:
 def without_near_duplicates(docs: DataFrame) -> DataFrame:
     """One row of ``docs`` for each group, with all its columns.
 
-    Rows are told by doc_id and text.  Of rows that repeat the doc_id and text of a
-    group's smallest document any one stays; rows without a doc_id are all kept.
+    Rows are told by doc_id and text.  Of the rows of a group that have its smallest
+    doc_id any one stays, and so does one of equal texts without words under one doc_id;
+    rows of one doc_id in different groups all stay.  Rows without a doc_id are dropped
+    from a group that has a doc_id, and else are all kept.
     """
     found = near_duplicates(docs, same=True)
     dropped = found.where(~F.col("kept")).select(F.col("doc_id").alias("__id"), F.col("same").alias("__same"))
-    repeated = found.where("kept AND doc_id IS NOT NULL").groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("doc_id")
+    one_of = F.coalesce(F.hex("root"), F.col("same").cast("string")).alias("__group")
+    kept = found.where("kept AND doc_id IS NOT NULL").select(F.col("doc_id").alias("__id"), F.col("same").alias("__same"), one_of)
+    repeated = kept.join(kept.groupBy("__id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("__id"), "__id").distinct()
     rest = docs.join(dropped.distinct(), docs["doc_id"].eqNullSafe(F.col("__id")) & F.xxhash64(docs["text"]).eqNullSafe(F.col("__same")), "left_anti")
     if repeated.isEmpty():
         return rest
     repeated = stored(repeated, "repeated")
-    return rest.join(repeated, "doc_id", "left_anti").unionByName(rest.join(repeated, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(*docs.columns))
+    single = rest.join(repeated.select("__id").distinct(), rest["doc_id"] == F.col("__id"), "left_anti")
+    several = rest.join(repeated, (rest["doc_id"] == F.col("__id")) & F.xxhash64(rest["text"]).eqNullSafe(F.col("__same")))
+    return single.unionByName(several.dropDuplicates(["doc_id", "__group"]).select(*docs.columns))
