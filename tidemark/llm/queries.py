@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tidemark.llm import decontaminate, language, licences, packing, sharding, sketches, sql, tokencount, toxicity, warc
+from tidemark.llm import bitplanes, decontaminate, language, licences, packing, resampling, sharding, sketches, sql, tokencount, toxicity, vectorgraph, warc
 from tidemark.llm.minhash import near_duplicates
 from tidemark.llm.tables import table
 from tidemark.session import scratch_path
@@ -76,9 +76,23 @@ def op10_positional_decontamination(spark: SparkSession, sf_dir: str) -> DataFra
     )
 
 
+def op11_pruned_graph_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found, _ = vectorgraph.near_duplicate_vectors(table(spark, sf_dir, "embeddings"))
+    return found
+
+
+def op12_bit_plane_clustering(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bitplanes.clustered(table(spark, sf_dir, "embeddings"))
+
+
+def op13_radix_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resampling.resampled(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 _ALL = (
     op1_minmax_near_duplicates, op2_language_models, op3_sum_of_squares_packing, op4_licence_digests, op5_content_addressed_archive, op6_kd_shards,
-    op7_paragraph_sketches, op8_toxicity_models, op9_edit_aware_counts, op10_positional_decontamination,
+    op7_paragraph_sketches, op8_toxicity_models, op9_edit_aware_counts, op10_positional_decontamination, op11_pruned_graph_near_duplicates,
+    op12_bit_plane_clustering, op13_radix_importance_resampling,
 )
 
 

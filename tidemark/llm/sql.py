@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from tidemark.llm import licences
+from tidemark.llm import bitplanes, licences, resampling
 from tidemark.llm.decontaminate import PERCENT, WINDOW
 from tidemark.llm.minhash import SHINGLE, SIMILARITY
+from tidemark.llm.vectorgraph import COSINE
 from tidemark.llm.warc import LEAST
 
 _LOWER = f"translate(coalesce(text, ''), '{licences.UPPER}', '{licences.LOWER}')"
@@ -73,6 +74,65 @@ SELECT d.doc_id, len(w) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_item
 FROM d LEFT JOIN n USING (doc_id) LEFT JOIN t USING (doc_id)
 """
 
+NEAR_VECTORS = f"""
+WITH RECURSIVE e AS (SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS v FROM embeddings),
+  g AS (SELECT *, sqrt(list_dot_product(v, v)) AS norm FROM e WHERE label IS NOT NULL AND len(v) > 0 AND len(list_filter(v, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+  u AS (SELECT * FROM g WHERE norm > 0),
+  l AS (SELECT a.vec_id AS a, b.vec_id AS b FROM u a JOIN u b ON a.label = b.label AND len(a.v) = len(b.v) AND a.vec_id <> b.vec_id
+    WHERE list_dot_product(a.v, b.v) / (a.norm * b.norm) >= {COSINE}),
+  r AS (SELECT vec_id, vec_id AS reached FROM e UNION SELECT r.vec_id, l.b FROM r JOIN l ON l.a = r.reached),
+  n AS (SELECT a AS vec_id, count(*) AS n FROM l GROUP BY a)
+SELECT vec_id, coalesce(any_value(n), 0) AS n_links, min(reached) AS component_id, vec_id = min(reached) AS kept FROM r LEFT JOIN n USING (vec_id) GROUP BY vec_id
+"""
+
+
+def _clusters() -> str:
+    """The rounds written out; DuckDB's // rounds towards zero, so the sums are brought to a multiple of the count first."""
+    nearest = """a{r} AS MATERIALIZED (SELECT vec_id, v, unnest(d).c AS cluster, unnest(d).distance AS distance FROM (
+    SELECT vec_id, any_value(v) AS v, [arg_min({{'c': c, 'distance': distance}}, (distance, c))] AS d FROM (
+      SELECT vec_id, v, c, list_sum(list_transform(range(1, {n} + 1), lambda i: (v[i] - m[i]) * (v[i] - m[i]))) AS distance FROM k, c{r}) GROUP BY vec_id))"""
+    moved = """c{s} AS MATERIALIZED (SELECT c, coalesce(any_value(w), any_value(m)) AS m FROM c{r} LEFT JOIN (
+    SELECT cluster, list(((t - ((t % n) + n) % n) // n)::BIGINT ORDER BY i) AS w FROM (
+      SELECT cluster, i, sum(v[i])::BIGINT AS t, count(*) AS n FROM a{r}, range(1, {n} + 1) x(i) GROUP BY cluster, i) GROUP BY cluster) ON cluster = c GROUP BY c)"""
+    steps = [
+        f"""WITH e AS (SELECT vec_id, embedding FROM embeddings
+    WHERE len(embedding) = {bitplanes.DIMENSIONS} AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0)""",
+        f"k AS MATERIALIZED (SELECT vec_id, list_transform(embedding, lambda x: floor({bitplanes.SCALE} * x::DOUBLE)::BIGINT) AS v FROM e)",
+        f"""c0 AS MATERIALIZED (SELECT row_number() OVER (ORDER BY h) - 1 AS c, v AS m FROM (
+    SELECT v, sha256('{bitplanes.SEED}:' || vec_id) AS h FROM k ORDER BY h LIMIT {bitplanes.CLUSTERS}))""",
+    ]
+    for r in range(bitplanes.ROUNDS):
+        steps += [nearest.format(r=r, n=bitplanes.DIMENSIONS), moved.format(r=r, s=r + 1, n=bitplanes.DIMENSIONS)]
+    last = bitplanes.ROUNDS
+    return ",\n  ".join([*steps, nearest.format(r=last, n=bitplanes.DIMENSIONS)]) + f"""
+SELECT vec_id, cluster::INT AS cluster, distance::BIGINT AS distance, (sum(distance) OVER (PARTITION BY cluster))::BIGINT AS cluster_inertia,
+  (sum(distance) OVER ())::BIGINT AS inertia, sha256(array_to_string(m, ',')) AS centroid_sha256
+FROM a{last} JOIN c{last} ON c = cluster
+"""
+
+
+CLUSTERS = _clusters()
+
+#: crc32 by its table of 256 steps, over the bytes of each distinct word.
+RESAMPLING = rf"""
+WITH x AS (SELECT list(list_reduce(list_prepend(i, range(8)), lambda c, b: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) ORDER BY i) AS steps
+    FROM range(256) r(i)),
+  d AS (SELECT doc_id, unnest({_WORDS}) AS word FROM documents), q AS (SELECT unnest({_WORDS}) AS word FROM benchmark),
+  w AS (SELECT word, hex(encode(word)) AS h FROM (SELECT word FROM d UNION SELECT word FROM q)),
+  b AS MATERIALIZED (SELECT word, xor(list_reduce(list_prepend(4294967295, list_transform(range(1, len(h), 2), lambda i: ('0x' || substr(h, i, 2))::BIGINT)),
+    lambda c, y: xor(c >> 8, steps[(xor(c, y) & 255) + 1])), 4294967295) % {resampling.BUCKETS} AS bucket FROM w, x),
+  s AS (SELECT bucket, count(*) AS s FROM d JOIN b USING (word) GROUP BY bucket), t AS (SELECT bucket, count(*) AS t FROM q JOIN b USING (word) GROUP BY bucket),
+  g AS (SELECT i AS bucket, floor(1000 * ln((coalesce(t, 0) + 1.0::DOUBLE) * ((SELECT coalesce(sum(s), 0) FROM s)::DOUBLE + {resampling.BUCKETS})
+    / ((coalesce(s, 0) + 1.0::DOUBLE) * ((SELECT coalesce(sum(t), 0) FROM t)::DOUBLE + {resampling.BUCKETS}))))::BIGINT AS gain
+    FROM range({resampling.BUCKETS}) r(i) LEFT JOIN s ON s.bucket = i LEFT JOIN t ON t.bucket = i),
+  m AS (SELECT doc_id, count(*) AS n, sum(gain)::BIGINT AS total FROM d JOIN b USING (word) JOIN g USING (bucket) GROUP BY doc_id),
+  f AS (SELECT doc_id, coalesce(n, 0) AS n_features, coalesce((total - ((total % n) + n) % n) // n, 0)::BIGINT AS weight FROM documents LEFT JOIN m USING (doc_id)),
+  p AS (SELECT *, weight + floor(-1000 * ln(-ln((('0x' || substr(sha256('{resampling.SEED}:' || doc_id), 1, 8))::BIGINT::DOUBLE + 0.5) / 4294967296)))::BIGINT AS score FROM f),
+  o AS (SELECT doc_id, row_number() OVER (ORDER BY score DESC, doc_id) AS place, count(*) OVER () AS n FROM p WHERE n_features >= {resampling.LEAST_WORDS})
+SELECT doc_id, n_features, weight, score, CASE WHEN place <= {resampling.PERCENT} * n // 100 THEN place END AS rank FROM p LEFT JOIN o USING (doc_id)
+"""
+
 ORACLES = {
     "op1_minmax_near_duplicates": NEAR_DUPLICATES, "op4_licence_digests": LICENCES, "op5_content_addressed_archive": ARCHIVE, "op10_positional_decontamination": CONTAMINATION,
+    "op11_pruned_graph_near_duplicates": NEAR_VECTORS, "op12_bit_plane_clustering": CLUSTERS, "op13_radix_importance_resampling": RESAMPLING,
 }
