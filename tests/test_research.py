@@ -132,12 +132,23 @@ def test_huber_matches_numpy(spark):
     assert abs(model.intercept - intercept) < 1e-6
 
 
-def test_wide_gram_equals_the_aggregate(spark, monkeypatch):
+@pytest.mark.parametrize("parts", [1, 3, 7])
+def test_gram_equals_sql_sums_and_numpy(spark, parts):
+    """Nulls and NaN leave a row out; a null group is a group; the partitioning is of no account."""
     x, y = data(100)
-    df = table(spark, x, y).withColumn("g", F.lit(1))
-    narrow = fit.gram(df, ["a", "b", "c"], "y", "g")[1]
-    monkeypatch.setattr(fit, "WIDE", 1)
-    np.testing.assert_allclose(fit.gram(df, ["a", "b", "c"], "y", "g")[1], narrow, atol=1e-9)
+    rows = [(*map(float, a), float(t), i % 3 if i % 10 else None, 1.0 + i % 4) for i, (a, t) in enumerate(zip(x, y))]
+    rows += [(None, 1.0, 1.0, 1.0, 0, 1.0), (1.0, float("nan"), 1.0, 1.0, 1, 1.0), (1.0, 1.0, 1.0, None, None, 1.0), (1.0, 1.0, 1.0, 1.0, 2, None)]
+    df = spark.createDataFrame(rows, "a double, b double, c double, y double, g int, w double").repartition(parts)
+    got = fit.gram(df, ["a", "b", "c"], "y", "g", "w")
+    assert set(got) == {0, 1, 2, None}
+    clean = df.where("a IS NOT NULL AND NOT isnan(b) AND y IS NOT NULL AND w IS NOT NULL")
+    names = ["1", "a", "b", "c", "y"]
+    sums = clean.groupBy("g").agg(*[F.expr(f"sum(w * {p} * {q})").alias(f"{i}_{j}") for i, p in enumerate(names) for j, q in enumerate(names)])
+    for r in sums.collect():
+        np.testing.assert_allclose(got[r["g"]], [[r[f"{i}_{j}"] for j in range(5)] for i in range(5)], atol=1e-9)
+        held = [q for q in rows[:100] if q[4] == r["g"]]
+        design = np.array([[1.0, *q[:4]] for q in held])
+        np.testing.assert_allclose(got[r["g"]], design.T @ (design * np.array([q[5] for q in held])[:, None]), atol=1e-9)
 
 
 def test_ruin_keeps_equity_at_zero(spark):

@@ -8,7 +8,8 @@ from collections.abc import Iterable, Mapping, Sequence
 from dataclasses import dataclass, field
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, functions as F
 
 from tidemark.functions.numeric import finite
@@ -24,17 +25,22 @@ class LinearModel:
     intercept: float
 
     def predict(self) -> Column:
+        return self.predict_over({})
+
+    def predict_over(self, values: Mapping[str, Column]) -> Column:
+        """The prediction with some features given by expressions."""
         value = F.lit(self.intercept)
         for name, weight in zip(self.features, self.coefficients):
-            value = value + F.col(name) * F.lit(weight)
+            value = value + values.get(name, F.col(name)) * F.lit(weight)
         return value
 
 
 def gram(df: DataFrame, features: Sequence[str], target: str, group: str, weight: str | None = None) -> dict:
     """Weighted second moments of (1, features, target) per ``group`` value.
 
-    A row with a null or NaN feature, target or weight is left out of all of them.  The
-    sums are made by numpy in the tasks, whatever the number of features.  The result
+    A row with a null or NaN feature, target or weight is left out of all of them; rows
+    whose group is null are a group of their own.  The sums are made by numpy in the tasks,
+    whatever the number of features.  The result
     holds (p + 2)^2 numbers per group; the groups are folds or model scopes, never rows.
     """
     columns = ["__one", *features, target]
@@ -46,19 +52,30 @@ def gram(df: DataFrame, features: Sequence[str], target: str, group: str, weight
     ).dropna(subset=[*features, target, "__w"])
     size = len(columns)
     out: dict = {}
-    def partial(batches: Iterable[pd.DataFrame]):
+
+    def partial(batches: Iterable[pa.RecordBatch]):
         totals: dict = {}
-        for pdf in batches:
-            for g, part in pdf.groupby("__g"):
-                x = part[columns].to_numpy()
-                m = (x * part["__w"].to_numpy()[:, None]).T @ x
-                totals[g] = totals.get(g, 0.0) + m
-        for g, m in totals.items():
-            i, j = np.indices(m.shape)
-            yield pd.DataFrame({"__g": g, "i": i.ravel(), "j": j.ravel(), "v": m.ravel()})
+        kind = None
+        for batch in batches:
+            kind = batch.schema.field("__g").type
+            codes = pc.dictionary_encode(batch.column("__g"), null_encoding="encode")
+            at = codes.indices.to_numpy()
+            x = np.column_stack([batch.column(c).to_numpy() for c in columns])
+            weighted = x * batch.column("__w").to_numpy()[:, None]
+            for k, g in enumerate(codes.dictionary.to_pylist()):
+                mine = at == k
+                totals[g] = totals.get(g, 0.0) + weighted[mine].T @ x[mine]
+        if totals:
+            i, j = np.indices((size, size))
+            cells = size * size
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([g for g in totals for _ in range(cells)], kind), *[pa.array(np.tile(v.ravel(), len(totals)), pa.int32()) for v in (i, j)],
+                 pa.array(np.concatenate([m.ravel() for m in totals.values()]))],
+                ["__g", "i", "j", "v"],
+            )
 
     kind = dict(staged.dtypes)["__g"]
-    long = staged.mapInPandas(partial, f"__g {kind}, i int, j int, v double")
+    long = staged.mapInArrow(partial, f"__g {kind}, i int, j int, v double")
     for row in long.groupBy("__g", "i", "j").agg(F.sum("v").alias("v")).collect():
         out.setdefault(row["__g"], np.zeros((size, size)))[row["i"], row["j"]] = row["v"]
     return out

@@ -172,6 +172,18 @@ def simulate(rows: DataFrame, keys: Sequence[str], order: Sequence[str], fee: fl
     )
 
 
+def simulate_by_group(rows: DataFrame, group: str, names: Sequence[str], order: Sequence[str], fee: float, min_edge: float, slippage: float = 0.0, least: int = 25) -> DataFrame:
+    """``simulate`` per group, with a row for every name: evaluated, or ``too_few_rows`` and no statistics."""
+    stats = simulate(rows, [group], order, fee, min_edge, slippage)
+    known = rows.sparkSession.createDataFrame([(n,) for n in names], f"{group} string")
+    out = known.join(stats, group, "left").withColumn("rows", F.coalesce("rows", F.lit(0).cast("long")))
+    enough = F.col("rows") >= least
+    return out.select(
+        group, "rows", F.when(enough, "evaluated").otherwise("too_few_rows").alias("status"),
+        *[F.when(enough, F.col(c)).alias(c) for c in stats.columns if c not in (group, "rows")],
+    )
+
+
 def even_slices(df: DataFrame, order: Sequence[str], slices: int) -> DataFrame:
     """Contiguous slices; the first (n mod k) hold one row more."""
     placed = positions(range_blocks(df.withColumn("__all", F.lit(0)), ["__all"], order), ["__all"], order)

@@ -24,6 +24,9 @@ _MODULES = (
     "feeds",
     "streams",
     "lookups",
+    "models",
+    "handoff",
+    "paths",
 )
 
 for _module in _MODULES:

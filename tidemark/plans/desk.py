@@ -149,9 +149,12 @@ def table_bounds_and_size(spark, sf):
     return rp.bounds_and_size(b.article_rows(spark, sf), "published_at", "text")
 
 
-@query("table_row_counts", " UNION ALL ".join(f"SELECT '{t}' AS table_name, count(*) AS rows FROM {t}" for t in ("events", "orders", "lineitem", "documents", "pages")))
+_TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
+
+
+@query("table_row_counts", " UNION ALL ".join(f"SELECT '{t}' AS table_name, count(*) AS rows FROM {t}" for t in _TABLES))
 def table_row_counts(spark, sf):
-    return rp.table_counts({t: b.table(spark, sf, t) for t in ("events", "orders", "lineitem", "documents", "pages")})
+    return rp.table_counts({t: b.table(spark, sf, t) for t in _TABLES})
 
 
 @query(
@@ -263,19 +266,6 @@ def simulated_returns_by_slice(spark, sf):
     return _sim_out(rp.simulate(cut, ["slice"], ["timestamp", "seq"], 0.0004, 0.002, slippage=0.0002), "slice")
 
 
-@query(
-    "simulated_returns_by_regime",
-    f"""WITH src AS (SELECT unnest(list_filter([CASE WHEN actual_return > 0.004 THEN 'trend_up' END, CASE WHEN actual_return < -0.004 THEN 'trend_down' END, CASE WHEN abs(actual_return) < 0.006 THEN 'range' END], lambda z: z IS NOT NULL)) AS active, timestamp AS ts, seq, prediction AS p, actual_return AS y FROM observations),
-      {_simulate_sql('active', 'src')}""",
-    uses="observations",
-)
-def simulated_returns_by_regime(spark, sf):
-    y = F.col("realized")
-    masks = F.array_compact(F.array(F.when(y > 0.004, "trend_up"), F.when(y < -0.004, "trend_down"), F.when(F.abs(y) < 0.006, "range")))
-    rows = _sim_rows(spark, sf).withColumn("active", F.explode(masks))
-    return _sim_out(rp.simulate(rows, ["active"], ["timestamp", "seq"], 0.0004, 0.002, slippage=0.0002), "active")
-
-
 @query(
     "same_sign_runs",
     """WITH g AS (SELECT event_type, k >= 50 AS up, ts, event_id, row_number() OVER (PARTITION BY event_type ORDER BY ts, event_id) - row_number() OVER (PARTITION BY event_type, k >= 50 ORDER BY ts, event_id) AS g FROM ek)

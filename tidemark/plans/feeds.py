@@ -90,19 +90,22 @@ def rss_feed_scan(spark, sf):
     return feeds.read_rss(spark, path).select("title", "url", F.col("published_at").cast("timestamp_ntz").alias("published_at"))
 
 
+_RATIOS = ["global_long_short_account_ratio", "top_long_short_account_ratio", "top_long_short_position_ratio"]
 _DT = ["global_long_short_account_ratio", "taker_buy_sell_volume", "open_interest_hist", "open_interest", "funding_rate"]
 
 
 @query(
     "derivative_payload_events",
-    f"""WITH e AS (SELECT event_id, [{", ".join(f"'{d}'" for d in _DT)}][event_id % 5 + 1] AS data_type, k, value, date_trunc('second', ts) AS event_time FROM (SELECT *, CAST(json_extract_string(props, '$.k') AS DOUBLE) AS k FROM events))
+    f"""WITH e AS (SELECT event_id, unnest(CASE WHEN event_id % 5 = 0 THEN [{", ".join(f"'{d}'" for d in _RATIOS)}] ELSE [[{", ".join(f"'{d}'" for d in _DT)}][event_id % 5 + 1]] END) AS data_type,
+        k, value, date_trunc('second', ts) AS event_time FROM (SELECT *, CAST(json_extract_string(props, '$.k') AS DOUBLE) AS k FROM events))
       SELECT event_id, data_type, event_time, round(CASE event_id % 5 WHEN 0 THEN value WHEN 1 THEN k WHEN 2 THEN CASE WHEN k <> 0 THEN k ELSE value END WHEN 3 THEN value ELSE k / 100000 END, 6) + 0.0 AS numeric_value,
-        round(CASE event_id % 5 WHEN 0 THEN greatest(-1, least(1, k / 100 - (1 - k / 100))) WHEN 1 THEN k / (k + value) END, 6) + 0.0 AS lean FROM e WHERE k > 0 AND k < 100""",
+        round(CASE event_id % 5 WHEN 0 THEN greatest(-1, least(1, CASE WHEN k = 0 THEN 0.5 ELSE k / 100 END - CASE WHEN k = 100 THEN 0.5 ELSE 1 - k / 100 END)) WHEN 1 THEN CASE WHEN k + value > 0 THEN k / (k + value) ELSE 0.5 END END, 6) + 0.0 AS lean FROM e""",
 )
 def derivative_payload_events(spark, sf):
+    """Every event as the payload of its type; account ratios come from three endpoints that share one layout."""
     k, val = _k(), F.col("value")
-    kinds = F.array(*[F.lit(d) for d in _DT])
     n = F.col("event_id") % 5
+    kinds = F.when(n == 0, F.array(*[F.lit(d) for d in _RATIOS])).otherwise(F.array(F.element_at(F.array(*[F.lit(d) for d in _DT]), (n + 1).cast("int"))))
     raw = (
         F.when(n == 0, F.to_json(F.struct(_s(val).alias("longShortRatio"), _s(k / 100).alias("longAccount"), _s(1 - k / 100).alias("shortAccount"), _millis().alias("timestamp"))))
         .when(n == 1, F.to_json(F.struct(_s(k).alias("buySellRatio"), _s(k).alias("buyVol"), _s(val).alias("sellVol"), _millis().alias("timestamp"))))
@@ -110,7 +113,7 @@ def derivative_payload_events(spark, sf):
         .when(n == 3, F.to_json(F.struct(_s(val).alias("openInterest"), _millis().alias("time"))))
         .otherwise(F.to_json(F.struct(_s(k / 100000).alias("fundingRate"), F.lit("1").alias("markPrice"), _millis().alias("fundingTime"))))
     )
-    rows = _events(spark, sf).where((k > 0) & (k < 100)).select("event_id", F.element_at(kinds, (n + 1).cast("int")).alias("data_type"), raw.alias("raw"))
+    rows = _events(spark, sf).select("event_id", F.explode(kinds).alias("data_type"), raw.alias("raw"))
     out = feeds.derivative_events(rows)
     lean = F.coalesce(F.try_element_at("payload", F.lit("long_bias")), F.try_element_at("payload", F.lit("buy_pressure")))
     return out.select("event_id", "data_type", "event_time", rnd("numeric_value").alias("numeric_value"), rnd(lean).alias("lean"))

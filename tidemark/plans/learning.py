@@ -193,7 +193,9 @@ def huber_fit(spark, sf):
 
 @query(
     "observed_numeric_features",
-    """SELECT 'price_change' AS feature UNION ALL SELECT 'volatility' UNION ALL SELECT 'symbol_rank'""",
+    """SELECT name AS feature FROM (SELECT unnest([{'name': 'price_change', 'n': count(*) FILTER (WHERE isfinite(price_change))}, {'name': 'volatility', 'n': count(*) FILTER (WHERE isfinite(volatility))},
+        {'name': 'name_text', 'n': count(TRY_CAST(symbol AS DOUBLE))}, {'name': 'symbol_rank', 'n': count(TRY_CAST(CAST(length(symbol) AS VARCHAR) AS DOUBLE))}, {'name': 'empty', 'n': 0}], recursive := true) FROM research_rows) WHERE n > 0""",
+    uses="research_rows",
 )
 def observed_numeric_features(spark, sf):
     rows = research_rows(spark, sf).select(
@@ -201,7 +203,7 @@ def observed_numeric_features(spark, sf):
         F.lit(None).cast("double").alias("empty"),
     )
     found = fit.usable_features(rows, rows.columns)
-    return rows.limit(1).select(F.explode(F.array(*[F.lit(c) for c in found])).alias("feature"))
+    return spark.createDataFrame([(c,) for c in found], "feature string")
 
 
 _FAMILIES = {
@@ -237,6 +239,10 @@ def candidate_grid_ranking(spark, sf):
     )
 
 
+#: The registered signals, in the order in which they came.
+_SIGNALS = ["s0", "s1", "s2", "s3", "s4"]
+
+
 def signal_rows(spark, sf):
     """Observations as signals on an hourly grid."""
     return b.observation_rows(spark, sf).withColumn("signal_id", F.concat(F.lit("s"), (F.col("seq") % 5).cast("string"))).withColumn(
@@ -317,10 +323,8 @@ def correlated_signal_groups(spark, sf):
 
 @query(
     "saturation_curve",
-    """WITH w AS (SELECT timestamp, max(pnl) FILTER (WHERE signal_id = 's0') AS p0, max(pnl) FILTER (WHERE signal_id = 's1') AS p1,
-        max(pnl) FILTER (WHERE signal_id = 's2') AS p2 FROM signal_series WHERE signal_id IN ('s0', 's1', 's2') GROUP BY timestamp HAVING count(*) = 3),
-      s AS (SELECT timestamp, 0 AS k, CAST(0 AS DOUBLE) AS r FROM w UNION ALL SELECT timestamp, 1, p0 FROM w UNION ALL SELECT timestamp, 2, (p0 + p1) / 2 FROM w
-        UNION ALL SELECT timestamp, 3, (p0 + p1 + p2) / 3 FROM w),
+    f"""WITH w AS (SELECT timestamp, {", ".join(f"max(pnl) FILTER (WHERE signal_id = '{i}') AS p_{i}" for i in _SIGNALS)} FROM signal_series GROUP BY timestamp HAVING count(*) = {len(_SIGNALS)}),
+      s AS ({" UNION ALL ".join(f"SELECT timestamp, {n} AS k, CAST({'(' + ' + '.join(f'p_{i}' for i in _SIGNALS[:n]) + f') / {n}' if n else '0'} AS DOUBLE) AS r FROM w" for n in range(len(_SIGNALS) + 1))}),
       q AS (SELECT *, sum(ln(1 + r)) OVER (PARTITION BY k ORDER BY timestamp) AS leq FROM s),
       d AS (SELECT *, 1 - exp(leq - greatest(0, max(leq) OVER (PARTITION BY k ORDER BY timestamp))) AS dd FROM q),
       m AS (SELECT k AS signal_count, count(*) AS observation_count, avg(r) AS net_expectancy, exp(sum(ln(1 + r))) - 1 AS total_return,
@@ -335,7 +339,7 @@ def correlated_signal_groups(spark, sf):
 )
 def saturation_curve(spark, sf):
     series = ind.by_timestamp(signal_rows(spark, sf))
-    out = ind.saturation_curve(series, ["s0", "s1", "s2"], horizon_seconds=3600.0)
+    out = ind.saturation_curve(series, _SIGNALS, horizon_seconds=3600.0)
     values = ["net_expectancy", "total_return", "sharpe_ratio", "maximum_drawdown", "marginal_net_expectancy", "marginal_sharpe_ratio", "marginal_total_return"]
     return out.select(
         "signal_count", "observation_count", *[rnd(v).alias(v) for v in values], "saturated",

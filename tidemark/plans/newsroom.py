@@ -201,17 +201,17 @@ def sentence_claims(spark, sf):
 
 @query(
     "unverified_numbers",
-    r"""WITH t AS (SELECT article_id, title AS s, lead(title) OVER (ORDER BY article_id) AS other FROM news),
+    r"""WITH t AS (SELECT article_id, text AS s, lead(text) OVER (ORDER BY article_id) AS other FROM news),
       c AS (SELECT article_id, regexp_extract_all(s, '(^|[^A-Za-z0-9_])([-+]?\d+(?:,\d{3})*(?:\.\d+)?%?)', 2) AS a,
         regexp_extract_all(other, '(^|[^A-Za-z0-9_])([-+]?\d+(?:,\d{3})*(?:\.\d+)?%?)', 2) AS o FROM t WHERE other IS NOT NULL),
       p AS (SELECT article_id, list_transform(a, lambda v: rtrim(replace(v, ',', ''), '%')) AS a, list_transform(o, lambda v: rtrim(replace(v, ',', ''), '%')) AS o FROM c)
-      SELECT article_id, array_to_string(list_filter(a, lambda v: NOT list_contains(o, v)), '|') AS missing FROM p WHERE len(list_filter(a, lambda v: NOT list_contains(o, v))) > 0""",
+      SELECT article_id, array_to_string(list_filter(a, lambda v, i: NOT list_contains(o, v) AND list_position(a, v) = i), '|') AS missing FROM p WHERE len(list_filter(a, lambda v: NOT list_contains(o, v))) > 0""",
     uses="articles news",
 )
 def unverified_numbers(spark, sf):
-    df = b.news_rows(spark, sf).select("article_id", "title")
-    following = df.select((F.col("article_id") - 1).alias("article_id"), F.col("title").alias("other"))
-    miss = tx.unverified_numbers(tx.numbers(F.col("title")), F.col("other"))
+    df = b.news_rows(spark, sf).select("article_id", tx.numbers(F.col("text")).alias("claimed"))
+    following = b.news_rows(spark, sf).select((F.col("article_id") - 1).alias("article_id"), F.col("text").alias("other"))
+    miss = tx.unverified_numbers(F.col("claimed"), F.col("other"))
     return df.join(following, "article_id").withColumn("m", miss).where(F.size("m") > 0).select(
         "article_id", F.array_join("m", "|").alias("missing")
     )

@@ -4,11 +4,13 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
+from tidemark.operators import daytable
 from tidemark.plans import bindings as b
 from tidemark.plans.feeds import force_order_rows, kline_stream_rows
 from tidemark.plans.registry import query, rnd
 from tidemark.sources import feeds
-from tidemark.streaming import flows
+from tidemark.session import scratch_path
+from tidemark.streaming import flows, maturity
 
 
 def _ticks(spark, sf) -> DataFrame:
@@ -68,27 +70,43 @@ def stream_unique_articles(spark, sf):
 
 @query(
     "stream_matured_labels",
-    """SELECT s.event_id AS signal_id, s.event_type AS symbol, arg_min(c.event_id, (c.ts, c.event_id)) AS candle_id FROM events s JOIN events c ON c.event_type = s.event_type AND c.ts >= s.ts + INTERVAL 1 HOUR AND c.ts <= s.ts + INTERVAL 70 MINUTES GROUP BY s.event_id, s.event_type""",
+    """SELECT s.event_id AS signal_id, s.event_type AS symbol, min(c.ts) AS close_time, arg_min(c.event_id, (c.ts, c.event_id)) AS candle_id
+      FROM events s JOIN events c ON c.event_type = s.event_type AND c.ts >= s.ts + INTERVAL 1 HOUR AND c.ts <= s.ts + INTERVAL 70 MINUTES
+      WHERE epoch_us(s.ts + INTERVAL 1 HOUR) // 600000000 * 600000000 + 1200000000 < (SELECT epoch_us(max(ts) - INTERVAL 10 MINUTES) // 1000 * 1000 FROM events) GROUP BY s.event_id, s.event_type""",
 )
 def stream_matured_labels(spark, sf):
-    signals = flows.read_events(spark, sf).select(F.col("event_id").alias("signal_id"), F.col("event_type").alias("symbol"), F.col("ts").alias("generated_at"))
-    candles = flows.read_events(spark, sf).select(F.col("event_type").alias("symbol"), F.col("ts").alias("close_time"), F.col("event_id").alias("close"))
-    out = flows.drain(flows.matured_labels(signals, candles, "1 hour", "10 minutes"), "append", ["signal_id"], "matured", keep=flows.first_candle())
-    return out.select("signal_id", "symbol", F.col("close").alias("candle_id"))
+    """A signal's label is final when the watermark has passed the bucket in which it falls due and the grace period behind it."""
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", maturity.STATE_STORE)
+    try:
+        signals = flows.read_events(spark, sf).select(F.col("event_id").alias("signal_id"), F.col("event_type").alias("symbol"), F.col("ts").alias("generated_at"))
+        candles = flows.read_events(spark, sf).select(F.col("event_type").alias("symbol"), F.col("ts").alias("close_time"), F.col("event_id").alias("close"))
+        out = flows.drain(maturity.matured_labels(signals, candles, "1 hour", "10 minutes", "10 minutes"), "append", [], "matured")
+    finally:
+        spark.conf.unset("spark.sql.streaming.stateStore.providerClass")
+    return out.select("signal_id", "symbol", F.col("close_time").cast("timestamp_ntz").alias("close_time"), F.col("close").cast("long").alias("candle_id"))
 
 
 @query(
     "stream_kline_upsert",
     """WITH m AS (SELECT event_type AS symbol, date_trunc('minute', ts) AS open_time, event_id % 2 = 0 AS is_closed, date_trunc('millisecond', ts) AS event_time, value AS close FROM events)
-      SELECT symbol, open_time, last(close ORDER BY is_closed, event_time) AS close, bool_or(is_closed) AS is_closed, count(*) AS updates FROM m GROUP BY symbol, open_time""",
+      SELECT symbol, open_time, last(close ORDER BY is_closed, event_time, close) AS close, bool_or(is_closed) AS is_closed, count(*) AS updates FROM m GROUP BY symbol, open_time""",
 )
 def stream_kline_upsert(spark, sf):
-    klines = feeds.parse_klines(kline_stream_rows(flows.read_events(spark, sf)))
-    messages = flows.drain(klines, "append", [], "klines").withColumn("updates", F.lit(1).cast("long"))
-    # Two batches that share bars: the second updates what the first stored.
-    half = F.pmod(F.xxhash64("symbol", "open_time", "event_time", "close"), F.lit(2)) == 0
-    first = flows.upsert_klines(messages.where(half), None)
-    out = flows.upsert_klines(messages.where(~half), first)
+    """Three micro-batches whose bars overlap are merged into the table; the second is delivered twice."""
+    parts, base, state = (scratch_path(spark, n) for n in ("kline-parts", "klines", "klines-state"))
+    events = b.table(spark, sf, "events")
+    events.repartition(3, F.pmod(F.xxhash64("event_id"), F.lit(3))).write.parquet(parts)
+    stream = spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 1).parquet(parts)
+    klines = feeds.parse_klines(kline_stream_rows(stream.withColumn("ts", F.col("ts").cast("timestamp")))).drop("event_id")
+
+    def step(batch: DataFrame, number: int) -> None:
+        for _ in range(1 + (number == 1)):
+            daytable.merge_batch(base, "open_time", flows.upsert_klines, batch, number)
+
+    klines.writeStream.option("checkpointLocation", state).trigger(availableNow=True).foreachBatch(step).start().awaitTermination()
+    out = daytable.current(spark, base)
+    if out is None:
+        out = spark.createDataFrame([], "symbol string, open_time timestamp, close double, is_closed boolean, updates long")
     return out.select(F.lower("symbol").alias("symbol"), F.col("open_time").cast("timestamp_ntz").alias("open_time"), "close", "is_closed", "updates")
 
 

@@ -6,11 +6,13 @@ once they cannot change any more.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Sequence
+from functools import partial
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
 from tidemark.operators.asof import latest_per_key
+from tidemark.operators.daytable import Merge, merge_batch
 from tidemark.session import scratch_path
 
 
@@ -53,34 +55,17 @@ def unique_articles(articles: DataFrame, lateness: str = "7 days") -> DataFrame:
     return articles.withWatermark("available_at", lateness).dropDuplicatesWithinWatermark(["source", "url"])
 
 
-def matured_labels(signals: DataFrame, candles: DataFrame, horizon: str, grace: str) -> DataFrame:
-    """Signals joined to the candles closing in [due, due + grace] once known.
+def upsert_klines(batch: DataFrame, stored: DataFrame | None) -> DataFrame:
+    """Last message wins per bar; a closed message removes the live one and is never replaced by it.
 
-    Both sides are watermarked, so a pending signal is kept for horizon plus grace and
-    no longer.  A signal may meet several candles; ``first_candle`` is the order by which
-    the table that is written keeps one row per signal.
+    ``updates`` counts the messages of a bar; one aggregate, map-side combined.
     """
-    s = signals.withWatermark("generated_at", grace).withColumn("due", F.col("generated_at") + F.expr(f"interval {horizon}"))
-    c = candles.withWatermark("close_time", grace).select(F.col("symbol").alias("c_symbol"), "close_time", "close")
-    inside = (F.col("symbol") == F.col("c_symbol")) & (F.col("close_time") >= F.col("due")) & (F.col("close_time") <= F.col("due") + F.expr(f"interval {grace}"))
-    return s.join(c, inside).select("signal_id", "symbol", "generated_at", "due", "close_time", "close")
-
-
-def first_candle() -> list[Column]:
-    return [F.col("close_time").asc(), F.col("close").asc()]
-
-
-def closed_and_live(klines: DataFrame) -> tuple[DataFrame, DataFrame]:
-    return klines.where("is_closed"), klines.where(~F.col("is_closed"))
-
-
-def upsert_klines(batch: DataFrame, stored: DataFrame | None) -> DataFrame:
-    """Last message wins per bar; a closed message is never replaced by a live one."""
-    keyed = batch if stored is None else stored.unionByName(batch, allowMissingColumns=True)
+    new = batch.withColumn("updates", F.lit(1).cast("long"))
+    keyed = new if stored is None else stored.unionByName(new)
     keys = ["symbol", "interval", "open_time"]
-    counts = keyed.groupBy(*keys).agg(F.sum(F.coalesce("updates", F.lit(1))).alias("updates"))
-    newest = latest_per_key(keyed.drop("updates"), keys, [F.col("is_closed").desc(), F.col("event_time").desc()])
-    return newest.join(counts, keys)
+    rest = [c for c in keyed.columns if c not in (*keys, "updates")]
+    newest = F.max_by(F.struct(*rest), F.struct("is_closed", "event_time", "close")).alias("__newest")
+    return keyed.groupBy(*keys).agg(newest, F.sum("updates").alias("updates")).select(*keys, "__newest.*", "updates")
 
 
 def late_or_changed(rows: DataFrame, known: DataFrame, fingerprint: str) -> DataFrame:
@@ -108,33 +93,28 @@ def _is_folder(spark: SparkSession, path: str) -> bool:
     return bool(files) and not files[0]["path"].endswith("/events.parquet")
 
 
-def drain(stream: DataFrame, mode: str, keys: Sequence[str], name: str, keep: Sequence[Column] = ()) -> DataFrame:
+def drain(stream: DataFrame, mode: str, keys: Sequence[str], name: str) -> DataFrame:
     """Run a stream over all available input into a table and read it back.
 
-    Every micro-batch appends its rows with its number.  In update mode the newest
-    version per key is returned, and with ``keep`` the first row per key in that order.
+    Every micro-batch overwrites the folder of its number, so a batch that comes again
+    doubles nothing.  In update mode the newest version per key is returned.
     """
     spark = stream.sparkSession
     out, state = scratch_path(spark, name), scratch_path(spark, f"{name}-state")
-    spark.createDataFrame([], _with_batch(stream)).write.parquet(out)  # also when no batch comes
-
-    def save(batch: DataFrame, number: int) -> None:
-        batch.withColumn("__batch", F.lit(number)).write.mode("append").parquet(out)
-
-    query = stream.writeStream.outputMode(mode).option("checkpointLocation", state).trigger(availableNow=True).foreachBatch(save).start()
+    save_batch(out, spark.createDataFrame([], stream.schema), -1)  # also when no batch comes
+    query = stream.writeStream.outputMode(mode).option("checkpointLocation", state).trigger(availableNow=True).foreachBatch(partial(save_batch, out)).start()
     query.awaitTermination()
-    got = spark.read.schema(_with_batch(stream)).parquet(out)
-    if keep:
-        got = latest_per_key(got, keys, list(keep))
-    elif mode == "update":
+    got = spark.read.schema(T.StructType([*stream.schema.fields, T.StructField("__batch", T.IntegerType())])).parquet(out)
+    if mode == "update":
         got = latest_per_key(got, keys, [F.col("__batch").desc()])
     return got.drop("__batch")
 
 
-def _with_batch(stream: DataFrame):
-    return T.StructType([*stream.schema.fields, T.StructField("__batch", T.IntegerType())])
+def save_batch(out: str, batch: DataFrame, number: int) -> None:
+    batch.write.mode("overwrite").parquet(f"{out}/__batch={number}")
 
 
-def run_each_batch(stream: DataFrame, state: str, step: Callable[[DataFrame, int], None]) -> None:
-    query = stream.writeStream.option("checkpointLocation", state).trigger(availableNow=True).foreachBatch(step).start()
-    query.awaitTermination()
+def run_merge(stream: DataFrame, base: str, state: str, time: str, merge: Merge) -> None:
+    """Merges all available input into a day table, batch by batch; run again with the same ``state`` it goes on where it ended."""
+    step = lambda batch, number: merge_batch(base, time, merge, batch, number)
+    stream.writeStream.option("checkpointLocation", state).trigger(availableNow=True).foreachBatch(step).start().awaitTermination()
