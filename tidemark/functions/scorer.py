@@ -13,7 +13,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from tidemark.functions.numeric import clamp
-from tidemark.functions.text import blended_sentiment
+from tidemark.functions.text import blended_sentiment, offline_sentiment
 
 Model = Callable[[pd.Series], pd.DataFrame]
 Loader = Callable[[], Model]
@@ -77,3 +77,27 @@ def smart_scores(rows: DataFrame, first: Column, second: Column, topics: Mapping
         "risk_score": F.least(F.lit(1.0), F.greatest("__a.negative", "__b.bearish", *topics.values())),
         "impact_score": F.greatest(F.abs(mixed), sure_a * 0.5, sure_b * 0.5),
     }).drop("__a", "__b")
+
+
+#: The risks known from words that a model's risk does not go below.
+TOPIC_RISKS = ("regulation_risk_score", "security_risk_score", "war_risk_score")
+
+
+def score_news(rows: DataFrame, lowered: str, first: Column | None = None, second: Column | None = None) -> DataFrame:
+    """``rows`` with sentiment, confidence, risk, impact and topics.
+
+    Without a scorer the lexicon's columns; with one its scores beside the lexicon's topics; with two
+    their blend.  ``first`` is a struct of positive, negative, neutral, ``second`` of bullish, bearish, neutral.
+    """
+    rules = offline_sentiment(lowered)
+    if first is None and second is None:
+        return rows.withColumns(rules)
+    scored = ("positive", "negative", "sentiment_score", "sentiment_confidence", "risk_score", "impact_score")
+    out = rows.withColumns({c: v for c, v in rules.items() if c not in scored})
+    if first is not None and second is not None:
+        return smart_scores(out, first, second, {t: F.col(t) for t in TOPIC_RISKS})
+    names = ("positive", "negative") if first is not None else ("bullish", "bearish")
+    staged = out.withColumn("__s", first if first is not None else second)
+    up, down = (F.col(f"__s.{n}") for n in names)
+    sure = F.greatest(up, down, F.col("__s.neutral"))
+    return staged.withColumns({"sentiment_score": clamp(up - down), "sentiment_confidence": sure, "risk_score": down, "impact_score": sure}).drop("__s")

@@ -6,7 +6,8 @@ from collections.abc import Mapping
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from tidemark.functions.numeric import finite, zero
+from tidemark.functions.money import TOTAL, amount, nil, rate, times
+from tidemark.functions.numeric import finite
 from tidemark.functions.scores import exposure_bucket, resize_class
 from tidemark.operators.asof import latest_per_key
 
@@ -16,12 +17,12 @@ COMPONENTS = ["alpha_contribution", *COUNTERFACTUALS, "fees", "slippage", "fundi
 
 def fill_facts(fills: DataFrame) -> DataFrame:
     """Slippage estimate and booked or estimated funding per order."""
-    booked = finite("funding_cash_flow")
+    booked = amount("funding_cash_flow")
     return fills.groupBy("order_id").agg(
         F.count(F.lit(1)).alias("fill_count"),
-        zero(F.sum(F.abs(finite("slippage")) * F.abs(finite("notional")))).alias("slippage_cost"),
-        F.sum(booked).alias("booked_funding"),
-        F.sum(F.when(booked.isNull(), -F.abs(finite("funding")))).alias("estimated_funding"),
+        nil(amount(F.sum(times(F.abs(amount("notional")), F.abs(rate("slippage")))))).alias("slippage_cost"),
+        amount(F.sum(booked)).alias("booked_funding"),
+        amount(F.sum(F.when(booked.isNull(), -F.abs(amount("funding"))))).alias("estimated_funding"),
     )
 
 
@@ -51,29 +52,29 @@ def link_lineage(
 
 
 def decompose(linked: DataFrame) -> DataFrame:
-    """Components per trade; an unknown component is null and stays in the residual.
+    """Components per trade, as exact amounts; an unknown component is null and stays in the residual.
 
     ``explicit`` is a map of recorded components that win over the estimates.
     """
-    said = {c: finite(F.element_at("explicit", c)) for c in ("slippage", "funding", "alpha_contribution", *COUNTERFACTUALS)}
+    said = {c: amount(F.element_at("explicit", c)) for c in ("slippage", "funding", "alpha_contribution", *COUNTERFACTUALS)}
     out = linked.select(
         "*",
-        (-finite("fee")).alias("fees"),
-        F.coalesce(said["slippage"], F.when(F.col("fill_count") > 0, -F.col("slippage_cost"))).alias("slippage"),
+        amount(-amount("fee")).alias("fees"),
+        F.coalesce(said["slippage"], F.when(F.col("fill_count") > 0, amount(-F.col("slippage_cost")))).alias("slippage"),
         F.coalesce(said["funding"], F.col("booked_funding")).alias("funding"),
         *[said[c].alias(c) for c in COUNTERFACTUALS],
     )
     stated = F.coalesce(*[F.col(c) for c in COUNTERFACTUALS]).isNotNull()
-    gross = finite("gross_pnl")
+    gross = amount("gross_pnl")
     out = out.withColumn(
         "alpha_contribution",
-        F.coalesce(said["alpha_contribution"], F.when(gross.isNotNull() & ~stated, gross - zero(F.col("slippage")))),
+        F.coalesce(said["alpha_contribution"], F.when(gross.isNotNull() & ~stated, amount(gross - nil(F.col("slippage"))))),
     )
-    total = zero(finite("realized_pnl"))
-    booked = F.lit(0.0)
+    total = nil(amount("realized_pnl"))
+    left = total
     for c in COMPONENTS:
-        booked = booked + zero(F.col(c))
-    return out.withColumn("total_paper_pnl", total).withColumn("unexplained_residual", total - booked)
+        left = amount(left - nil(F.col(c)))
+    return out.withColumn("total_paper_pnl", total).withColumn("unexplained_residual", left)
 
 
 def trade_intent() -> Column:
@@ -99,13 +100,13 @@ def component_totals(trades: DataFrame) -> DataFrame:
     names = [*COMPONENTS, "unexplained_residual"]
     cells = F.array(*[F.struct(F.lit(c).alias("component"), F.col(c).alias("v")) for c in names])
     return trades.select(F.explode(cells).alias("c"), "total_paper_pnl").groupBy("c.component").agg(
-        zero(F.sum("c.v")).alias("reconciliation_value"), F.sum("c.v").alias("value"),
+        nil(F.sum("c.v"), TOTAL).alias("reconciliation_value"), F.sum("c.v").alias("value"),
         F.count("c.v").alias("available_trade_count"), F.count(F.lit(1)).alias("trade_count"),
     ).withColumn("coverage_ratio", F.col("available_trade_count") / F.col("trade_count"))
 
 
 def direct_rollups(trades: DataFrame, period: str = "day") -> DataFrame:
-    """Total PnL by symbol, regime, ensemble, sizing, resize and period in one pass."""
+    """Total PnL, exact, by symbol, regime, ensemble, sizing, resize and period in one pass."""
     dims: Mapping[str, Column] = {
         "symbol": F.col("symbol"), "regime": F.col("regime"), "ensemble": F.coalesce(F.col("ensemble_id"), F.lit("unattributed")),
         "portfolio_sizing": exposure_bucket(finite("requested_target_exposure")),
@@ -124,14 +125,14 @@ def weighted_rollups(trades: DataFrame, weights: DataFrame, signals: DataFrame,
     Contributions are linear in alpha, so alpha is first summed per ensemble; the
     trades themselves never meet the weights.
     """
-    alpha = trades.where(F.col("ensemble_id").isNotNull()).groupBy("ensemble_id").agg(F.sum(zero(F.col("alpha_contribution"))).alias("alpha"))
+    alpha = trades.where(F.col("ensemble_id").isNotNull()).groupBy("ensemble_id").agg(F.sum(nil(F.col("alpha_contribution"))).alias("alpha"))
     s = signals.select("signal_id", "signal_family", "prediction_id")
     p = predictions.select(
         "prediction_id", F.concat_ws(":", "model_id", "model_version").alias("model"), F.col("external_context_available").alias("ext"),
         F.col("external_ai_provider").alias("provider"), F.lit(True).alias("has_prediction"),
     )
-    lines = alpha.join(weights.select("ensemble_id", "signal_id", finite("weight").alias("w")), "ensemble_id").join(s, "signal_id", "left").join(p, "prediction_id", "left")
-    gain = F.when(F.col("w").isNotNull(), F.col("alpha") * F.col("w"))
+    lines = alpha.join(weights.select("ensemble_id", "signal_id", rate("weight").alias("w")), "ensemble_id").join(s, "signal_id", "left").join(p, "prediction_id", "left")
+    gain = (amount("alpha") * F.col("w")).try_cast(TOTAL)
     got = F.coalesce("has_prediction", F.lit(False))
     availability = F.when(~got, "unknown").when(F.col("ext"), "available").otherwise("unavailable")
     provider = F.when(~got, "unknown").when(F.col("ext") & F.col("provider").isNotNull(), F.col("provider")).when(
@@ -146,7 +147,7 @@ def weighted_rollups(trades: DataFrame, weights: DataFrame, signals: DataFrame,
             F.struct(F.lit("external_provider").alias("dimension"), provider.alias("key")),
         )
     )
-    return lines.select(F.explode(cells).alias("d"), gain.alias("g")).groupBy("d.dimension", "d.key").agg(zero(F.sum("g")).alias("allocated_alpha"))
+    return lines.select(F.explode(cells).alias("d"), gain.alias("g")).groupBy("d.dimension", "d.key").agg(nil(F.sum("g").try_cast(TOTAL), TOTAL).alias("allocated_alpha"))
 
 
 def coverage(trades: DataFrame, lineage: DataFrame) -> DataFrame:
@@ -168,7 +169,7 @@ def coverage(trades: DataFrame, lineage: DataFrame) -> DataFrame:
     return full.select(F.explode(cells).alias("c"), size.alias("s")).groupBy("c.evidence").agg(
         F.count(F.when(F.col("c.ok"), 1)).alias("covered_trade_count"), F.count(F.lit(1)).alias("trade_count"),
         F.avg(F.col("c.ok").cast("double")).alias("trade_ratio"),
-        (zero(F.sum(F.when(F.col("c.ok"), F.col("s")))) / F.when(F.sum("s") != 0, F.sum("s"))).alias("absolute_pnl_ratio"),
+        (nil(F.sum(F.when(F.col("c.ok"), F.col("s"))), TOTAL).cast("double") / F.when(F.sum("s") != 0, F.sum("s")).cast("double")).alias("absolute_pnl_ratio"),
     )
 
 

@@ -6,10 +6,11 @@ from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
+from tidemark.functions.money import TOTAL, amount, cents, nil
 from tidemark.functions.numeric import zero
 from tidemark.operators.asof import latest_per_key
 from tidemark.operators.ranks import quantiles, value_ranks
-from tidemark.operators.series import BLOCK, lag_across, micros, positions, range_blocks, running
+from tidemark.operators.series import BLOCK, lag_across, meet, micros, positions, range_blocks, running
 
 
 def inventory(df: DataFrame, keys: Sequence[str], time: str) -> DataFrame:
@@ -62,6 +63,24 @@ def trade_summary(trades: DataFrame, pnl: str, keys: Sequence[str] = ()) -> Data
     )
 
 
+def exact_trade_summary(trades: DataFrame, pnl: str, keys: Sequence[str], order: Sequence[str]) -> DataFrame:
+    """``trade_summary`` of exact amounts, with sums as decimals and the deepest fall of the running profit from its peak (from zero on)."""
+    v = F.col(pnl)
+    won, lost = F.when(v > 0, v), F.when(v < 0, v)
+    mean = lambda c: F.sum(c).cast("double") / F.when(F.count(c) > 0, F.count(c))
+    profit, loss = nil(F.sum(won), TOTAL), nil(-F.sum(lost), TOTAL)
+    sums = trades.groupBy(*keys).agg(
+        F.count(F.lit(1)).alias("trade_count"), F.count(won).alias("win_count"), F.count(lost).alias("loss_count"), F.avg((v > 0).cast("double")).alias("win_rate"),
+        mean(won).alias("average_win"), mean(lost).alias("average_loss"), profit.alias("gross_profit"), loss.alias("gross_loss"), nil(F.sum(v), TOTAL).alias("net_realized_pnl"),
+        (profit.cast("double") / F.when(loss != 0, loss.cast("double"))).alias("profit_factor"),
+    )
+    blocks = range_blocks(trades.select(*keys, *order, pnl), keys, order)
+    path = running(blocks, keys, order, {"__e": ("sum", v.cast(TOTAL))}).withColumn("__e", F.col("__e").cast(TOTAL))
+    top = running(path, keys, order, {"__p": ("max", F.col("__e"))})
+    fall = top.groupBy(*keys).agg(F.max(F.greatest(nil(F.lit(None).cast(TOTAL), TOTAL), F.col("__p")) - F.col("__e")).cast(TOTAL).alias("max_drawdown"))
+    return meet(sums, fall, list(keys))
+
+
 def provider_ledger(requests: DataFrame, today: Column, http: str = "attempts") -> DataFrame:
     """Daily requests, spend of the month, last request and failures since the newest success, per provider."""
     at = F.col("requested_at")
@@ -100,6 +119,27 @@ def equity_mark(positions_: DataFrame, cash: DataFrame) -> DataFrame:
     return out.withColumn("equity", F.col("cash_balance") + F.col("reserved_margin") + F.col("unrealized_pnl"))
 
 
+def reconcile(accounts: DataFrame, positions_: DataFrame) -> DataFrame:
+    """Stored equity against cash plus margins and open profit of the account's positions, to the cent.
+
+    ``accounts`` has account, cash_balance, equity; ``positions_`` account, quantity, margin, unrealized.  A
+    position is invalid when its quantity or margin is missing, not finite, too large for an amount or below zero; it
+    counts in the sum with what it has.
+    """
+    q, m, u = amount("quantity"), amount("margin"), amount("unrealized")
+    wrong = q.isNull() | m.isNull() | (q < 0) | (m < 0)
+    held = positions_.groupBy("account").agg(
+        nil(F.sum(nil(m) + nil(u)).cast(TOTAL), TOTAL).alias("__held"), F.count(F.lit(1)).alias("position_count"), F.count_if(wrong).alias("invalid_positions")
+    )
+    expected = (nil(amount("cash_balance")) + nil(F.col("__held"), TOTAL)).cast(TOTAL)
+    out = accounts.join(held, "account", "left").withColumn("expected_equity", expected)
+    gap = (cents(nil(amount("equity"))) - cents("expected_equity")).cast("decimal(30,2)")
+    return out.select(
+        "account", amount("cash_balance").alias("cash_balance"), amount("equity").alias("equity"), "expected_equity", gap.alias("difference"), (gap == 0).alias("cash_reconciled"),
+        F.coalesce("position_count", F.lit(0)).alias("position_count"), F.coalesce("invalid_positions", F.lit(0)).alias("invalid_positions"),
+    )
+
+
 def exposures(holdings: DataFrame) -> DataFrame:
     """Gross, net and largest cluster exposure per account."""
     share = F.col("signed_notional") / F.col("equity")

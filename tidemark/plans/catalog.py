@@ -27,6 +27,7 @@ _MODULES = (
     "models",
     "handoff",
     "paths",
+    "intake",
 )
 
 for _module in _MODULES:

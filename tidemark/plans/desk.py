@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+from decimal import Decimal
+
 from pyspark.sql import DataFrame, Window as W, functions as F
 
-from tidemark.functions import numeric as nm
+from tidemark.functions import money as mo, numeric as nm
 from tidemark.operators import asof, context as cx, labels, reports as rp
 from tidemark.operators.monitoring import windowed
 from tidemark.operators.ranks import value_ranks
@@ -85,20 +87,24 @@ def action_balance(spark, sf):
 
 @query(
     "trade_history_summary",
-    """WITH t AS (SELECT o_orderpriority AS book, (l_discount - CAST(0.05 AS DOUBLE)) * l_extendedprice AS v FROM lineitem JOIN orders ON o_orderkey = l_orderkey)
+    """WITH t AS (SELECT o_orderpriority AS book, CAST((CAST(l_discount AS DECIMAL(6, 2)) - 0.05) * CAST(l_extendedprice AS DECIMAL(14, 2)) AS DECIMAL(20, 8)) AS v, l_shipdate, l_orderkey, l_linenumber FROM lineitem JOIN orders ON o_orderkey = l_orderkey),
+      r AS (SELECT book, sum(v) OVER (PARTITION BY book ORDER BY l_shipdate, l_orderkey, l_linenumber) AS e, l_shipdate, l_orderkey, l_linenumber FROM t),
+      d AS (SELECT book, max(greatest(0, p) - e) AS dd FROM (SELECT book, e, max(e) OVER (PARTITION BY book ORDER BY l_shipdate, l_orderkey, l_linenumber) AS p FROM r) GROUP BY book)
       SELECT book, count(*) AS trade_count, count(*) FILTER (WHERE v > 0) AS win_count, count(*) FILTER (WHERE v < 0) AS loss_count, round(avg(CAST(v > 0 AS DOUBLE)), 6) + 0.0 AS win_rate,
-        round(avg(v) FILTER (WHERE v > 0) + 1e-7, 4) + 0.0 AS average_win, round(avg(v) FILTER (WHERE v < 0) + 1e-7, 4) + 0.0 AS average_loss, round(sum(v) + 0.00333337, 1) + 0.0 AS net_realized_pnl,
-        round(coalesce(sum(v) FILTER (WHERE v > 0), 0) / abs(sum(v) FILTER (WHERE v < 0)), 6) + 0.0 AS profit_factor FROM t GROUP BY book""",
+        CAST(sum(v) FILTER (WHERE v > 0) AS DECIMAL(30, 8)) AS gross_profit, CAST(-sum(v) FILTER (WHERE v < 0) AS DECIMAL(30, 8)) AS gross_loss, CAST(sum(v) AS DECIMAL(30, 8)) AS net_realized_pnl,
+        round(CAST(sum(v) FILTER (WHERE v > 0) AS DOUBLE) / count(*) FILTER (WHERE v > 0), 6) + 0.0 AS average_win, round(CAST(sum(v) FILTER (WHERE v < 0) AS DOUBLE) / count(*) FILTER (WHERE v < 0), 6) + 0.0 AS average_loss,
+        round(CAST(coalesce(sum(v) FILTER (WHERE v > 0), 0) AS DOUBLE) / CAST(abs(sum(v) FILTER (WHERE v < 0)) AS DOUBLE), 6) + 0.0 AS profit_factor, CAST(any_value(dd) AS DECIMAL(30, 8)) AS max_drawdown FROM t JOIN d USING (book) GROUP BY book""",
 )
 def trade_history_summary(spark, sf):
+    """Sums and the deepest fall of the running profit are exact; averages are one division of exact sums."""
+    exact = lambda c: F.col(c).cast("decimal(14,2)")
     t = b.table(spark, sf, "lineitem").join(b.table(spark, sf, "orders"), F.col("o_orderkey") == F.col("l_orderkey")).select(
-        F.col("o_orderpriority").alias("book"), ((F.col("l_discount") - 0.05) * F.col("l_extendedprice")).alias("v")
+        F.col("o_orderpriority").alias("book"), mo.amount((exact("l_discount") - F.lit(Decimal("0.05"))) * exact("l_extendedprice")).alias("v"), "l_shipdate", "l_orderkey", "l_linenumber"
     )
-    s = rp.trade_summary(t, "v", ["book"])
-    nudge = lambda c, e, d: (F.round(F.col(c) + F.lit(e), d) + F.lit(0.0)).alias(c)
+    s = rp.exact_trade_summary(t, "v", ["book"], ["l_shipdate", "l_orderkey", "l_linenumber"])
     return s.select(
-        "book", "trade_count", "win_count", "loss_count", rnd("win_rate").alias("win_rate"), nudge("average_win", 1e-7, 4), nudge("average_loss", 1e-7, 4),
-        nudge("net_realized_pnl", 0.00333337, 1), rnd("profit_factor").alias("profit_factor"),
+        "book", "trade_count", "win_count", "loss_count", *[rnd(c).alias(c) for c in ("win_rate", "average_win", "average_loss", "profit_factor")],
+        *[F.col(c).cast(mo.TOTAL).alias(c) for c in ("gross_profit", "gross_loss", "net_realized_pnl", "max_drawdown")],
     )
 
 
@@ -205,6 +211,46 @@ def portfolio_exposures(spark, sf):
     return out.select("account", *[rnd(c, 8).alias(c) for c in ("gross", "net", "largest_cluster")])
 
 
+@query(
+    "account_reconciliation",
+    """WITH p AS (SELECT o_custkey AS account, CAST(o_totalprice AS DECIMAL(14, 2)) * 0.1 AS margin, CAST(o_totalprice AS DECIMAL(14, 2)) * ((o_orderkey % 21 - 10) * 0.001) AS unrealized, o_orderkey % 50 = 0 AS wrong FROM orders WHERE o_orderstatus = 'O'),
+      h AS (SELECT account, sum(CAST(margin AS DECIMAL(20, 8)) * CASE WHEN wrong THEN -1 ELSE 1 END + CAST(unrealized AS DECIMAL(20, 8))) AS held, count(*) AS n, count(*) FILTER (WHERE wrong) AS bad FROM p GROUP BY account),
+      a AS (SELECT c_custkey AS account, CAST(c_acctbal AS DECIMAL(20, 8)) AS cash, coalesce(held, 0) AS held, coalesce(n, 0) AS n, coalesce(bad, 0) AS bad FROM customer LEFT JOIN h ON account = c_custkey),
+      e AS (SELECT *, CAST(cash + held AS DECIMAL(30, 8)) AS expected, CAST(CAST(cash + held AS DECIMAL(30, 2)) + CASE WHEN account % 7 = 0 THEN 0.01 ELSE 0 END AS DECIMAL(20, 8)) AS equity FROM a)
+      SELECT account, cash AS cash_balance, equity, expected AS expected_equity, CAST(CAST(equity AS DECIMAL(30, 2)) - CAST(expected AS DECIMAL(30, 2)) AS DECIMAL(30, 2)) AS difference, account % 7 <> 0 AS cash_reconciled, n AS position_count, bad AS invalid_positions FROM e""",
+)
+def account_reconciliation(spark, sf):
+    """Customers as accounts, open orders as their positions; every seventh stored equity is off by a cent."""
+    price, cent = F.col("o_totalprice").cast("decimal(14,2)"), F.lit(Decimal("0.01"))
+    share = (F.col("o_orderkey") % 21 - 10).cast("decimal(4,0)") * F.lit(Decimal("0.001"))
+    held = b.table(spark, sf, "orders").where("o_orderstatus = 'O'").select(
+        F.col("o_custkey").alias("account"), F.lit(1).alias("quantity"), (price * F.when(F.col("o_orderkey") % 50 == 0, Decimal("-0.1")).otherwise(Decimal("0.1"))).alias("margin"), (price * share).alias("unrealized")
+    )
+    cash = b.table(spark, sf, "customer").select(F.col("c_custkey").alias("account"), F.col("c_acctbal").cast(mo.MONEY).alias("cash_balance"))
+    known = rp.reconcile(cash.withColumn("equity", F.lit(None).cast(mo.MONEY)), held).select(F.col("account"), F.col("cash_balance"), mo.cents("expected_equity").alias("e"))
+    stored = known.select("account", "cash_balance", (F.col("e") + F.when(F.col("account") % 7 == 0, cent).otherwise(cent * 0).cast("decimal(4,2)")).alias("equity"))
+    return rp.reconcile(stored, held)
+
+
+@query(
+    "exact_fill_prices",
+    """WITH t AS (SELECT l_orderkey, l_linenumber, CAST(l_extendedprice AS DECIMAL(20, 8)) AS p, CAST(CAST(l_tax AS DECIMAL(6, 2)) * 0.01 AS DECIMAL(14, 10)) AS s, l_linestatus = 'F' AS short, CAST(l_quantity AS DECIMAL(14, 10)) * 0.37 AS q FROM lineitem),
+      f AS (SELECT *, CAST(p + CASE WHEN short THEN -1 ELSE 1 END * CAST(p * s AS DECIMAL(20, 8)) AS DECIMAL(20, 8)) AS entry FROM t),
+      g AS (SELECT *, CAST(entry * 1.01 AS DECIMAL(20, 8)) AS out_price, CAST(CAST(q AS DECIMAL(20, 8)) - CAST(q AS DECIMAL(20, 8)) % CAST(0.25 AS DECIMAL(20, 8)) AS DECIMAL(20, 8)) AS size FROM f)
+      SELECT l_orderkey, l_linenumber, entry, size, CAST(CASE WHEN short THEN entry - out_price ELSE out_price - entry END * CAST(size AS DECIMAL(14, 10)) AS DECIMAL(20, 8)) AS gross FROM g""",
+)
+def exact_fill_prices(spark, sf):
+    """Side-aware prices, quantities rounded down to a quarter, and the profit of a one per cent move."""
+    short = F.col("l_linestatus") == "F"
+    rows = b.table(spark, sf, "lineitem").select(
+        "l_orderkey", "l_linenumber", F.when(short, "SHORT").otherwise("LONG").alias("side"),
+        mo.fill_price("l_extendedprice", F.when(short, "SELL").otherwise("BUY"), F.col("l_tax").cast("decimal(6,2)") * F.lit(Decimal("0.01"))).alias("entry"),
+        mo.round_down(mo.rate("l_quantity") * F.lit(Decimal("0.37")), F.lit(Decimal("0.25"))).alias("size"),
+    )
+    target = mo.amount(F.col("entry") * F.lit(Decimal("1.01")))
+    return rows.select("l_orderkey", "l_linenumber", "entry", "size", mo.gross_pnl("side", "entry", target, "size").alias("gross"))
+
+
 @query(
     "filled_orders_without_fill",
     "SELECT o_orderkey AS order_id FROM orders WHERE o_orderstatus = 'F' AND NOT EXISTS (SELECT 1 FROM lineitem WHERE l_orderkey = o_orderkey AND l_linestatus = 'F')",

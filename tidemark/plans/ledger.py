@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 import datetime as dt
+from decimal import Decimal
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from tidemark.functions import money as mo
 from tidemark.operators import attribution as at
 from tidemark.operators import lifecycle as lc
 from tidemark.operators import quality as q
@@ -13,14 +15,17 @@ from tidemark.plans import bindings as b
 from tidemark.plans.registry import common, query, rnd
 
 
-def money(column: Column | str) -> Column:
-    column = F.col(column) if isinstance(column, str) else column
-    # Sums depend on the order of addition in their last digits; one decimal is safe.
-    return F.round(column.cast("double") + F.lit(0.00333337), 1) + F.lit(0.0)
+def total(column: Column | str) -> Column:
+    return (F.col(column) if isinstance(column, str) else column).cast(mo.TOTAL)
 
 
-def money_sql(name: str, alias: str | None = None) -> str:
-    return f"round(CAST({name} AS DOUBLE) + 0.00333337, 1) + 0.0 AS {alias or name}"
+def total_sql(name: str, alias: str | None = None) -> str:
+    return f"CAST({name} AS DECIMAL(30, 8)) AS {alias or name}"
+
+
+def _exact(column: str, digits: int = 2) -> Column:
+    """A stored double that stands for a decimal of few digits."""
+    return F.col(column).cast(f"decimal(14,{digits})")
 
 
 def ledger(spark, sf) -> dict[str, DataFrame]:
@@ -31,9 +36,9 @@ def ledger(spark, sf) -> dict[str, DataFrame]:
     trades = line.join(part, line.l_partkey == part.p_partkey, "left").select(
         F.col("l_orderkey").alias("order_id"), F.lit(None).cast("long").alias("risk_id"),
         F.when(n % 2 == 0, F.concat(F.lit("d"), F.col("l_orderkey").cast("string"))).alias("trace_id"), F.col("p_brand").alias("symbol"),
-        F.when(n != 7, F.col("l_tax") * F.col("l_extendedprice") / 100).alias("fee"),
-        ((F.col("l_discount") - 0.05) * F.col("l_extendedprice")).alias("realized_pnl"),
-        F.when(n != 6, (F.col("l_discount") - 0.04) * F.col("l_extendedprice")).alias("gross_pnl"),
+        F.when(n != 7, _exact("l_tax") * _exact("l_extendedprice") * F.lit(Decimal("0.01"))).alias("fee"),
+        ((_exact("l_discount") - F.lit(Decimal("0.05"))) * _exact("l_extendedprice")).alias("realized_pnl"),
+        F.when(n != 6, (_exact("l_discount") - F.lit(Decimal("0.04"))) * _exact("l_extendedprice")).alias("gross_pnl"),
         F.when(F.col("l_returnflag") == "R", "close").when(F.col("l_returnflag") == "A", "open").alias("intent"),
         F.when(F.col("l_linestatus") == "F", "CLOSE").otherwise("BUY").alias("action"), F.col("l_shipdate").alias("created_at"),
         F.when(n == 5, F.create_map(F.lit("ensemble_contribution"), F.col("l_quantity"))).alias("explicit"),
@@ -60,8 +65,8 @@ def ledger(spark, sf) -> dict[str, DataFrame]:
             F.col("o_orderstatus").alias("regime"),
         ),
         "fills": line.select(
-            F.col("l_orderkey").alias("order_id"), (F.col("l_discount") / 100).alias("slippage"), F.col("l_extendedprice").alias("notional"),
-            F.when(F.col("l_linestatus") == "O", F.col("l_tax")).alias("funding"), F.when(n % 4 == 0, -F.col("l_tax") * 10).alias("funding_cash_flow"),
+            F.col("l_orderkey").alias("order_id"), (_exact("l_discount") * F.lit(Decimal("0.01"))).alias("slippage"), _exact("l_extendedprice").alias("notional"),
+            F.when(F.col("l_linestatus") == "O", _exact("l_tax")).alias("funding"), F.when(n % 4 == 0, -_exact("l_tax") * F.lit(Decimal(10))).alias("funding_cash_flow"),
         ),
         "weights": weights,
         "signals": nation.join(region, nation.n_regionkey == region.r_regionkey).select(
@@ -77,30 +82,35 @@ def ledger(spark, sf) -> dict[str, DataFrame]:
 
 
 _ASKED = "(o_totalprice / CAST(1e6 AS DOUBLE) - CAST(0.2 AS DOUBLE))"
+common(
+    "amounts",
+    """SELECT * REPLACE (CAST(l_tax AS DECIMAL(6, 2)) AS l_tax, CAST(l_discount AS DECIMAL(6, 2)) AS l_discount, CAST(l_extendedprice AS DECIMAL(14, 2)) AS l_extendedprice,
+  CAST(l_quantity AS DECIMAL(20, 8)) AS l_quantity) FROM lineitem""",
+)
 common(
     "linked",
     f"""
 SELECT t.*, coalesce(e1.regime, e2.regime, 'unknown') AS regime, coalesce(e1.ensemble_id, e2.ensemble_id) AS ensemble_id, r.risk_id IS NOT NULL AS has_risk, g.target_id IS NOT NULL AS has_target,
   r.req AS risk_requested, r.app AS risk_approved, g.req AS requested_target_exposure, coalesce(t.trace_id, o.trace_id, r.trace_id) AS link_trace, f.fill_count, f.slippage_cost, f.booked_funding, f.estimated_funding
-FROM (SELECT l_orderkey AS order_id, CASE WHEN l_linenumber % 2 = 0 THEN 'd' || l_orderkey END AS trace_id, p_brand AS symbol, CASE WHEN l_linenumber <> 7 THEN l_tax * l_extendedprice / 100 END AS fee,
-    (l_discount - CAST(0.05 AS DOUBLE)) * l_extendedprice AS realized_pnl, CASE WHEN l_linenumber <> 6 THEN (l_discount - CAST(0.04 AS DOUBLE)) * l_extendedprice END AS gross_pnl,
+FROM (SELECT l_orderkey AS order_id, CASE WHEN l_linenumber % 2 = 0 THEN 'd' || l_orderkey END AS trace_id, p_brand AS symbol, CASE WHEN l_linenumber <> 7 THEN CAST(l_tax * l_extendedprice * 0.01 AS DECIMAL(20, 8)) END AS fee,
+    CAST((l_discount - 0.05) * l_extendedprice AS DECIMAL(20, 8)) AS realized_pnl, CASE WHEN l_linenumber <> 6 THEN CAST((l_discount - 0.04) * l_extendedprice AS DECIMAL(20, 8)) END AS gross_pnl,
     CASE l_returnflag WHEN 'R' THEN 'close' WHEN 'A' THEN 'open' END AS intent, CASE WHEN l_linestatus = 'F' THEN 'CLOSE' ELSE 'BUY' END AS action, l_shipdate AS created_at,
-    CASE WHEN l_linenumber = 5 THEN l_quantity END AS said_ensemble FROM lineitem LEFT JOIN part ON p_partkey = l_partkey) t
+    CASE WHEN l_linenumber = 5 THEN l_quantity END AS said_ensemble FROM amounts LEFT JOIN part ON p_partkey = l_partkey) t
 LEFT JOIN (SELECT o_orderkey AS order_id, CASE WHEN o_orderkey % 7 <> 0 THEN o_orderkey END AS risk_id, CASE WHEN o_orderkey % 5 <> 0 THEN o_orderkey END AS target_id, 'd' || o_orderkey AS trace_id FROM orders) o ON o.order_id = t.order_id
 LEFT JOIN (SELECT o_orderkey AS risk_id, 'd' || o_orderkey AS trace_id, {_ASKED} AS req, CASE o_orderkey % 4 WHEN 0 THEN {_ASKED} WHEN 1 THEN {_ASKED} / 2 WHEN 2 THEN -{_ASKED} ELSE {_ASKED} * 1.5 END AS app FROM orders WHERE o_orderkey % 11 <> 0) r ON r.risk_id = o.risk_id
 LEFT JOIN (SELECT o_orderkey AS target_id, {_ASKED} AS req, CASE WHEN o_orderkey % 3 = 0 THEN 'e' || o_orderkey END AS ensemble_id FROM orders WHERE o_orderkey % 13 <> 0) g ON g.target_id = coalesce(o.target_id, r.risk_id)
 LEFT JOIN (SELECT 'e' || o_orderkey AS ensemble_id, o_orderstatus AS regime FROM orders WHERE o_orderkey % 17 <> 0) e1 ON e1.ensemble_id = g.ensemble_id
 LEFT JOIN (SELECT 'e' || o_orderkey AS ensemble_id, 'd' || o_orderkey AS trace_id, o_orderstatus AS regime FROM orders WHERE o_orderkey % 17 <> 0) e2 ON e2.trace_id = coalesce(t.trace_id, o.trace_id, r.trace_id)
-LEFT JOIN (SELECT l_orderkey, count(*) AS fill_count, sum(l_discount / 100 * l_extendedprice) AS slippage_cost, sum(CASE WHEN l_linenumber % 4 = 0 THEN -l_tax * 10 END) AS booked_funding,
-    sum(CASE WHEN l_linenumber % 4 <> 0 AND l_linestatus = 'O' THEN -l_tax END) AS estimated_funding FROM lineitem GROUP BY l_orderkey) f ON f.l_orderkey = t.order_id
+LEFT JOIN (SELECT l_orderkey, count(*) AS fill_count, sum(CAST(l_discount * 0.01 * l_extendedprice AS DECIMAL(20, 8))) AS slippage_cost, sum(CASE WHEN l_linenumber % 4 = 0 THEN -l_tax * 10 END) AS booked_funding,
+    sum(CASE WHEN l_linenumber % 4 <> 0 AND l_linestatus = 'O' THEN -l_tax END) AS estimated_funding FROM amounts GROUP BY l_orderkey) f ON f.l_orderkey = t.order_id
 """,
 )
 common(
     "decomposed",
     """
-SELECT *, total_paper_pnl - (coalesce(fees, 0) + coalesce(slippage, 0) + coalesce(funding, 0) + coalesce(ensemble_contribution, 0) + coalesce(alpha_contribution, 0)) AS unexplained_residual FROM (
-  SELECT *, -fee AS fees, CASE WHEN fill_count > 0 THEN -slippage_cost END AS slippage, booked_funding AS funding, said_ensemble AS ensemble_contribution,
-    CASE WHEN gross_pnl IS NOT NULL AND said_ensemble IS NULL THEN gross_pnl + coalesce(CASE WHEN fill_count > 0 THEN slippage_cost END, 0) END AS alpha_contribution, realized_pnl AS total_paper_pnl FROM linked)
+SELECT *, CAST(total_paper_pnl - coalesce(fees, 0) - coalesce(slippage, 0) - coalesce(funding, 0) - coalesce(ensemble_contribution, 0) - coalesce(alpha_contribution, 0) AS DECIMAL(20, 8)) AS unexplained_residual FROM (
+  SELECT *, CAST(-fee AS DECIMAL(20, 8)) AS fees, CASE WHEN fill_count > 0 THEN CAST(-slippage_cost AS DECIMAL(20, 8)) END AS slippage, CAST(booked_funding AS DECIMAL(20, 8)) AS funding, said_ensemble AS ensemble_contribution,
+    CASE WHEN gross_pnl IS NOT NULL AND said_ensemble IS NULL THEN CAST(gross_pnl + coalesce(CASE WHEN fill_count > 0 THEN slippage_cost END, 0) AS DECIMAL(20, 8)) END AS alpha_contribution, realized_pnl AS total_paper_pnl FROM linked)
 """,
 )
 common(
@@ -123,7 +133,7 @@ def trades_with_parts(spark, sf) -> DataFrame:
 @query(
     "lineage_links",
     """SELECT order_id, symbol, created_at, link_trace, regime, ensemble_id, coalesce(fill_count, 0) AS fill_count, has_risk, has_target, count(*) AS trades FROM linked GROUP BY ALL""",
-    uses="linked",
+    uses="amounts linked",
 )
 def lineage_links(spark, sf):
     no = lambda c: F.coalesce(c, F.lit(False)).alias(c)
@@ -139,13 +149,13 @@ _HAVE = {"fees", "slippage", "funding", "ensemble_contribution", "alpha_contribu
 @query(
     "pnl_component_totals",
     "WITH c AS (" + " UNION ALL ".join(
-        f"SELECT '{c}' AS component, {c if c in _HAVE else 'CAST(NULL AS DOUBLE)'} AS v FROM decomposed" for c in _COMP
-    ) + f") SELECT component, {money_sql('coalesce(sum(v), 0)', 'reconciliation_value')}, {money_sql('sum(v)', 'value')}, count(v) AS available_trade_count, count(*) AS trade_count, count(v) / count(*) AS coverage_ratio FROM c GROUP BY component",
-    uses="linked decomposed",
+        f"SELECT '{c}' AS component, {c if c in _HAVE else 'CAST(NULL AS DECIMAL(20, 8))'} AS v FROM decomposed" for c in _COMP
+    ) + f") SELECT component, {total_sql('coalesce(sum(v), 0)', 'reconciliation_value')}, {total_sql('sum(v)', 'value')}, count(v) AS available_trade_count, count(*) AS trade_count, count(v) / count(*) AS coverage_ratio FROM c GROUP BY component",
+    uses="amounts linked decomposed",
 )
 def pnl_component_totals(spark, sf):
     return at.component_totals(trades_with_parts(spark, sf)).select(
-        "component", money("reconciliation_value").alias("reconciliation_value"), money("value").alias("value"), "available_trade_count", "trade_count", "coverage_ratio"
+        "component", total("reconciliation_value").alias("reconciliation_value"), total("value").alias("value"), "available_trade_count", "trade_count", "coverage_ratio"
     )
 
 
@@ -161,27 +171,27 @@ _DIMS = {
 @query(
     "pnl_by_dimension",
     "WITH d AS (" + " UNION ALL ".join(f"SELECT '{d}' AS dimension, {e} AS key, total_paper_pnl AS p FROM decomposed" for d, e in _DIMS.items())
-    + f") SELECT dimension, key, {money_sql('sum(p)', 'pnl')}, count(*) AS trades FROM d GROUP BY dimension, key",
-    uses="linked decomposed",
+    + f") SELECT dimension, key, {total_sql('sum(p)', 'pnl')}, count(*) AS trades FROM d GROUP BY dimension, key",
+    uses="amounts linked decomposed",
 )
 def pnl_by_dimension(spark, sf):
-    return at.direct_rollups(trades_with_parts(spark, sf), "week").select("dimension", "key", money("pnl").alias("pnl"), "trades")
+    return at.direct_rollups(trades_with_parts(spark, sf), "week").select("dimension", "key", total("pnl").alias("pnl"), "trades")
 
 
 @query(
     "pnl_allocated_alpha",
     f"""WITH a AS (SELECT ensemble_id, sum(coalesce(alpha_contribution, 0)) AS alpha FROM decomposed WHERE ensemble_id IS NOT NULL GROUP BY ensemble_id),
-      l AS (SELECT lw.signal_id, alpha * weight AS g, family, model, ext, provider, model IS NOT NULL AS got FROM a JOIN lw USING (ensemble_id) LEFT JOIN lp ON lp.signal_id = lw.signal_id),
+      l AS (SELECT lw.signal_id, CAST(CAST(alpha AS DECIMAL(24, 8)) * CAST(weight AS DECIMAL(14, 10)) AS DECIMAL(30, 8)) AS g, family, model, ext, provider, model IS NOT NULL AS got FROM a JOIN lw USING (ensemble_id) LEFT JOIN lp ON lp.signal_id = lw.signal_id),
       d AS (SELECT 'signal' AS dimension, signal_id AS key, g FROM l UNION ALL SELECT 'signal_family', coalesce(family, 'unattributed'), g FROM l UNION ALL SELECT 'model', model, g FROM l WHERE got
         UNION ALL SELECT 'external_availability', CASE WHEN NOT got THEN 'unknown' WHEN ext THEN 'available' ELSE 'unavailable' END, g FROM l
         UNION ALL SELECT 'external_provider', CASE WHEN NOT got THEN 'unknown' WHEN ext AND provider IS NOT NULL THEN provider WHEN ext THEN 'available_provider_unrecorded' ELSE 'unavailable' END, g FROM l)
-      SELECT dimension, key, {money_sql('coalesce(sum(g), 0)', 'allocated_alpha')} FROM d GROUP BY dimension, key""",
-    uses="linked decomposed lw lp",
+      SELECT dimension, key, {total_sql('coalesce(sum(g), 0)', 'allocated_alpha')} FROM d GROUP BY dimension, key""",
+    uses="amounts linked decomposed lw lp",
 )
 def pnl_allocated_alpha(spark, sf):
     t = ledger(spark, sf)
     return at.weighted_rollups(trades_with_parts(spark, sf), t["weights"], t["signals"], t["predictions"]).select(
-        "dimension", "key", money("allocated_alpha").alias("allocated_alpha")
+        "dimension", "key", total("allocated_alpha").alias("allocated_alpha")
     )
 
 
@@ -191,9 +201,9 @@ def pnl_allocated_alpha(spark, sf):
       x AS (SELECT d.*, coalesce(complete, false) AS complete, coalesce(prov, false) AS prov FROM decomposed d LEFT JOIN e USING (ensemble_id)),
       c AS (SELECT unnest([{'n': 'decision_trace', 'ok': link_trace IS NOT NULL}, {'n': 'model_signal_lineage', 'ok': complete}, {'n': 'ensemble_weighting', 'ok': ensemble_id IS NOT NULL}, {'n': 'portfolio_sizing', 'ok': has_target},
         {'n': 'risk_resizing', 'ok': has_risk}, {'n': 'execution_fill', 'ok': coalesce(fill_count, 0) > 0}, {'n': 'fees', 'ok': fees IS NOT NULL}, {'n': 'funding_status', 'ok': funding IS NOT NULL OR estimated_funding IS NOT NULL},
-        {'n': 'external_ai_status', 'ok': complete AND prov}]) AS f, abs(total_paper_pnl) AS s FROM x)
-      SELECT f.n AS evidence, count(*) FILTER (WHERE f.ok) AS covered_trade_count, count(*) AS trade_count, round(avg(CAST(f.ok AS DOUBLE)), 6) + 0.0 AS trade_ratio, round(coalesce(sum(s) FILTER (WHERE f.ok), 0) / sum(s), 6) + 0.0 AS absolute_pnl_ratio FROM c GROUP BY f.n""",
-    uses="linked decomposed lw lp",
+        {'n': 'external_ai_status', 'ok': complete AND prov}]) AS f, CAST(abs(total_paper_pnl) AS DECIMAL(20, 8)) AS s FROM x)
+      SELECT f.n AS evidence, count(*) FILTER (WHERE f.ok) AS covered_trade_count, count(*) AS trade_count, round(avg(CAST(f.ok AS DOUBLE)), 6) + 0.0 AS trade_ratio, round(CAST(coalesce(sum(s) FILTER (WHERE f.ok), 0) AS DOUBLE) / CAST(sum(s) AS DOUBLE), 6) + 0.0 AS absolute_pnl_ratio FROM c GROUP BY f.n""",
+    uses="amounts linked decomposed lw lp",
 )
 def pnl_evidence_coverage(spark, sf):
     t = ledger(spark, sf)

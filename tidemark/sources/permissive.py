@@ -21,7 +21,7 @@ def json_lines(spark: SparkSession, path: str) -> DataFrame:
 
 def json_array(spark: SparkSession, path: str) -> DataFrame:
     """row variant, bad_record: an element each of files that are one array.  A file that is no array, or an element that is no object, is bad."""
-    files = spark.read.option("wholetext", True).option("recursiveFileLookup", True).text(path)
+    files = spark.read.option("recursiveFileLookup", True).text(path, wholetext=True)
     parsed = F.from_json("value", "array<variant>")
     whole = files.select("value", parsed.alias("items"), F.ltrim("value").startswith("[").alias("array"))
     good = F.col("array") & F.col("items").isNotNull()
@@ -54,9 +54,9 @@ def cell(text: Column) -> Column:
 
 def csv_cells(spark: SparkSession, path: str) -> DataFrame:
     """The columns of CSV files with a header, each cell a variant; a line with too few or too many cells is in ``bad_record`` as well."""
-    header = spark.read.option("header", True).option("recursiveFileLookup", True).csv(path)
+    header = spark.read.option("header", True).option("escape", '"').option("recursiveFileLookup", True).csv(path)
     schema = ", ".join(f"`{c}` string" for c in header.columns)
-    raw = spark.read.option("header", True).option("recursiveFileLookup", True).option("columnNameOfCorruptRecord", BAD).schema(f"{schema}, {BAD} string").csv(path)
+    raw = spark.read.option("header", True).option("escape", '"').option("recursiveFileLookup", True).option("columnNameOfCorruptRecord", BAD).schema(f"{schema}, {BAD} string").csv(path)
     return raw.select(*[cell(F.col(c)).alias(c) for c in header.columns], BAD)
 
 
