@@ -2,6 +2,7 @@ import hashlib
 from collections import defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from tests.llm.conftest import odd_rows
@@ -52,5 +53,43 @@ def test_peeling_recovers_the_difference(changed):
     pick = np.random.default_rng(changed)
     shared, left, right = (pick.integers(1, 2**63, n).astype(np.uint64) for n in (50, changed, changed // 2))
     a, b = np.concatenate([shared, left]), np.concatenate([right, shared])
-    one, two = sketches.differences([a, shared], [b, b], sketches.Sketches.of([a, shared]), sketches.Sketches.of([b, b]))[0]
+    one, two = sketches.differences([a, shared], [b, b], np.array([8, 8]))[0]
     assert set(one.tolist()) == set(left.tolist()) and set(two.tolist()) == set(right.tolist())
+
+
+def test_likeness_comes_from_the_returned_fingerprints(spark, documents):
+    rows = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    for frame in (sketches.versions(documents), sketches.versions(rows)):
+        prints = {r["doc_id"]: r for r in frame.collect()}
+        order = sorted(prints, reverse=True)
+        for i, doc in enumerate(order):
+            r, following = prints[doc], prints[order[(i + 1) % len(order)]]
+            assert sketches.compared(r["fingerprint"], r["edited_fingerprint"]) == r["near_edited"]
+            assert sketches.compared(r["fingerprint"], following["fingerprint"]) == r["near_next"]
+            assert r["near_edited"] > 0 or r["n_chars"] < 3
+
+
+def test_a_fingerprint_gives_back_its_digests(texts):
+    keys = sketches.all_digests(pa.array(list(texts.values())))
+    for k, text, third in zip(keys, *sketches.fingerprints(keys)):
+        _, found, sides, whole = sketches.Sketches.read(text).peeled()
+        assert whole.all() and (sides == 1).all() and sorted(found.tolist()) == sorted(k.tolist()) and third >= sketches.cells_for(len(k))
+
+
+def test_paragraphs_depend_on_their_own_place_only(texts):
+    """An edit in the middle leaves all but the paragraphs around it."""
+    for text in [t for t in texts.values() if len(t) > 2000][:30] + ["汉字。漢字！" * 300, "x" * 3000 + " end", "one line of ordinary words " * 80]:
+        half = len(text) // 2
+        a, b = (set(sketches.digests(t).tolist()) for t in (text, text[:half] + "!! changed !!" + text[half:]))
+        assert len(a & b) >= len(a) - 40 and len(a & b) > 0
+    # Alone or among others, a text has the same digests.
+    some = list(texts.values())[:50]
+    assert all(np.array_equal(sketches.digests(t), k) for t, k in zip(some, sketches.all_digests(pa.array(some))))
+
+
+def test_ids_that_are_texts(spark):
+    docs = [(f"d{i:03}", f"text number {i}. It has a second sentence, with {i} words") for i in range(200)]
+    frame = spark.createDataFrame(docs, "doc_id string, text string").repartition(7)
+    rows = sorted(docs, reverse=True)
+    got = {r["doc_id"]: r["edited_sha256"] for r in sketches.versions(frame).collect()}
+    assert got == {d: hashlib.sha256(sketches.edited(t, rows[(i + 1) % 200][1]).encode()).hexdigest() for i, (d, t) in enumerate(rows)}
