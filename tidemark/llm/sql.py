@@ -26,7 +26,9 @@ WITH RECURSIVE d AS (SELECT doc_id, regexp_extract_all({_LOWER}, '[^\x20\x09-\x0
 SELECT doc_id, any_value(n) AS n_shingles, min(reached) AS component_id, doc_id = min(reached) AS kept FROM r JOIN n USING (doc_id) GROUP BY doc_id
 """
 
-_KNOWN = ", ".join(f"({_quoted(name)}, {_quoted(text)})" for name, texts in licences.KNOWN.items() for text in texts)
+#: The same list as the query's: notices and whole licences.
+_ALL_KNOWN = [(name, text) for name, texts in licences.KNOWN.items() for text in texts] + licences.whole_licences()
+_KNOWN = ", ".join(f"({_quoted(name)}, {_quoted(text)})" for name, text in dict.fromkeys(_ALL_KNOWN))
 
 
 def _canonical(text: str) -> str:
