@@ -28,9 +28,9 @@ from pyspark.sql import DataFrame, functions as F
 
 from tidemark.llm.arrays import _BYTE_CODE, _POWERS, flat_bytes, keyed, mixed, text_slices
 
-#: Sentences of more bytes than this are divided after words whose hash ends in three zero bits, words after bytes whose hash ends in five.
-LONG = 64
-_WORD_BITS, _BYTE_BITS = np.uint64(7), np.uint64(31)
+#: Sentences of more bytes than this are divided after words whose hash ends in four zero bits, words of more bytes after bytes whose hash ends in five.
+LONG, LONG_WORD = 256, 64
+_WORD_BITS, _BYTE_BITS = np.uint64(15), np.uint64(31)
 OPENINGS = (2, 8, 32)
 _SEEDS = keyed(3, 31)
 _CHECK = keyed(1, 32)[0]
@@ -80,7 +80,7 @@ def all_digests(column: pa.Array) -> list[np.ndarray]:
     if len(starts):
         cut[stops[(_range_hash(sums, down, starts, stops) & _WORD_BITS) == 0]] = True
         # Very long words, after bytes of their own choice that end a character.
-        for a, b in zip(starts[stops - starts > LONG], stops[stops - starts > LONG]):
+        for a, b in zip(starts[stops - starts > LONG_WORD], stops[stops - starts > LONG_WORD]):
             at = np.arange(a + 16, b)
             at = at[(data[at] & 0xC0) != 0x80]
             cut[at[(_range_hash(sums, down, at - 8, at) & _BYTE_BITS) == 0]] = True
@@ -116,10 +116,10 @@ def digests(text: str) -> np.ndarray:
 
 
 def cells_for(count: int) -> int:
-    """Cells of a subtable that ``count`` digests ask for: a power of two."""
+    """Cells of a subtable that ``count`` digests ask for: 4, 6, 8, 12, 16, 24 ..."""
     need, out = (1.45 * count + 8) / 3, 4
     while out < need:
-        out *= 2
+        out = out * 3 // 2 if out & (out - 1) == 0 else out * 4 // 3
     return out
 
 
