@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window as W, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from tidemark.functions.numeric import clamp
 
@@ -26,6 +26,14 @@ def exclusion(at: Column) -> Column:
     )
 
 
+def _pair_map(correlations: DataFrame) -> Column:
+    """Correlations of family pairs as one map, in both directions: as many entries as the registry has pairs of models."""
+    both = correlations.select("left_family", "right_family", clamp("correlation").alias("c")).where("c IS NOT NULL")
+    both = both.union(both.select("right_family", "left_family", "c"))
+    cells = both.groupBy(F.struct("left_family", "right_family").alias("k")).agg(F.max("c").alias("c"))
+    return cells.agg(F.map_from_entries(F.collect_list(F.struct("k", "c"))).alias("m")).scalar()
+
+
 def signal_weights(
     signals: DataFrame, correlations: DataFrame | None = None, decision: str = "decision_id", threshold: float = 0.70
 ) -> DataFrame:
@@ -33,14 +41,9 @@ def signal_weights(
 
     Signals are ranked by quality; a signal too correlated with an earlier-ranked
     one loses up to three quarters of its weight.  ``correlations`` holds one row
-    per unordered family pair.  A decision holds one signal per model, so the
-    earlier-ranked lookup joins a handful of rows per decision.
+    per unordered family pair.  A decision holds one signal per model, so its signals are
+    one short array, sorted and weighed in place: the signals are read and shuffled once.
     """
-    out = signals.withColumn("exclusion_reason", exclusion(F.col("decided_at")))
-    valid = out.where(F.col("exclusion_reason").isNull())
-    quality = F.col("confidence") * (1.0 - F.col("uncertainty")) * F.col("liquidity_score")
-    place = F.row_number().over(W.partitionBy(decision).orderBy(F.col("__q").desc(), "signal_id"))
-    ranked = valid.withColumn("__q", quality).withColumn("__place", place)
     health = F.when(F.col("health_status") == "HEALTHY", 1.0).when(F.col("health_status") == "WATCH", 0.75).when(
         F.col("health_status") == "DEGRADED", 0.35
     ).otherwise(0.0)
@@ -49,37 +52,38 @@ def signal_weights(
         F.greatest("confidence", F.lit(0.0)) * F.greatest(1.0 - F.col("uncertainty"), F.lit(0.0)) * F.greatest("liquidity_score", F.lit(0.0))
         * F.greatest("strength", F.lit(0.05)) * health * (1.0 + lift)
     )
-    ranked = ranked.withColumn("__base", base)
-    # Same family counts as correlated exactly at the threshold.
-    family_seen = F.row_number().over(W.partitionBy(decision, "family").orderBy("__place")) > 1
-    ranked = ranked.withColumn("__same", F.when(family_seen, threshold))
-    if correlations is not None:
-        # A decision holds one signal per model, so the list of earlier families
-        # is as short as the model registry.
-        before = W.partitionBy(decision).orderBy("__place").rowsBetween(W.unboundedPreceding, -1)
-        pairs = ranked.withColumn("__before", F.collect_set("family").over(before)).select(
-            decision, "signal_id", "family", F.explode("__before").alias("__ef")
-        )
-        both = correlations.select(F.col("left_family").alias("family"), F.col("right_family").alias("__ef"), "correlation").union(
-            correlations.select("right_family", "left_family", "correlation")
-        )
-        found = pairs.join(both, ["family", "__ef"]).groupBy(decision, "signal_id").agg(F.max(clamp("correlation")).alias("__corr"))
-        ranked = ranked.join(found, [decision, "signal_id"], "left")
-    else:
-        ranked = ranked.withColumn("__corr", F.lit(None).cast("double"))
-    first = F.col("__place") == 1
-    top = F.when(first, 0.0).otherwise(F.greatest(F.coalesce("__corr", F.lit(0.0)), F.coalesce("__same", F.lit(0.0))))
-    hit = top >= threshold
-    penalty = F.when(hit, F.least((top - threshold) / max(1.0 - threshold, 1e-9), F.lit(1.0)))
-    ranked = ranked.withColumn("correlation_penalty", penalty).withColumn(
-        "raw_weight", F.greatest(F.col("__base") * (1.0 - 0.75 * F.coalesce("correlation_penalty", F.lit(0.0))), F.lit(0.0))
-    )
-    total = F.sum("raw_weight").over(W.partitionBy(decision))
-    ranked = ranked.withColumn("weight", F.when(total != 0, F.col("raw_weight") / total).otherwise(0.0)).drop(
-        "__q", "__place", "__base", "__same", "__corr"
+    quality = F.col("confidence") * (1.0 - F.col("uncertainty")) * F.col("liquidity_score")
+    kept = [c for c in signals.columns if c != decision]
+    # Excluded ones sort behind; the best quality comes first, nulls behind it.
+    staged = signals.withColumn("exclusion_reason", exclusion(F.col("decided_at")))
+    item = F.struct(
+        F.col("exclusion_reason").isNotNull().alias("out"), quality.isNull().alias("unknown"), (-quality).alias("q"), F.col("signal_id").alias("s"),
+        base.alias("base"), F.struct(*kept, "exclusion_reason").alias("row"),
     )
-    rest = out.where(F.col("exclusion_reason").isNotNull()).withColumn("weight", F.lit(0.0))
-    return ranked.unionByName(rest, allowMissingColumns=True)
+    packed = staged.groupBy(decision).agg(F.sort_array(F.collect_list(item)).alias("all"))
+    known = _pair_map(correlations) if correlations is not None else None
+
+    def alike(x: Column, e: Column) -> Column:
+        same = F.when(e["row"]["family"].eqNullSafe(x["row"]["family"]), F.lit(threshold)).otherwise(0.0)
+        if known is None:
+            return same
+        key = F.struct(x["row"]["family"].alias("left_family"), e["row"]["family"].alias("right_family"))
+        return F.greatest(same, F.coalesce(F.try_element_at(F.col("pairs"), key), F.lit(0.0)))
+
+    def weighed(x: Column, i: Column) -> Column:
+        top = F.aggregate(F.slice("all", F.lit(1), i), F.lit(0.0), lambda acc, e: F.greatest(acc, alike(x, e)))
+        penalty = F.when(~x["out"] & (i > 0) & (top >= threshold), F.least((top - threshold) / max(1.0 - threshold, 1e-9), F.lit(1.0)))
+        raw = F.when(~x["out"], F.greatest(x["base"] * (1.0 - 0.75 * F.coalesce(penalty, F.lit(0.0))), F.lit(0.0)))
+        return F.struct(x["row"].alias("row"), penalty.alias("correlation_penalty"), raw.alias("raw_weight"))
+
+    if known is not None:
+        packed = packed.withColumn("pairs", known)
+    done = packed.select(decision, F.transform("all", weighed).alias("done"))
+    total = F.aggregate("done", F.lit(0.0), lambda acc, x: acc + F.coalesce(x["raw_weight"], F.lit(0.0)))
+    flat = done.select(decision, total.alias("__total"), F.explode("done").alias("x"))
+    raw = F.col("x.raw_weight")
+    weight = F.when(raw.isNotNull() & (F.col("__total") != 0), raw / F.when(F.col("__total") != 0, F.col("__total"))).otherwise(0.0)
+    return flat.select(decision, "x.row.*", "x.correlation_penalty", "x.raw_weight", weight.alias("weight"))
 
 
 def combine(

@@ -72,8 +72,9 @@ _REG = [
 ]
 
 
-def regimes(spark, sf, spot: bool = True) -> DataFrame:
-    return sc.with_columns(feature_bank(spark, sf), sc.regime_scores(spot))
+def regimes(spark, sf, spot: bool = True, dealt: bool = False) -> DataFrame:
+    bank = feature_bank(spark, sf)
+    return sc.with_columns(bank.repartition("event_id") if dealt else bank, sc.regime_scores(spot))
 
 
 @query("regime_scores_live", f"SELECT event_id, {sql_round(_REG)} FROM regimes", uses="bank regimes")
@@ -144,12 +145,13 @@ FROM (SELECT *, least(0.02, CASE WHEN spot_bid_ask_spread_pct > 0 THEN spot_bid_
 _FC = ["expected_return", "expected_volatility", "probability_up", "probability_down", "confidence", "uncertainty"]
 
 
-def costed(spark, sf) -> DataFrame:
-    return sc.with_columns(regimes(spark, sf), sc.cost_estimate())
+def costed(spark, sf, dealt: bool = False) -> DataFrame:
+    return sc.with_columns(regimes(spark, sf, dealt=dealt), sc.cost_estimate())
 
 
-def forecasts(spark, sf) -> DataFrame:
-    df = costed(spark, sf).withColumn("regime", sc.single_regime())
+def forecasts(spark, sf, dealt: bool = False) -> DataFrame:
+    """One row per family; ``dealt`` by event beforehand, where what follows groups by event: the narrow features are shuffled, not the forecasts."""
+    df = costed(spark, sf, dealt).withColumn("regime", sc.single_regime())
     return sc.family_forecasts(df, ["event_id", "symbol", "ts", "regime", "total_cost", "fill_probability", "external_ai_missing"])
 
 
@@ -205,9 +207,9 @@ def forecast_reliability(spark, sf):
     return feature_bank(spark, sf).select("event_id", *[rnd(e).alias(n) for n, e in parts.items()])
 
 
-def signals(spark, sf) -> DataFrame:
+def signals(spark, sf, dealt: bool = False) -> DataFrame:
     health = F.when(F.col("event_id") % 13 == 0, "SUSPENDED").when(F.col("event_id") % 7 == 0, "DEGRADED").when(F.col("event_id") % 5 == 0, "WATCH").otherwise("HEALTHY")
-    df = forecasts(spark, sf).withColumn("health_status", health)
+    df = forecasts(spark, sf, dealt).withColumn("health_status", health)
     made = sc.signal_columns(
         F.col("expected_return"), F.col("total_cost"), F.col("confidence"), F.lit(0.70), ~F.col("external_ai_missing"), F.col("health_status")
     )
@@ -240,7 +242,7 @@ def forecast_signals(spark, sf):
 
 def ensemble_input(spark, sf) -> DataFrame:
     i = F.col("event_id")
-    return signals(spark, sf).select(
+    return signals(spark, sf, dealt=True).select(
         i.alias("decision_id"), F.concat(i.cast("string"), F.lit(":"), "family").alias("signal_id"), "family", "regime", "direction", "strength",
         F.col("signal_confidence").alias("confidence"), "uncertainty", "expected_volatility", "net_expected_return",
         F.col("total_cost").alias("expected_cost"), F.col("fill_probability").alias("liquidity_score"), "health_status",
@@ -253,7 +255,7 @@ def ensemble_input(spark, sf) -> DataFrame:
 def family_pairs(spark, sf) -> DataFrame:
     """A correlation per family pair, measured on the forecasts themselves."""
     names = sorted(_F_SQL)
-    wide = forecasts(spark, sf).groupBy("event_id").agg(
+    wide = forecasts(spark, sf, dealt=True).groupBy("event_id").agg(
         *[F.max(F.when(F.col("family") == n, F.col("expected_return"))).alias(f"r{i}") for i, n in enumerate(names)]
     )
     spots = [(i, j) for i in range(len(names)) for j in range(i + 1, len(names))]
