@@ -159,23 +159,37 @@ def manifest_facts(
 ) -> DataFrame:
     """Rows, time range, symbols and an order-free content hash per table.
 
-    The hash is the sum of 32-bit row digests, as text: a decimal sum cannot overflow.
+    The hash is the sum of 60-bit row digests, as text: a decimal sum cannot overflow.  In a row's text a
+    null is a mark of its own, and separators inside values are escaped, so different rows have different texts.
 
     Each table is read once with map-side aggregation.  ``tables`` maps a name to
     (rows, time column, symbol column, hashed columns).
     """
     parts = None
     for name, (df, time, symbol, columns) in tables.items():
-        digest = F.conv(F.substring(F.md5(F.concat_ws("|", *[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in columns])), 1, 8), 16, 10).cast("long")
+        escaped = lambda c: F.replace(F.replace(F.col(c).cast("string"), F.lit("\\"), F.lit("\\\\")), F.lit("|"), F.lit("\\|"))
+        digest = F.conv(F.substring(F.md5(F.concat_ws("|", *[F.coalesce(escaped(c), F.lit("\\N")) for c in columns])), 1, 15), 16, 10).cast("long")
         one = df.agg(
             F.count(F.lit(1)).alias("row_count"), F.min(time).alias("first_timestamp"), F.max(time).alias("last_timestamp"),
             (F.countDistinct(symbol) if symbol else F.lit(0).cast("long")).alias("symbols"),
-            F.coalesce(F.sum(digest.cast("decimal(10,0)")), F.lit(0).cast("decimal(20,0)")).cast("string").alias("content_hash"),
+            F.coalesce(F.sum(digest.cast("decimal(28,0)")), F.lit(0).cast("decimal(38,0)")).cast("string").alias("content_hash"),
         ).select(F.lit(name).alias("table_name"), "*")
         parts = one if parts is None else parts.unionByName(one)
     return parts
 
 
+def continuity(rows: DataFrame, seq: str, seconds: int, time: str = "open_time") -> DataFrame:
+    """Per symbol, in the order of ``seq``: rows that are not later than the one before, gaps of more than one and a half steps, and intervals missing in them."""
+    blocks = range_blocks(rows.select("symbol", seq, time), ["symbol"], [seq])
+    step = (micros(time) - micros("__p")) / 1e6
+    moved = lag_across(blocks, ["symbol"], [seq], {"__p": F.col(time)}).where("__p IS NOT NULL").withColumn("__s", step)
+    gap = F.col("__s") > seconds * 1.5
+    lost = F.greatest(F.round(F.col("__s") / seconds) - 1, F.lit(1.0))
+    return moved.groupBy("symbol").agg(
+        F.count_if(F.col("__s") <= 0).alias("order_errors"), F.count_if(gap).alias("gaps"), F.coalesce(F.sum(F.when(gap, lost)), F.lit(0.0)).cast("long").alias("missing_intervals")
+    )
+
+
 def manifest_mismatches(manifest: DataFrame, actual: DataFrame) -> DataFrame:
     """Differences between stated and recomputed facts, one row per broken fact."""
     left = manifest.select("table_name", F.struct(*[c for c in manifest.columns if c != "table_name"]).alias("m"))

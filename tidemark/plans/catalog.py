@@ -28,6 +28,7 @@ _MODULES = (
     "handoff",
     "paths",
     "intake",
+    "records",
 )
 
 for _module in _MODULES:

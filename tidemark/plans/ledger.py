@@ -336,8 +336,8 @@ def _tables(spark, sf, lossy: bool = False):
 
 
 def _facts_sql(name, src, time, sym, cols):
-    h = "concat_ws('|', " + ", ".join(f"coalesce(CAST({c} AS VARCHAR), '')" for c in cols) + ")"
-    return f"SELECT '{name}' AS table_name, count(*) AS row_count, min({time}) AS first_timestamp, max({time}) AS last_timestamp, {f'count(DISTINCT {sym})' if sym else 'CAST(0 AS BIGINT)'} AS symbols, CAST(sum(CAST('0x' || substr(md5({h}), 1, 8) AS BIGINT)) AS VARCHAR) AS content_hash FROM {src}"
+    h = "concat_ws('|', " + ", ".join(f"coalesce(replace(replace(CAST({c} AS VARCHAR), '\\', '\\\\'), '|', '\\|'), '\\N')" for c in cols) + ")"
+    return f"SELECT '{name}' AS table_name, count(*) AS row_count, min({time}) AS first_timestamp, max({time}) AS last_timestamp, {f'count(DISTINCT {sym})' if sym else 'CAST(0 AS BIGINT)'} AS symbols, CAST(sum(CAST('0x' || substr(md5({h}), 1, 15) AS BIGINT)) AS VARCHAR) AS content_hash FROM {src}"
 
 
 _FACTS = [
@@ -359,10 +359,23 @@ def manifest_facts(spark, sf):
       UNION ALL SELECT 'events', 'FIRST_TIMESTAMP_MISMATCH' FROM f WHERE a <> b UNION ALL SELECT 'events', 'LAST_TIMESTAMP_MISMATCH' FROM f WHERE c <> d""",
 )
 def export_verification(spark, sf):
+    """Facts of the tables against those of a lossy copy."""
     manifest = q.manifest_facts(_tables(spark, sf))
     return q.manifest_mismatches(manifest, q.manifest_facts(_tables(spark, sf, lossy=True)))
 
 
+@query(
+    "export_candle_gaps",
+    """WITH a AS (SELECT *, lag(open_time) OVER (PARTITION BY symbol ORDER BY seq) AS p FROM feed),
+      d AS (SELECT symbol, (epoch_us(open_time) - epoch_us(p)) / 1e6 AS s FROM a WHERE p IS NOT NULL)
+      SELECT symbol, count(*) FILTER (WHERE s <= 0) AS order_errors, count(*) FILTER (WHERE s > 90) AS gaps, CAST(coalesce(sum(greatest(round(s / 60) - 1, 1)) FILTER (WHERE s > 90), 0) AS BIGINT) AS missing_intervals FROM d GROUP BY symbol""",
+    uses="ticks feed",
+)
+def export_candle_gaps(spark, sf):
+    """Continuity of an export's candles in the order of the file: rows that do not move on, gaps, and the intervals missing in them."""
+    return q.continuity(raw_feed(spark, sf), "seq", 60)
+
+
 @query(
     "manifest_row_issues",
     """WITH m AS (SELECT o_orderkey AS manifest_id, o_orderkey % 4 = 0 AS a, o_orderkey % 6 = 0 AS c, o_orderkey % 8 <> 0 AS w, o_orderkey % 10 = 0 AS u, o_orderkey % 12 = 0 AS split FROM orders)

@@ -7,10 +7,12 @@ from collections.abc import Mapping
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from tidemark.functions.numeric import change, clamp, number_or, ratio, zero
-from tidemark.functions.text import squeeze
+from tidemark.functions.lexicon import LIVE_SYMBOLS
+from tidemark.functions.text import labels_where, squeeze, token_set
 from tidemark.operators.bars import floor_time
 from tidemark.operators.context import previous_change
-from tidemark.operators.series import lag_across, range_blocks
+from tidemark.operators.ranks import quantiles, value_ranks
+from tidemark.operators.series import lag_across, micros, range_blocks
 
 CANDLE_TEXT = "symbol string, interval string, open_time string, close_time string, open string, high string, low string, close string, volume string, is_closed string"
 
@@ -252,6 +254,53 @@ def bounded_scan(df: DataFrame, time: str, start, end, symbols: list[str] | None
     return out.where(F.upper("symbol").isin(*[s.upper() for s in symbols])) if symbols else out
 
 
+def event_filter(
+    events: DataFrame, source_prefix: str | None = None, kinds: list[str] | None = None, symbol: str | None = None, or_market_wide: bool = False, start=None, end=None
+) -> DataFrame:
+    """Events by optional conditions, all of which must hold: prefix of the source, kinds, symbol (or none at all), and a closed time range.
+
+    Each is a plain comparison, so it reaches the scan.
+    """
+    out = events
+    if source_prefix is not None:
+        out = out.where(F.col("source_name").startswith(source_prefix))
+    if kinds is not None:
+        out = out.where(F.col("data_type").isin(*kinds))
+    if symbol is not None:
+        same = F.col("symbol") == symbol.upper()
+        out = out.where(same | F.col("symbol").isNull() if or_market_wide else same)
+    if start is not None:
+        out = out.where(F.col("event_time") >= F.lit(start))
+    return out.where(F.col("event_time") <= F.lit(end)) if end is not None else out
+
+
+def sampling_names(rows: DataFrame, time: str = "ts") -> DataFrame:
+    """Per symbol the median interval of a series in whole milliseconds (an hour if it has none) and the name of the timeframe it is read as."""
+    blocks = range_blocks(rows.select("symbol", time).distinct(), ["symbol"], [time])
+    gaps = lag_across(blocks, ["symbol"], [time], {"__p": F.col(time)}).where("__p IS NOT NULL")
+    ms = F.floor(micros(time) / 1000) - F.floor(micros("__p") / 1000)
+    ranked = value_ranks(gaps.select("symbol", ms.cast("double").alias("gap")).where("gap > 0"), ["symbol"], "gap")
+    median = quantiles(ranked, ["symbol"], "gap", {"median": 0.5})
+    out = rows.select("symbol").distinct().join(median, "symbol", "left")
+    interval = F.coalesce(F.floor("median"), F.lit(3_600_000)).cast("long")
+    return out.select("symbol", interval.alias("interval_ms")).withColumn("timeframe", timeframe_name(F.col("interval_ms") / 60000.0))
+
+
+def news_items(rows: DataFrame, provider: str, raw: str = "value") -> DataFrame:
+    """``{"articles": [{"source": {"name"}, "title", "url", "description", "publishedAt"}]}`` payloads as article rows with their symbols."""
+    item = "source: struct<name: string>, title: string, url: string, description: string, publishedAt: string"
+    keep = [c for c in rows.columns if c != raw]
+    flat = rows.select(*keep, F.explode(F.from_json(raw, f"articles array<struct<{item}>>")["articles"]).alias("a"))
+    known = flat.where((F.coalesce(F.trim("a.title"), F.lit("")) != "") & (F.coalesce(F.trim("a.url"), F.lit("")) != ""))
+    text = F.concat_ws(" ", "a.title", "a.description")
+    toks = token_set(text)
+    return known.select(
+        *keep, F.lit(provider).alias("provider"), F.coalesce(F.nullif(F.trim("a.source.name"), F.lit("")), F.lit(provider)).alias("source"), F.col("a.title").alias("title"), F.col("a.url").alias("url"),
+        F.try_to_timestamp("a.publishedAt").cast("timestamp_ntz").alias("published_at"), text.alias("raw_text"),
+        labels_where({s: F.arrays_overlap(toks, F.array(*[F.lit(x) for x in names])) for s, names in LIVE_SYMBOLS.items()}).alias("affected_symbols"),
+    )
+
+
 def imported_scores(articles: DataFrame, scores: DataFrame) -> DataFrame:
     """External scores matched by article id, else by link; the id wins."""
     by_id = scores.where(F.col("article_id").isNotNull()).groupBy("article_id").agg(F.max_by("score", "seq").alias("s1"))
