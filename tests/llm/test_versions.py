@@ -57,6 +57,16 @@ def test_peeling_recovers_the_difference(changed):
     assert set(one.tolist()) == set(left.tolist()) and set(two.tolist()) == set(right.tolist())
 
 
+def test_a_cell_that_looks_like_one_digest_ends(spark):
+    """A key alone in one of its three cells would be taken out and put back for ever."""
+    held = sketches.Sketches.of([np.array([5, 9], np.uint64), np.array([7], np.uint64)], 16)
+    key = np.array([12345], np.uint64)
+    cell = held.places(key, 1)[0]
+    held.count[0, cell], held.digest[0, cell], held.check[0, cell] = 1, key[0], sketches.Sketches.checks(key)[0]
+    rows, keys, _, whole = held.peeled()
+    assert whole.tolist() == [False, True] and keys[rows == 1].tolist() == [7]
+
+
 def test_likeness_comes_from_the_returned_fingerprints(spark, documents):
     rows = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     for frame in (sketches.versions(documents), sketches.versions(rows)):

@@ -41,6 +41,8 @@ SLICE = 1_000_000
 #: Ranges of doc_id a shuffle partition gets on average.
 _RANGES = 4
 _CELL_BYTES = 12
+#: Rounds of peeling after which digests are looked at for coming twice; few sketches need as many.
+_ROUNDS = 24
 
 
 def _range_hash(sums: np.ndarray, down: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
@@ -160,10 +162,15 @@ class Sketches:
         return out
 
     def peeled(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """Row, digest and side (1 or -1) of what could be recovered, and which rows are whole.  Empties the cells."""
+        """Row, digest and side (1 or -1) of what could be recovered, and which rows are whole.  Empties the cells.
+
+        Several digests may by chance look like one; taking that out leaves its two other cells
+        with the same digest, which would go in and out for ever.  A row whose digest comes a second time is given up.
+        """
         rows, keys, sides = [np.zeros(0, np.int64)], [np.zeros(0, np.uint64)], [np.zeros(0, np.int32)]
+        broken = np.zeros(self.rows, bool)
         while True:
-            row, cell = np.nonzero(np.abs(self.count) == 1)
+            row, cell = np.nonzero((np.abs(self.count) == 1) & ~broken[:, None])
             found = self.digest[row, cell]
             # One digest alone has its check, and lies in the cell that it belongs to.
             home = np.choose(cell // self.third, [self.places(found, j) for j in range(3)]) if len(found) else cell
@@ -173,11 +180,15 @@ class Sketches:
                 break
             _, first = np.unique(mixed(found) + row.astype(np.uint64) * _SEEDS[0], return_index=True)
             row, found, side = row[first], found[first], self.count[row[first], cell[first]]
+            if len(rows) > _ROUNDS:
+                known = np.concatenate([mixed(k) + r.astype(np.uint64) * _SEEDS[0] for k, r in zip(keys, rows)])
+                again = np.isin(mixed(found) + row.astype(np.uint64) * _SEEDS[0], known)
+                broken[row[again]] = True
             self.add(row, found, -side)
             rows.append(row)
             keys.append(found)
             sides.append(side)
-        whole = ~(self.count.any(axis=1) | self.digest.any(axis=1) | self.check.any(axis=1))
+        whole = ~(broken | self.count.any(axis=1) | self.digest.any(axis=1) | self.check.any(axis=1))
         return np.concatenate(rows), np.concatenate(keys), np.concatenate(sides), whole
 
     def copy(self) -> Sketches:
