@@ -13,6 +13,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def dealt(rows: DataFrame) -> DataFrame:
+    """Rows stored in fewer splits than there are cores (a small file) dealt evenly, ahead of work on whole texts; else as they are."""
+    cores = rows.sparkSession.sparkContext.defaultParallelism
+    return rows.repartition(cores) if rows.rdd.getNumPartitions() < cores else rows
+
+
 def ticks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "events").select(
         F.col("event_type").alias("symbol"),
@@ -54,7 +60,7 @@ def article_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents as news: published a minute apart, usable seven minutes later."""
     published = F.expr("timestamp_ntz'2024-01-01 00:00:00' + make_dt_interval(0, 0, doc_id, 0)")
     return (
-        table(spark, sf_dir, "documents")
+        dealt(table(spark, sf_dir, "documents"))
         .withColumn("published_at", published)
         .select(
             F.col("doc_id").alias("article_id"),

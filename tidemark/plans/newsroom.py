@@ -225,7 +225,7 @@ def unverified_numbers(spark, sf):
       SELECT page_id, trim(regexp_replace(regexp_replace(h, '<[/!?a-zA-Z][^>]*>', ' ', 'g'), '\s+', ' ', 'g')) AS body FROM s""",
 )
 def html_cleaning(spark, sf):
-    return b.table(spark, sf, "pages").select("page_id", tx.clean_html(F.col("html")).alias("body"))
+    return b.dealt(b.table(spark, sf, "pages")).select("page_id", tx.clean_html(F.col("html")).alias("body"))
 
 
 @query(
