@@ -9,10 +9,8 @@ SF = "/root/testdata/sf0.001"
 SAMPLE = [
     "tick_bars_minute", "indicators_live", "labels_time_offsets", "asof_nearest_with_tolerance", "news_window_means", "evaluation_overall",
     "ridge_fit", "walk_forward_expanding", "risk_screening", "pnl_allocated_alpha", "candle_feed_issues", "text_student_predictions",
-    "derivative_payload_events", "stream_tumbling_bars", "fold_estimator_scores", "specialist_regime_rows", "simulated_returns_by_regime", "bundle_manifest",
-    "lake_day_scan", "incremental_dataset_rows", "path_labels", "candle_coverage", "json_line_variants", "csv_cell_variants", "pnl_component_totals",
-    "account_reconciliation", "trade_history_summary", "experience_horizon_rewards", "candidate_gate", "schema_default_fill", "ensemble_decisions",
-    "stream_kline_upsert", "saturation_curve", "unverified_numbers",
+    "derivative_payload_events", "stream_tumbling_bars", "fold_estimator_scores", "simulated_returns_by_regime", "path_labels", "pnl_component_totals",
+    "experience_horizon_rewards", "schema_default_fill", "ensemble_decisions", "saturation_curve",
 ]
 
 

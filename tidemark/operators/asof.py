@@ -131,6 +131,7 @@ def interval_sums(
     decayed: Mapping[str, Column] | None = None,
     tau_seconds: float | None = None,
     slices: int = 16,
+    newest: str | None = None,
 ) -> DataFrame:
     """Sums over right rows with ``t - length <= time <= t`` for every left row.
 
@@ -139,7 +140,8 @@ def interval_sums(
     bucket; no pairs are formed and no long prefix loses precision.  Right rows
     of one (key, instant) are added up before the shuffle and buckets are sliced,
     so a hot key, bucket or instant is spread.  ``decayed`` values are weighted
-    by ``exp(-age/tau)``, which factors over bucket starts.
+    by ``exp(-age/tau)``, which factors over bucket starts.  ``newest`` names a column for
+    the epoch microseconds of the newest right row of the interval, a running maximum of the same pass.
     """
     decayed = dict(decayed or {})
     length = length_seconds * 1_000_000
@@ -183,9 +185,11 @@ def interval_sums(
     )
     series = [*keys, "__bucket"]
     heads = running(
-        rows, series, ["__t", "__side"], {f"__p_{n}": ("sum", F.coalesce(F.col(n), F.lit(0.0))) for n in names}
+        rows, series, ["__t", "__side"],
+        {f"__p_{n}": ("sum", F.coalesce(F.col(n), F.lit(0.0))) for n in names}
+        | ({"__pt": ("max", F.when(F.col("__side") == 0, F.col("__t")))} if newest else {}),
     ).where(F.col("__side") != 0)
-    totals = events.groupBy(*series).agg(*[F.sum(n).alias(f"__b_{n}") for n in names])
+    totals = events.groupBy(*series).agg(*[F.sum(n).alias(f"__b_{n}") for n in names], *([F.max("__t").alias("__bt")] if newest else []))
     heads = heads.drop(*names).join(totals, series, "left")
     fade = F.exp(-(F.col("__at") - F.col("__bucket") * length) / F.lit(tau))
 
@@ -194,7 +198,9 @@ def interval_sums(
         value = F.when(F.col("__side") > 0, F.col(f"__p_{name}")).otherwise(total - F.col(f"__p_{name}"))
         return value * fade if name in decayed else value
 
-    answers = heads.groupBy(*keys, "__at").agg(*[F.sum(part(n)).alias(n) for n in names])
+    # The newest of the head, else that of the tail, whose bucket is the one before.
+    last = [F.max(F.when(F.col("__side") > 0, F.col("__pt")).when(F.col("__bt") >= F.col("__t"), F.col("__bt"))).alias(newest)] if newest else []
+    answers = heads.groupBy(*keys, "__at").agg(*[F.sum(part(n)).alias(n) for n in names], *last)
     tagged = left.withColumn("__at", micros(left_on))
     for source, key in zip(by, keys):
         tagged = tagged.withColumn(key, F.col(source))

@@ -39,7 +39,7 @@ def window_means(rows: DataFrame, news: DataFrame, hours: float = 6.0) -> DataFr
             *[F.when((F.col(f"{s}_related") > 0) | (F.col("macro_related") > 0), F.lit(s)) for s in _SCOPES],
         )
     )
-    # Scores come from whole texts; they are stored once and read by three steps.
+    # Scores come from whole texts; they are stored once and read by two steps.
     tagged = checkpointed(news.select("event_time", F.explode(member).alias("scope"), *NEWS_VALUES))
     tau = max(hours / 2.0, 1.0) * 3600.0
     sums = interval_sums(
@@ -47,19 +47,15 @@ def window_means(rows: DataFrame, news: DataFrame, hours: float = 6.0) -> DataFr
         {"n": F.lit(1.0)},
         {"w": F.lit(1.0), **{f"s_{v}": F.col(v) for v in NEWS_VALUES}},
         tau,
+        newest="newest",
     )
-    newest = asof_join(
-        points, tagged.select("scope", "event_time"), ["scope"], "as_of", "event_time", {}, tolerance_seconds=hours * 3600,
-        matched_time="newest",
-    )
-    both = sums.join(newest, ["symbol", "as_of", "scope"])
-    age = F.unix_micros(F.col("as_of").cast("timestamp")) - F.unix_micros(F.col("newest").cast("timestamp"))
+    age = F.unix_micros(F.col("as_of").cast("timestamp")) - F.col("newest")
     used = F.round("n")
     facts = F.struct(
         used.alias("n"), F.exp(-age / (tau * 1e6)).alias("recency"),
         *[F.when(used > 0, F.col(f"s_{v}") / F.col("w")).alias(v) for v in NEWS_VALUES],
     )
-    wide = both.groupBy("symbol", "as_of").agg(
+    wide = sums.groupBy("symbol", "as_of").agg(
         F.first(F.when(F.col("scope") == "all", facts), ignorenulls=True).alias("whole"),
         F.first(F.when((F.col("scope") != "all") & (used > 0), facts), ignorenulls=True).alias("own"),
     )
