@@ -1,6 +1,7 @@
 """Hand-made cases for quality, lifecycle, text and streaming rules."""
 
 import datetime as dt
+from decimal import Decimal
 
 import pytest
 from pyspark.sql import functions as F
@@ -71,8 +72,8 @@ def test_stated_counterfactual_leaves_alpha_unassigned(spark):
     )
     row = at.decompose(one).first()
     assert row["alpha_contribution"] is None and row["execution_contribution"] == 2.0 and row["fees"] == -1.0
-    parts = [row[c] or 0.0 for c in at.COMPONENTS]
-    assert abs(sum(parts) + row["unexplained_residual"] - 10.0) < 1e-12
+    # Amounts are decimals: the parts and the residual make up the total exactly.
+    assert sum((row[c] or 0 for c in at.COMPONENTS), Decimal(0)) + row["unexplained_residual"] == Decimal(10)
 
 
 def test_children_are_deleted_before_parents():
