@@ -76,6 +76,49 @@ def test_stated_counterfactual_leaves_alpha_unassigned(spark):
     assert sum((row[c] or 0 for c in at.COMPONENTS), Decimal(0)) + row["unexplained_residual"] == Decimal(10)
 
 
+def _exchanges(node, column):
+    own = node.nodeName() == "Exchange" and f"{column}#" in node.output().toString()
+    return own + sum(_exchanges(node.children().apply(i), column) for i in range(node.children().size()))
+
+
+def _ledger(spark):
+    make = spark.createDataFrame
+    trades = make([(1, None, None, 5.0), (1, None, "d9", 6.0), (1, None, None, 7.0), (None, 2, None, 8.0), (None, None, None, 9.0)], "order_id long, risk_id long, trace_id string, amount double")
+    orders = make([(1, 1, None, "d1"), (3, 3, 3, "d3")], "order_id long, risk_id long, target_id long, trace_id string")
+    risks = make([(1, 1, "d1", 0.1, 0.1), (2, 2, "d2", 0.2, 0.1)], "risk_id long, target_id long, trace_id string, requested_exposure double, approved_exposure double")
+    targets = make([(1, 0.1, "e1"), (2, 0.2, None)], "target_id long, requested_target_exposure double, ensemble_id string")
+    ensembles = make([("e1", "d1", 1, "calm"), ("e2", "d2", 1, "old"), ("e3", "d2", 2, "new")], "ensemble_id string, trace_id string, generated_at int, regime string")
+    fills = make([(1, "10", "0.5", None, "1"), (1, "10", "0.5", "2", None)], "order_id long, notional string, slippage string, funding string, funding_cash_flow string")
+    return trades, orders, risks, targets, ensembles, fills
+
+
+def test_lineage_of_trades_with_missing_and_own_keys(spark):
+    out = at.link_lineage(*_ledger(spark))
+    got = {r["amount"]: (r["order_id"], r["risk_id"], r["trace_id"], r["link_trace"], r["ensemble_id"], r["regime"], r["has_target"], r["fill_count"]) for r in out.collect()}
+    assert got == {
+        5.0: (1, 1, None, "d1", "e1", "calm", True, 2), 6.0: (1, 1, "d9", "d9", "e1", "calm", True, 2), 7.0: (1, 1, None, "d1", "e1", "calm", True, 2),
+        8.0: (None, 2, None, "d2", "e3", "new", True, None), 9.0: (None, None, None, None, None, "unknown", None, None),
+    }
+
+
+def test_trades_are_shuffled_once_to_meet_their_lineage(spark):
+    kept = {k: spark.conf.get(k) for k in ("spark.sql.adaptive.enabled", "spark.sql.autoBroadcastJoinThreshold")}
+    try:
+        spark.conf.set("spark.sql.adaptive.enabled", "false")
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+        linked = at.link_lineage(*_ledger(spark))
+        assert _exchanges(linked._jdf.queryExecution().executedPlan(), "amount") == 1
+        lineage = spark.createDataFrame([("e1", True, False)], "ensemble_id string, complete boolean, provider_complete boolean")
+        parts = linked.selectExpr("*", "cast(1 as decimal(20,8)) as fees", "cast(null as decimal(20,8)) as funding", "cast(amount as decimal(20,8)) as total_paper_pnl")
+        covered = at.coverage(parts, lineage)
+        assert _exchanges(covered._jdf.queryExecution().executedPlan(), "total_paper_pnl") == 0
+    finally:
+        for k, v in kept.items():
+            spark.conf.set(k, v)
+    got = {r["evidence"]: (r["covered_trade_count"], r["trade_count"], r["absolute_pnl_ratio"]) for r in covered.collect()}
+    assert got["model_signal_lineage"] == (3, 5, 18 / 35) and got["external_ai_status"] == (0, 5, 0.0) and got["execution_fill"] == (3, 5, 18 / 35)
+
+
 def test_children_are_deleted_before_parents():
     order = lc.delete_order({"trades": ["orders"], "orders": ["signals"], "signals": [], "fills": ["orders"]})
     assert order.index("trades") < order.index("orders") < order.index("signals") and order.index("fills") < order.index("orders")
