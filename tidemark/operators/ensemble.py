@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from tidemark.functions.numeric import clamp
 
@@ -26,12 +26,17 @@ def exclusion(at: Column) -> Column:
     )
 
 
+def _named(family: Column) -> Column:
+    """A family as a key that is never null."""
+    return F.coalesce(F.concat(F.lit("="), family.cast("string")), F.lit(""))
+
+
 def _pair_map(correlations: DataFrame) -> Column:
-    """Correlations of family pairs as one map, in both directions: as many entries as the registry has pairs of models."""
-    both = correlations.select("left_family", "right_family", clamp("correlation").alias("c")).where("c IS NOT NULL")
-    both = both.union(both.select("right_family", "left_family", "c"))
-    cells = both.groupBy(F.struct("left_family", "right_family").alias("k")).agg(F.max("c").alias("c"))
-    return cells.agg(F.map_from_entries(F.collect_list(F.struct("k", "c"))).alias("m")).scalar()
+    """Correlations of family pairs, in both directions, as a map of maps: as many entries as the registry has pairs of models."""
+    both = correlations.select(_named(F.col("left_family")).alias("a"), _named(F.col("right_family")).alias("b"), clamp("correlation").alias("c")).where("c IS NOT NULL")
+    cells = both.union(both.select("b", "a", "c")).groupBy("a", "b").agg(F.max("c").alias("c"))
+    rows = cells.groupBy("a").agg(F.map_from_entries(F.collect_list(F.struct("b", "c"))).alias("m"))
+    return rows.agg(F.map_from_entries(F.collect_list(F.struct("a", "m"))).alias("m")).scalar()
 
 
 def signal_weights(
@@ -41,8 +46,8 @@ def signal_weights(
 
     Signals are ranked by quality; a signal too correlated with an earlier-ranked
     one loses up to three quarters of its weight.  ``correlations`` holds one row
-    per unordered family pair.  A decision holds one signal per model, so its signals are
-    one short array, sorted and weighed in place: the signals are read and shuffled once.
+    per unordered family pair.  A decision holds one signal per model: its signals are ordered once, each
+    sees the families ahead of it, and columns nobody asks for are not carried along.
     """
     health = F.when(F.col("health_status") == "HEALTHY", 1.0).when(F.col("health_status") == "WATCH", 0.75).when(
         F.col("health_status") == "DEGRADED", 0.35
@@ -55,35 +60,27 @@ def signal_weights(
     quality = F.col("confidence") * (1.0 - F.col("uncertainty")) * F.col("liquidity_score")
     kept = [c for c in signals.columns if c != decision]
     # Excluded ones sort behind; the best quality comes first, nulls behind it.
-    staged = signals.withColumn("exclusion_reason", exclusion(F.col("decided_at")))
-    item = F.struct(
-        F.col("exclusion_reason").isNotNull().alias("out"), quality.isNull().alias("unknown"), (-quality).alias("q"), F.col("signal_id").alias("s"),
-        base.alias("base"), F.struct(*kept, "exclusion_reason").alias("row"),
-    )
-    packed = staged.groupBy(decision).agg(F.sort_array(F.collect_list(item)).alias("all"))
-    known = _pair_map(correlations) if correlations is not None else None
-
-    def alike(x: Column, e: Column) -> Column:
-        same = F.when(e["row"]["family"].eqNullSafe(x["row"]["family"]), F.lit(threshold)).otherwise(0.0)
-        if known is None:
-            return same
-        key = F.struct(x["row"]["family"].alias("left_family"), e["row"]["family"].alias("right_family"))
-        return F.greatest(same, F.coalesce(F.try_element_at(F.col("pairs"), key), F.lit(0.0)))
-
-    def weighed(x: Column, i: Column) -> Column:
-        top = F.aggregate(F.slice("all", F.lit(1), i), F.lit(0.0), lambda acc, e: F.greatest(acc, alike(x, e)))
-        penalty = F.when(~x["out"] & (i > 0) & (top >= threshold), F.least((top - threshold) / max(1.0 - threshold, 1e-9), F.lit(1.0)))
-        raw = F.when(~x["out"], F.greatest(x["base"] * (1.0 - 0.75 * F.coalesce(penalty, F.lit(0.0))), F.lit(0.0)))
-        return F.struct(x["row"].alias("row"), penalty.alias("correlation_penalty"), raw.alias("raw_weight"))
-
-    if known is not None:
-        packed = packed.withColumn("pairs", known)
-    done = packed.select(decision, F.transform("all", weighed).alias("done"))
-    total = F.aggregate("done", F.lit(0.0), lambda acc, x: acc + F.coalesce(x["raw_weight"], F.lit(0.0)))
-    flat = done.select(decision, total.alias("__total"), F.explode("done").alias("x"))
-    raw = F.col("x.raw_weight")
-    weight = F.when(raw.isNotNull() & (F.col("__total") != 0), raw / F.when(F.col("__total") != 0, F.col("__total"))).otherwise(0.0)
-    return flat.select(decision, "x.row.*", "x.correlation_penalty", "x.raw_weight", weight.alias("weight"))
+    order = ["__out", "__unknown", "__q", "signal_id", "__base", "__family"]
+    staged = signals.withColumn("exclusion_reason", exclusion(F.col("decided_at"))).withColumns({
+        "__out": F.col("exclusion_reason").isNotNull(), "__unknown": quality.isNull(), "__q": -quality, "__base": base, "__family": _named(F.col("family")),
+    })
+    mine = W.partitionBy(decision).orderBy(*order)
+    staged = staged.withColumn("__ahead", F.collect_list("__family").over(mine.rowsBetween(W.unboundedPreceding, -1)))
+    out, family = F.col("__out"), F.col("__family")
+    if correlations is not None:
+        staged = staged.withColumn("__pairs", F.try_element_at(_pair_map(correlations), family))
+
+    def alike(other: Column) -> Column:
+        same = F.when(other == family, F.lit(threshold)).otherwise(0.0)
+        return same if correlations is None else F.greatest(same, F.coalesce(F.try_element_at(F.col("__pairs"), other), F.lit(0.0)))
+
+    staged = staged.withColumn("__top", F.when(~out & (F.size("__ahead") > 0), F.array_max(F.transform("__ahead", alike))))
+    penalty = F.when(F.col("__top") >= threshold, F.least((F.col("__top") - threshold) / max(1.0 - threshold, 1e-9), F.lit(1.0)))
+    staged = staged.withColumn("correlation_penalty", penalty)
+    raw = F.when(~out, F.greatest(F.col("__base") * (1.0 - 0.75 * F.coalesce("correlation_penalty", F.lit(0.0))), F.lit(0.0)))
+    staged = staged.withColumn("raw_weight", raw).withColumn("__total", F.sum(F.coalesce("raw_weight", F.lit(0.0))).over(W.partitionBy(decision)))
+    weight = F.when(F.col("raw_weight").isNotNull() & (F.col("__total") != 0), F.col("raw_weight") / F.when(F.col("__total") != 0, F.col("__total"))).otherwise(0.0)
+    return staged.select(decision, *kept, "exclusion_reason", "correlation_penalty", "raw_weight", weight.alias("weight"))
 
 
 def combine(
