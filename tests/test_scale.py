@@ -29,3 +29,13 @@ def test_signals_are_weighed_without_gathering_whole_rows(spark):
     assert got["s3"][0] is None and got["s4"][0] == 0.0 and got["x"][0] is None
     plan = en.signal_weights(_signals(spark), None, threshold=0.3).select("decision_id", "weight")._jdf.queryExecution().optimizedPlan().toString()
     assert "Aggregate" not in plan and "collect_list(struct" not in plan
+
+
+def test_a_small_events_file_is_dealt_before_much_work_a_row(spark, tmp_path):
+    from tidemark.plans import bindings, scoring
+
+    one = [(i, T, i, "click", 1.0, '{"k": 3}') for i in range(40)]
+    spark.createDataFrame(one, "event_id long, ts timestamp_ntz, user_id long, event_type string, value double, props string").coalesce(1).write.parquet(f"{tmp_path}/events.parquet")
+    cores = spark.sparkContext.defaultParallelism
+    for rows in (scoring.feature_bank(spark, str(tmp_path)), bindings.observation_rows(spark, str(tmp_path))):
+        assert rows.rdd.getNumPartitions() >= cores and rows.count() == 40

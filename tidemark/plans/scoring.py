@@ -27,10 +27,12 @@ SPEC = {
 }
 
 
-def feature_bank(spark, sf) -> DataFrame:
+def feature_bank(spark, sf, dealt: bool = False) -> DataFrame:
+    """Features of an event, of rows dealt by event or, where a stored file has fewer splits than there are cores, evenly."""
     i = F.col("event_id")
     k = F.get_json_object("props", "$.k").cast("double")
-    return b.table(spark, sf, "events").select(
+    events = b.table(spark, sf, "events").select("event_id", "ts", "user_id", "event_type", "value", "props")
+    return (events.repartition("event_id") if dealt else b.dealt(events)).select(
         "event_id", F.col("event_type").alias("symbol"), "ts",
         ((k - 50.0) / 50.0).alias("trend_score"), ((F.col("value") - 50.0) / 50000.0).alias("candle_return_1m"),
         ((k - 50.0) / 5000.0).alias("candle_return_5m"), (F.col("value") / 20000.0).alias("volatility"),
@@ -73,8 +75,7 @@ _REG = [
 
 
 def regimes(spark, sf, spot: bool = True, dealt: bool = False) -> DataFrame:
-    bank = feature_bank(spark, sf)
-    return sc.with_columns(bank.repartition("event_id") if dealt else bank, sc.regime_scores(spot))
+    return sc.with_columns(feature_bank(spark, sf, dealt), sc.regime_scores(spot))
 
 
 @query("regime_scores_live", f"SELECT event_id, {sql_round(_REG)} FROM regimes", uses="bank regimes")
