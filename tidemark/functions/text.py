@@ -117,9 +117,15 @@ def blended_sentiment(first: Column, second: Column) -> Column:
     return clamp(first * 0.55 + second * 0.45)
 
 
-def structured_event(lowered: str, tokens: str, duplicate: Column) -> dict[str, Column]:
-    """Counts behind the rule-based event: first columns, then ``structured_event_scores``."""
-    low, toks = F.col(lowered), F.col(tokens)
+def event_words(tokens: Column) -> Column:
+    """The few tokens that are in any list of the rule-based event; the lists are then sought among these, not among all of the text."""
+    lists = [*lx.EVENT_TYPES.values(), lx.EVENT_POSITIVE, lx.EVENT_NEGATIVE, lx.EVENT_SEVERE]
+    return F.array_intersect(tokens, words(dict.fromkeys(w for some in lists for w in some)))
+
+
+def structured_event(lowered: str, tokens: str, duplicate: Column, listed: str) -> dict[str, Column]:
+    """Counts behind the rule-based event: first columns, then ``structured_event_scores``; ``listed`` holds the ``event_words`` of the tokens."""
+    low, toks = F.col(lowered), F.col(listed)
     hits = {t: token_hits(toks, w) for t, w in lx.EVENT_TYPES.items()}
     best = F.greatest(*hits.values())
     kind = F.coalesce(*[F.when((best > 0) & (h == best), F.lit(t)) for t, h in hits.items()], F.lit("other"))
@@ -131,7 +137,7 @@ def structured_event(lowered: str, tokens: str, duplicate: Column) -> dict[str,
         "severe": token_hits(toks, lx.EVENT_SEVERE),
         "event_hits": best,
         "event_type": kind,
-        "word_count": F.size(toks),
+        "word_count": F.size(F.col(tokens)),
         "is_duplicate": duplicate,
         "asset_names": named,
     }

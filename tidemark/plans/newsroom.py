@@ -128,7 +128,8 @@ def token_counts(spark, sf):
 def structured_articles(spark, sf) -> DataFrame:
     dup = F.col("article_id") % 9 == 0
     df = _lowered(b.news_rows(spark, sf), 2)
-    df = df.select("*", *[e.alias(n) for n, e in tx.structured_event("low", "toks", dup).items()])
+    df = df.withColumn("listed", tx.event_words(F.col("toks")))
+    df = df.select("*", *[e.alias(n) for n, e in tx.structured_event("low", "toks", dup, "listed").items()]).drop("listed")
     df = df.select("*", *[e.alias(n) for n, e in tx.structured_event_scores().items()])
     url = F.when(F.col("article_id") % 2 == 0, F.concat(F.lit("https://n/"), F.col("article_id").cast("string")))
     return df.withColumn(
