@@ -14,9 +14,8 @@ from tidemark.operators.ranks import value_ranks
 
 def token_table(docs: DataFrame, key: str, text: str) -> DataFrame:
     """Occurrences of each token per document (whole text)."""
-    return (
-        docs.select(key, F.explode(token_list(F.col(text), 2)).alias("token")).groupBy(key, "token").agg(F.count(F.lit(1)).alias("n"))
-    )
+    dealt = docs.select(key, text).repartition(key)  # whole texts are fewer bytes than their tokens
+    return dealt.select(key, F.explode(token_list(F.col(text), 2)).alias("token")).groupBy(key, "token").agg(F.count(F.lit(1)).alias("n"))
 
 
 class TextStudent:
@@ -63,14 +62,20 @@ class TextStudent:
         facts = self.facts().withColumn(
             "denominator", F.greatest(F.lit(1), F.col("token_total") + F.col("vocabulary_size")).cast("double")
         ).withColumn("prior", F.log((F.col("rows") + 1) / (F.col("task_rows") + F.col("labels"))))
-        logs = self.token_counts.select("task", "label", "token", F.log(F.col("n") + 1.0).alias("gain"))
-        doc_tokens = token_table(docs, key, text)
-        seen = doc_tokens.join(logs, "token").groupBy(key, "task", "label").agg(F.sum(F.col("n") * F.col("gain")).alias("gain"))
-        counted = doc_tokens.groupBy(key).agg(F.sum("n").alias("size"))
+        # One column of gains per (task, label): a token of a document is one row throughout.
+        cells = [(r["task"], r["label"]) for r in self.label_counts.select("task", "label").collect()]
+        logs = self.token_counts.groupBy("token").agg(
+            *[F.max(F.when((F.col("task") == t) & (F.col("label") == v), F.log(F.col("n") + 1.0))).alias(f"__g{i}") for i, (t, v) in enumerate(cells)]
+        )
+        sums = [F.sum(F.col("n") * F.col(f"__g{i}")).alias(f"__g{i}") for i in range(len(cells))]
+        gains = F.array(*[F.struct(F.lit(t).alias("task"), F.lit(v).alias("label"), F.col(f"__g{i}").alias("gain")) for i, (t, v) in enumerate(cells)])
+        seen = token_table(docs, key, text).join(logs, "token").groupBy(key).agg(*sums).select(key, F.inline(gains)) if cells else None
+        counted = docs.groupBy(key).agg(F.sum(F.when(F.col(text).isNotNull(), F.size(token_list(F.col(text), 2)))).alias("size"))
         sizes = docs.select(key).join(counted, key, "left").select(key, F.coalesce("size", F.lit(0)).alias("size"), F.lit(0).alias("__one"))
         # One row per (task, label): a handful.
         grid = sizes.join(F.broadcast(facts.withColumn("__one", F.lit(0))), "__one").drop("__one")
-        scored = grid.join(seen, [key, "task", "label"], "left").withColumn(
+        grid = grid.join(seen, [key, "task", "label"], "left") if cells else grid.withColumn("gain", F.lit(None).cast("double"))
+        scored = grid.withColumn(
             "score", F.col("prior") + F.coalesce("gain", F.lit(0.0)) - F.col("size") * F.log("denominator")
         )
         w = W.partitionBy(key, "task")
