@@ -3,7 +3,7 @@
 Signals and candles are one stream, keyed by symbol and by the bucket of ``grace`` width in
 which a signal falls due.  A signal lives in one bucket; a candle goes to its own bucket
 and to the one before, whose last signals may still take it.  A bucket keeps its signals
-and, per candle, its closing time and price.  An event-time timer at the end of the bucket plus the
+and, per candle, its closing time and price, as lists that grow by whole batches: a call per candle would cost more than the candle.  An event-time timer at the end of the bucket plus the
 grace period is the moment from which no candle can come any more (later ones are behind the watermark):
 it emits one row per signal that met a candle and clears the state.  A symbol's stream is so
 spread over as many keys as it has open buckets, and none of them lives longer than horizon,
@@ -34,7 +34,7 @@ class _FirstCandle(StatefulProcessor):
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
         self.signals = handle.getListState("signals", f"signal_id {self.kind}, generated long, due long")
-        self.candles = handle.getMapState("candles", "close_time long", "close double")
+        self.candles = handle.getListState("candles", "close_time long, close double")
         self.timer = handle.getValueState("timer", "at long")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
@@ -42,11 +42,10 @@ class _FirstCandle(StatefulProcessor):
             given = part[part["is_signal"]]
             if len(given):
                 self.signals.appendList(list(zip(given["signal_id"].tolist(), given["generated"].tolist(), given["due"].tolist())))
-            # Of candles that close together the least counts.
-            for at, close in part[~part["is_signal"]].groupby("closed")["close"].min().items():
-                held = self.candles.getValue((int(at),)) if self.candles.containsKey((int(at),)) else None
-                if held is None or close < held[0]:
-                    self.candles.updateValue((int(at),), (float(close),))
+            # Of candles that close together the least counts; what comes later with the same time is compared in the end.
+            least = part[~part["is_signal"]].groupby("closed")["close"].min()
+            if len(least):
+                self.candles.appendList(list(zip(least.index.tolist(), least.tolist())))
         if not self.timer.exists():
             at = ((key[1] + 2) * self.grace) // 1000 + 1
             self.timer.update((at,))
@@ -54,7 +53,11 @@ class _FirstCandle(StatefulProcessor):
         return iter([])
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        candles = sorted((k[0], v[0]) for k, v in self.candles.iterator())
+        seen: dict[int, float] = {}
+        for at, close in self.candles.get():
+            if at not in seen or close < seen[at]:
+                seen[at] = close
+        candles = sorted(seen.items())
         times = pd.Series([t for t, _ in candles], dtype="int64")
         found = []
         for signal_id, generated, due in self.signals.get():
