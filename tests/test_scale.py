@@ -119,3 +119,15 @@ def test_a_batch_of_candles_is_one_call_of_the_state():
     assert handle.held["candles"].calls == 2
     out = pd.concat(worker.handleExpiredTimer(("a", 0), None, None))
     assert out[["signal_id", "close"]].values.tolist() == [[7, 3.0]] and not handle.held["candles"]
+
+
+def test_a_batch_of_klines_is_several_files(spark, tmp_path, monkeypatch):
+    from tidemark.plans import streams
+
+    monkeypatch.setattr(streams, "scratch_path", lambda _, name: f"{tmp_path}/{name}")
+    one = [(i, T + dt.timedelta(seconds=i), i, "click", float(i), '{"k": 3}') for i in range(120)]
+    spark.createDataFrame(one, "event_id long, ts timestamp_ntz, user_id long, event_type string, value double, props string").coalesce(1).write.parquet(f"{tmp_path}/events.parquet")
+    got = {(r["open_time"].minute, r["close"], r["updates"]) for r in streams.stream_kline_upsert(spark, str(tmp_path)).collect()}
+    # The last closed message of a minute counts, the one with an even number.
+    assert got == {(0, 58.0, 60), (1, 118.0, 60)}
+    assert len(list((tmp_path / "kline-parts").glob("part-*"))) > 3
