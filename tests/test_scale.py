@@ -131,3 +131,16 @@ def test_a_batch_of_klines_is_several_files(spark, tmp_path, monkeypatch):
     # The last closed message of a minute counts, the one with an even number.
     assert got == {(0, 58.0, 60), (1, 118.0, 60)}
     assert len(list((tmp_path / "kline-parts").glob("part-*"))) > 3
+
+
+def test_two_scorers_share_a_worker_and_its_texts(spark):
+    import pandas as pd
+
+    from tidemark.functions import scorer
+
+    load = lambda: lambda texts: pd.DataFrame({"n": texts.str.len().astype("float64")})
+    one = scorer.text_scorer("scale-one", load, {"n": "double"})
+    scorer.register(spark, "scale_two", load, {"n": "double"})
+    out = spark.createDataFrame([("abc",), (None,)], "text string").select(one("text").alias("a"), F.expr("scale_two(text)").alias("b"))
+    assert out._jdf.queryExecution().optimizedPlan().toString().count("ArrowEvalPython") == 1
+    assert [(r["a"]["n"], r["b"]["n"]) for r in out.collect()] == [(3.0, 3.0), (None, None)]

@@ -7,7 +7,7 @@ stays a column expression.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator, Mapping
+from collections.abc import Callable, Mapping
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
@@ -33,25 +33,23 @@ def _model(name: str, load: Loader) -> Model:
 def text_scorer(name: str, load: Loader, scores: Mapping[str, str]):
     """A batch function from a text column to a struct of ``scores`` (name to type); null texts give null scores.
 
-    ``name`` tells models apart in a worker: another model or version needs another name.
+    ``name`` tells models apart in a worker: another model or version needs another name.  Scorers of the
+    same rows share a worker and its batch of texts (functions over iterators would each need their own).
     """
     schema = ", ".join(f"{n} {t}" for n, t in scores.items())
 
     @F.pandas_udf(f"struct<{', '.join(f'{n}: {t}' for n, t in scores.items())}>")
-    def scored(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        model = None
-        for texts in batches:
-            out = pd.DataFrame({n: pd.Series([None] * len(texts), dtype="object") for n in scores})
-            known = texts.notna()
-            if known.any():
-                model = model or _model(name, load)
-                made = model(texts[known])
-                missing = [n for n in scores if n not in made]
-                if missing or len(made) != int(known.sum()):
-                    raise ValueError(f"scorer {name} gave {len(made)} rows for {int(known.sum())} texts, without {missing}: {schema} is needed")
-                for n in scores:
-                    out.loc[known, n] = list(made[n])
-            yield out.infer_objects()
+    def scored(texts: pd.Series) -> pd.DataFrame:
+        out = pd.DataFrame({n: pd.Series([None] * len(texts), dtype="object") for n in scores})
+        known = texts.notna()
+        if known.any():
+            made = _model(name, load)(texts[known])
+            missing = [n for n in scores if n not in made]
+            if missing or len(made) != int(known.sum()):
+                raise ValueError(f"scorer {name} gave {len(made)} rows for {int(known.sum())} texts, without {missing}: {schema} is needed")
+            for n in scores:
+                out.loc[known, n] = list(made[n])
+        return out.infer_objects()
 
     return scored
 
