@@ -1,5 +1,6 @@
 """Folds and fits against plain Python and numpy."""
 
+import bisect
 import datetime as dt
 import random
 
@@ -172,3 +173,87 @@ def test_components_of_a_long_chain(spark):
     got = {r["node"]: r["label"] for r in ind.connected_groups(nodes, edges).collect()}
     assert {got[f"n{i:02d}"] for i in range(31)} == {"n00"}
     assert all(got[f"n{i:02d}"] == f"n{i:02d}" for i in range(31, 40))
+
+
+def sparse_times(n=3000, seed=5):
+    """Minutes with ties, closed nights and a long gap."""
+    rng, at, out = random.Random(seed), 0, []
+    for i in range(n):
+        at += rng.choice([0, 0, 1, 2, 7]) + (600 if rng.random() < 0.02 else 0) + (20_000 if i == n // 2 else 0)
+        out.append(at)
+    return out
+
+
+def plain_duration_walk(times, train, purge, validation, embargo, test, step):
+    """The walk by durations (in minutes) over sorted times, as positions."""
+    n = len(times)
+
+    def skip(start, window):
+        if not window or start >= n:
+            return min(start, n)
+        return max(start, bisect.bisect_left(times, times[start] + window))
+
+    def end(p):
+        return p if p <= 0 or p >= n else bisect.bisect_right(times, times[p - 1])
+
+    out, train_end = [], skip(0, train)
+    while 0 < train_end < n:
+        vs = end(skip(train_end, purge))
+        ve = end(skip(vs, validation))
+        ts = end(skip(ve, embargo))
+        if vs >= n or ts >= n:
+            break
+        out.append((train_end, vs, ve, ts, end(skip(ts, test)), times[ts]))
+        train_end = end(skip(train_end, step))
+    return out
+
+
+@pytest.mark.parametrize("small_pages", [False, True])
+def test_a_walk_of_many_folds_is_planned_in_few_jobs(spark, monkeypatch, small_pages):
+    if small_pages:
+        monkeypatch.setattr(folds.Timeline, "LEAST", 64)
+        monkeypatch.setattr(folds.Timeline, "ROUND", 8)
+    times = sparse_times()
+    start = dt.datetime(2024, 1, 1)
+    df = spark.createDataFrame([(start + dt.timedelta(minutes=m),) for m in times], "ts timestamp_ntz")
+    minutes = lambda m: dt.timedelta(minutes=m)
+    context = spark.sparkContext
+    context.setJobGroup("walk", "walk")
+    try:
+        plan = folds.walk_forward_folds(
+            df, "ts", train=minutes(2000), test=minutes(400), validation=minutes(150), step=minutes(400), purge=minutes(30), embargo=minutes(20)
+        )
+        jobs = len(context.statusTracker().getJobIdsForGroup("walk"))
+    finally:
+        context.setLocalProperty("spark.jobGroup.id", None)
+    want = plain_duration_walk(times, 2000, 30, 150, 20, 400, 400)
+    zero = int(start.replace(tzinfo=dt.timezone.utc).timestamp()) * 1_000_000
+    got = [(f.train_end, f.validation_start, f.validation_end, f.test_start, f.test_end, (f.test_time - zero) // 60_000_000) for f in plan]
+    assert len(want) > 50 and got == want
+    assert small_pages or jobs < 40
+
+
+def test_candidates_are_scored_by_the_folds_whose_test_covers_a_row(spark):
+    rng = np.random.default_rng(4)
+    n = 300
+    x, y = rng.normal(0, 1, n), rng.normal(0, 1, n)
+    rows = spark.createDataFrame(
+        [(i, float(x[i]) if i % 50 else None, float(y[i]), dt.datetime(2024, 1, 1) + dt.timedelta(minutes=i + 5) if i % 7 else None) for i in range(n)],
+        "pos long, x double, target double, label_end timestamp_ntz",
+    )
+    at = lambda p: 1_704_067_200_000_000 + p * 60_000_000
+    plan = [folds.Fold(k, max(0, 20 * k - 40), 100 + 20 * k, 100 + 20 * k, 100 + 20 * k, 102 + 20 * k, 152 + 20 * k, at(102 + 20 * k)) for k in range(7)]
+    grid, _ = fit.candidate_grid({"a": ["x"]}, ["x"], alphas=[1.0])
+    scored = fit.score_candidates(rows, plan, grid, "target", "label_end")
+    assert "lambda" not in scored._jdf.queryExecution().toString()
+    got = {(r["fold"], r["pos"]): r["prediction"] for r in scored.collect()}
+    filled = np.where(np.arange(n) % 50 == 0, 0.0, x)
+    want = {}
+    for f in plan:
+        train = [p for p in range(f.train_start, f.train_end) if p % 7 == 0 or at(p + 5) <= f.test_time]
+        mean, scale = filled[train].mean(), filled[train].std()
+        z = (filled[train] - mean) / scale
+        slope = (z * (y[train] - y[train].mean())).sum() / (len(train) + 1.0)
+        for p in range(f.test_start, min(n, f.test_end)):
+            want[f.number, p] = y[train].mean() + slope * (filled[p] - mean) / scale
+    assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-9 for k in want)

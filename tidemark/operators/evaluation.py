@@ -80,7 +80,6 @@ def segments(obs: DataFrame, dimensions: Mapping[str, Column]) -> DataFrame:
 def _prepared(obs: DataFrame, keys: Sequence[str], seq: str) -> DataFrame:
     position = F.coalesce(F.col("position"), F.signum("prediction")).cast("double")
     cost = F.greatest(F.coalesce(F.col("transaction_cost"), F.lit(0.0)), F.lit(0.0))
-    gross = position * F.col("actual_return")
     return obs.select(
         *keys,
         F.col("timestamp").alias("ts"),
@@ -89,12 +88,15 @@ def _prepared(obs: DataFrame, keys: Sequence[str], seq: str) -> DataFrame:
         F.col("actual_return").cast("double").alias("actual"),
         position.alias("position"),
         cost.alias("cost"),
-        gross.alias("gross"),
-        (gross - cost).alias("net"),
         F.col("holding_seconds").cast("double").alias("holding"),
     )
 
 
+def _returns(rows: DataFrame) -> DataFrame:
+    gross = F.col("position") * F.col("actual")
+    return rows.withColumns({"gross": gross, "net": gross - F.col("cost")})
+
+
 def _plain_metrics(rows: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Metrics that need no order: one aggregate with map-side combine."""
     active = F.col("position") != 0
@@ -229,24 +231,24 @@ def evaluate(
     facts, and quantiles and ranks come from value counts.
     """
     keys = list(keys)
-    blocks = range_blocks(_prepared(obs, keys, seq), keys, ["ts", "seq"])
+    blocks = _returns(range_blocks(_prepared(obs, keys, seq), keys, ["ts", "seq"]))
     rows = _block_facts(blocks, keys)
     series, gaps = _series_metrics(rows, keys)
-    measures = blocks.select(
-        *keys,
-        F.explode(
-            F.array(*[F.struct(F.lit(m).alias("measure"), F.col(m).alias("v")) for m in ("net", "prediction", "actual")])
-        ).alias("m"),
-    ).select(*keys, F.col("m.measure").alias("measure"), F.col("m.v").alias("v"))
+    # A row's measures are told apart by a number and looked up, which makes narrow rows without an array of them.
+    number = {m: i for i, m in enumerate(("net", "prediction", "actual", "gap"))}
+    own = ["net", "prediction", "actual"]
+    measures = blocks.select(*keys, *own, F.explode(F.array(*[F.lit(number[m]) for m in own])).alias("measure")).select(
+        *keys, "measure", F.coalesce(*[F.when(F.col("measure") == number[m], F.col(m)) for m in own]).alias("v")
+    )
     needs_gap = annualization is None and horizon_seconds is None
     if needs_gap:
         measures = measures.unionByName(
-            gaps.select(*keys, F.lit("gap").alias("measure"), F.col("gap").cast("double").alias("v"))
+            gaps.select(*keys, F.lit(number["gap"]).alias("measure"), F.col("gap").cast("double").alias("v"))
         )
     ranked = value_ranks(measures, [*keys, "measure"], "v")
-    var = quantiles(ranked.where(F.col("measure") == "net"), keys, "v", {"value_at_risk_95": 0.05})
+    var = quantiles(ranked.where(F.col("measure") == number["net"]), keys, "v", {"value_at_risk_95": 0.05})
     tail = (
-        ranked.where(F.col("measure") == "net")
+        ranked.where(F.col("measure") == number["net"])
         .join(var, keys)
         .where(F.col("v") <= F.col("value_at_risk_95"))
         .groupBy(*keys)
@@ -254,7 +256,7 @@ def evaluate(
     )
 
     def ranks_of(measure: str) -> DataFrame:
-        return ranked.where(F.col("measure") == measure).select(
+        return ranked.where(F.col("measure") == number[measure]).select(
             *keys, F.col("v").alias(measure), average_rank().alias(f"rank_{measure}")
         )
 
@@ -278,7 +280,7 @@ def evaluate(
         rank_ic, keys, "left"
     )
     if needs_gap:
-        median = quantiles(ranked.where(F.col("measure") == "gap"), keys, "v", {"__median": 0.5})
+        median = quantiles(ranked.where(F.col("measure") == number["gap"]), keys, "v", {"__median": 0.5})
         out = out.join(median, keys, "left").withColumn(
             "annualization_factor",
             F.coalesce(F.greatest(F.lit(1.0), F.lit(YEAR_SECONDS * 1e6) / F.col("__median")), F.lit(1.0)),

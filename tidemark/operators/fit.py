@@ -4,10 +4,12 @@ from __future__ import annotations
 
 import hashlib
 import json
+from bisect import bisect_left
 from collections.abc import Iterable, Mapping, Sequence
 from dataclasses import dataclass, field
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, functions as F
@@ -214,15 +216,24 @@ def _entry_folds(rows: DataFrame, folds: list[Fold], label_end: str) -> DataFram
     Training starts once both the fold's edge and its test time have passed the
     row, and ends when a rolling start passes it; all are monotone in the fold.
     """
-    p, late = F.col("pos"), micros(label_end)
-    numbers = F.array(*[F.struct(F.lit(f.number).alias("k"), F.lit(f.train_start).alias("a"), F.lit(f.train_end).alias("b"),
-                                 F.lit(f.test_time).alias("t")) for f in folds])
-    inside = F.filter(
-        numbers,
-        lambda f: (p >= f["a"]) & (p < f["b"]) & (late.isNull() | (late <= f["t"])),
-    )
-    return rows.withColumn("__in", inside).where(F.size("__in") > 0).select(
-        "*", F.element_at("__in", 1)["k"].alias("first_fold"), F.element_at("__in", -1)["k"].alias("last_fold")
+    starts, ends, times = (np.array([getattr(f, n) for f in folds], dtype=np.int64) for n in ("train_start", "train_end", "test_time"))
+    numbers = np.array([f.number for f in folds], dtype=np.int64)
+
+    @F.pandas_udf("first_fold long, last_fold long")
+    def span(pos: pd.Series, late: pd.Series) -> pd.DataFrame:
+        p = pos.to_numpy()
+        first = np.maximum(np.searchsorted(ends, p, "right"), np.searchsorted(times, late.to_numpy(), "left"))
+        last = np.searchsorted(starts, p, "right") - 1
+        trains = first <= last
+        first, last = (pd.Series(numbers[np.where(trains, at, 0)]).where(trains) for at in (first, last))
+        return pd.DataFrame({"first_fold": first.astype("Int64"), "last_fold": last.astype("Int64")})
+
+    if not folds:
+        return rows.withColumns({"first_fold": F.lit(0), "last_fold": F.lit(0)}).where(F.lit(False))
+    # Said to be non-deterministic, so that the filter does not have it evaluated again.
+    late = F.coalesce(micros(label_end), F.lit(-(2**63)).cast("long"))
+    return rows.withColumn("__in", span.asNondeterministic()("pos", late)).where(F.col("__in.first_fold").isNotNull()).select(
+        "*", F.col("__in.first_fold").alias("first_fold"), F.col("__in.last_fold").alias("last_fold")
     ).drop("__in")
 
 
@@ -263,32 +274,33 @@ def score_candidates(
                 model = fit_huber(train, [names[s] for s in spots], target, cand.alpha)
             else:
                 model = solve_ridge(m, m, [names[s] for s in spots], cand.alpha)
-            weights = [0.0] * len(features)
+            slopes = [0.0] * len(features)
             for s, w in zip(spots, model.coefficients):
-                weights[s] = w
-            models.append((cand, f, model.intercept, weights))
-    p = F.col("pos")
-    table = F.array(
-        *[
-            F.struct(
-                F.lit(c.id).alias("candidate_id"), F.lit(c.family).alias("family"), F.lit(f.number).alias("fold"),
-                F.lit(f.test_start).alias("a"), F.lit(f.test_end).alias("b"), F.lit(b0).alias("intercept"),
-                F.array(*[F.lit(w) for w in ws]).alias("w"),
-            )
+                slopes[s] = w
+            models.append((cand, f, model.intercept, slopes))
+    # The edges of the test ranges cut the positions into segments; a segment's models are rows of a small table.
+    edges = sorted({e for f in ready for e in (f.test_start, f.test_end)})
+    weights = [f"__w_{i}" for i in range(len(features))]
+    spark = rows.sparkSession
+    table = spark.createDataFrame(
+        [
+            (s + 1, c.id, c.family, f.number, b0, *ws)
             for c, f, b0, ws in models
-        ]
-    )
-    vector = F.array(*[F.col(n) for n in names])
-    hits = F.filter(table, lambda m: (p >= m["a"]) & (p < m["b"]))
-    out = filled.withColumn("__m", F.explode(hits)).withColumn("__x", vector)
-    dot = F.aggregate(F.zip_with("__x", F.col("__m.w"), lambda x, w: x * w), F.lit(0.0), lambda a, v: a + v)
-    return out.select(
-        *rows.columns,
-        F.col("__m.candidate_id").alias("candidate_id"),
-        F.col("__m.family").alias("candidate_family"),
-        F.col("__m.fold").alias("fold"),
-        (F.col("__m.intercept") + dot).alias("prediction"),
+            for s in range(bisect_left(edges, f.test_start), bisect_left(edges, f.test_end))
+        ],
+        ", ".join(["__segment long, candidate_id string, candidate_family string, fold int, __b double", *[f"{w} double" for w in weights]]),
     )
+    bounds = np.array(edges, dtype=np.int64)
+
+    @F.pandas_udf("long")
+    def segment(pos: pd.Series) -> pd.Series:
+        return pd.Series(np.searchsorted(bounds, pos.to_numpy(), "right"))
+
+    out = filled.withColumn("__segment", segment.asNondeterministic()("pos")).join(F.broadcast(table), "__segment")
+    dot = F.lit(0.0)
+    for name, weight in zip(names, weights):
+        dot = dot + F.col(name) * F.col(weight)
+    return out.select(*rows.columns, "candidate_id", "candidate_family", "fold", (F.col("__b") + dot).alias("prediction"))
 
 
 def rank_candidates(metrics: DataFrame) -> DataFrame:

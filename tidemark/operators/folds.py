@@ -1,9 +1,8 @@
 """Chronological splits, purged folds and walk-forward folds.
 
-Only fold boundaries reach the driver.  They are found by asking the table of
-timestamp counts for a handful of positions or times, all open questions in one
-aggregate; rows then take their fold roles from literal boundaries in a map-only
-pass.
+Only fold boundaries and a bounded part of the timestamp counts reach the driver: the
+edges of their pages and the pages a boundary falls into (``Timeline``).  Rows then take
+their fold roles from literal boundaries in a map-only pass.
 """
 
 from __future__ import annotations
@@ -13,6 +12,7 @@ import math
 from collections.abc import Callable
 from dataclasses import dataclass
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, functions as F
 
 from tidemark.operators.ranks import value_ranks
@@ -22,53 +22,120 @@ from tidemark.session import checkpointed
 Window = int | dt.timedelta
 
 
+class _Enough(Exception):
+    """As many pages are asked for as one round reads."""
+
+
 class Timeline:
-    """Answers position and time questions about a column of timestamps."""
+    """Answers position and time questions about a column of timestamps.
+
+    The timestamp counts are cut into pages of neighbouring positions, of which the driver
+    holds the edges (at most ``PAGES`` of them).  A question that the edges leave open is
+    guessed between them, so that a walk goes on, and its page is read; a round reads up to
+    ``ROUND`` pages, in the order in which they were met.  The result of a walk is taken
+    once nothing in it was guessed.
+    """
+
+    PAGES = 16384
+    LEAST = 1024
+    ROUND = 256
 
     def __init__(self, df: DataFrame, time: str) -> None:
         counts = df.select(micros(time).alias("t")).withColumn("__all", F.lit(0))
         self._cohorts = checkpointed(value_ranks(counts, ["__all"], "t").select("t", "upto"))
         row = self._cohorts.agg(F.max("upto").alias("n")).first()
         self.count = int(row["n"] or 0)
-        self._known: dict[tuple[str, int], int | None] = {}
-        self._asked: set[tuple[str, int]] = set()
-
-    def _get(self, kind: str, at: int, guess: int) -> int:
+        width = max(self.LEAST, math.ceil(self.count / self.PAGES))
+        self._page = F.floor((F.col("upto") - 1) / F.lit(width)).cast("long")
+        edges = self._cohorts.groupBy(self._page.alias("page")).agg(
+            F.min("t").alias("t0"), F.max("t").alias("t1"), F.min("upto").alias("u0"), F.max("upto").alias("u1")
+        ).collect()
+        table = np.array(sorted(tuple(e) for e in edges), dtype=np.int64).reshape(-1, 5)
+        self._ids, self._t0, self._t1, self._u0, self._u1 = table.T
+        self._pages: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+        self._known: dict[tuple[str, int], int] = {}
+        self._asked: dict[int, None] = {}
+
+    def _get(self, kind: str, at: int) -> int:
         if (kind, at) in self._known:
-            found = self._known[kind, at]
-            return self.count if found is None else found
-        self._asked.add((kind, at))
-        return guess
+            return self._known[kind, at]
+        found, page, guess = getattr(self, f"_{kind}")(at)
+        if found is None:
+            if page not in self._asked and len(self._asked) == self.ROUND:
+                raise _Enough
+            self._asked[page] = None
+            return guess
+        self._known[kind, at] = int(found)
+        return int(found)
+
+    def _end(self, position: int):
+        """The least end of a cohort at or behind ``position``."""
+        i = int(np.searchsorted(self._u1, position, "left"))
+        if self._u0[i] >= position:
+            return self._u0[i], None, None
+        if self._ids[i] in self._pages:
+            upto = self._pages[self._ids[i]][1]
+            return upto[np.searchsorted(upto, position, "left")], None, None
+        return None, int(self._ids[i]), position
+
+    def _time(self, position: int):
+        """The timestamp of the row at ``position``."""
+        i = int(np.searchsorted(self._u1, position, "right"))
+        if i == len(self._u1):
+            return self.count, None, None
+        if self._u0[i] > position:
+            return self._t0[i], None, None
+        if self._ids[i] in self._pages:
+            t, upto = self._pages[self._ids[i]]
+            return t[np.searchsorted(upto, position, "right")], None, None
+        share = (position - int(self._u0[i])) / max(1, int(self._u1[i] - self._u0[i]))
+        return None, int(self._ids[i]), int(self._t0[i]) + int(share * int(self._t1[i] - self._t0[i]))
+
+    def _first(self, when: int):
+        """How many rows are earlier than ``when``."""
+        i = int(np.searchsorted(self._t0, when, "left")) - 1
+        if i < 0:
+            return 0, None, None
+        if self._t1[i] < when:
+            return self._u1[i], None, None
+        if self._ids[i] in self._pages:
+            t, upto = self._pages[self._ids[i]]
+            return upto[np.searchsorted(t, when, "left") - 1], None, None
+        share = (when - int(self._t0[i])) / max(1, int(self._t1[i] - self._t0[i]))
+        return None, int(self._ids[i]), int(self._u0[i]) + int(share * int(self._u1[i] - self._u0[i]))
 
     def cohort_end(self, position: int) -> int:
         """Move a boundary behind the rows that share its last row's timestamp."""
         if position <= 0 or position >= self.count:
             return position
-        return self._get("end", position, position)
+        return self._get("end", position)
 
     def time_at(self, position: int) -> int:
-        return self._get("time", position, 0)
+        return self._get("time", position)
 
     def first_not_before(self, when: int) -> int:
-        return self._get("first", when, 0)
+        return self._get("first", when)
 
     def settle(self, compute: Callable[[], object]):
-        """Run ``compute`` until every question it asks has been answered."""
+        """Run ``compute`` until none of its questions is open."""
         while True:
             self._asked.clear()
-            result = compute()
+            result = None
+            try:
+                result = compute()
+            except _Enough:
+                pass
             if not self._asked:
                 return result
-            asked = sorted(self._asked)
-            t, upto = F.col("t"), F.col("upto")
-            ask = {
-                "end": lambda p: F.min(F.when(upto >= p, upto)),
-                "time": lambda p: F.min(F.when(upto > p, t)),
-                "first": lambda w: F.coalesce(F.max(F.when(t < w, upto)), F.lit(0)),
-            }
-            row = self._cohorts.agg(*[ask[kind](at).alias(f"q{i}") for i, (kind, at) in enumerate(asked)]).first()
-            for i, question in enumerate(asked):
-                self._known[question] = row[f"q{i}"]
+            self._read(list(self._asked))
+
+    def _read(self, pages: list[int]) -> None:
+        found = self._cohorts.where(self._page.isin(pages)).select(self._page.alias("page"), "t", "upto").toArrow()
+        page, t, upto = (found.column(c).to_numpy() for c in ("page", "t", "upto"))
+        order = np.argsort(upto)
+        page, t, upto = page[order], t[order], upto[order]
+        # Answers are kept, so the pages of earlier rounds are not needed again.
+        self._pages = {p: (t[page == p], upto[page == p]) for p in pages}
 
     def skip(self, start: int, window: Window) -> int:
         """First position after a row-count or duration window that begins at ``start``."""

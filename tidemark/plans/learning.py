@@ -10,6 +10,7 @@ from tidemark.operators import evaluation as ev
 from tidemark.operators import fit, folds, independence as ind
 from tidemark.plans import bindings as b
 from tidemark.plans.registry import common, query, rnd, sql_round
+from tidemark.session import checkpointed
 
 
 def research_rows(spark: SparkSession, sf: str) -> DataFrame:
@@ -216,7 +217,10 @@ def _candidate_scores(spark, sf) -> DataFrame:
     usable = fit.usable_features(rows, _FEATURES)
     grid, _ = fit.candidate_grid(_FAMILIES, usable)
     plan = folds.walk_forward_folds(rows, "timestamp", **_WALK)
-    placed = folds.with_positions(rows, "timestamp", "seq")
+    # Numbered once: the moments and every pass over the scores start from these rows.  A row becomes as many as there
+    # are candidates, so they are dealt over all tasks, in runs of neighbours.
+    runs = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    placed = checkpointed(folds.with_positions(rows, "timestamp", "seq").repartition(runs, F.floor(F.col("pos") / 8192)))
     return fit.score_candidates(placed, plan, grid, "target", "label_available_time")
 
 
