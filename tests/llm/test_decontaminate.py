@@ -1,8 +1,11 @@
 import hashlib
+import random
 import re
+import tracemalloc
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
@@ -93,3 +96,54 @@ def test_query_digests_items(spark):
     rows = queries.op10_positional_decontamination(spark, SF).collect()
     empty = hashlib.sha256(b"").hexdigest()
     assert all((r["items_sha256"] == empty) == (r["n_items"] == 0) for r in rows)
+
+
+def some_words(n, seed):
+    pick = random.Random(seed)
+    return " ".join(f"w{int(pick.paretovariate(0.5)) % 100_000}" for _ in range(n))
+
+
+def test_index_rows_and_row_groups_are_small(spark):
+    pick = random.Random(1)
+    docs = spark.createDataFrame([(i, " ".join(f"w{pick.randrange(100_000)}" for _ in range(2000))) for i in range(800)], "doc_id long, text string").coalesce(1)
+    index = decontaminate.positional_index(docs)
+    binary = [f.name for f in index.schema if f.dataType.simpleString() == "binary"]
+    sizes = [sum(r) for r in index.select(*[F.octet_length(c) for c in binary]).collect()]
+    assert len(sizes) > 10 and max(sizes) < 700_000
+    files = [pq.ParquetFile(f.removeprefix("file://")).metadata for f in index.inputFiles()]
+    groups = [f.row_group(i).total_byte_size for f in files for i in range(f.num_row_groups)]
+    assert sum(groups) > 4_000_000 and max(groups) < 4_500_000 + max(sizes)
+
+
+def test_stored_segments_are_the_built_ones(spark):
+    texts = [some_words(3000, 1), "", None, "a", some_words(20, 2)]
+    for some in (texts, [None, ""]):
+        frame = spark.createDataFrame(list(enumerate(some)), "doc_id long, text string").coalesce(1)
+        one = decontaminate.positional_index(frame).toArrow().combine_chunks().to_batches()[0]
+        built, n_words = decontaminate.segment_of(pa.array(some, pa.string()))
+        again = decontaminate.Segment.stored(one, one.column("n_words").flatten().to_numpy())
+        assert n_words.tolist() == [len(words(t)) for t in some]
+        assert all((getattr(built, c) == getattr(again, c)).all() and getattr(built, c).dtype == getattr(again, c).dtype for c in ("terms", "starts", "positions", "first"))
+
+
+def test_pieces_give_the_same(monkeypatch):
+    segment, _ = decontaminate.segment_of(pa.array([some_words(4000, 1), "a a a a b a", some_words(4000, 1)]))
+    items = [some_words(4000, 1)[500:3000], "a", "a b", "b a", "nowhere a", some_words(40, 9), "a a a a b a"]
+    windows = decontaminate.Windows.of(pa.table({"item_id": range(len(items)), "text": items}), 13)
+    for slack in (0, 2):
+        whole = sorted(zip(*map(np.ndarray.tolist, decontaminate.find(segment, windows, slack))))
+        with monkeypatch.context() as m:
+            m.setattr(decontaminate, "RANKED", 5)
+            m.setattr(decontaminate, "CANDIDATES", 3)
+            assert sorted(zip(*map(np.ndarray.tolist, decontaminate.find(segment, windows, slack)))) == whole and len(whole) > 100
+
+
+def test_frequent_words_are_bounded_in_memory():
+    segment, _ = decontaminate.segment_of(pa.array(["a " * 50_000]))
+    items = ["a"] * 200 + ["a a b"] * 200
+    windows = decontaminate.Windows.of(pa.table({"item_id": range(400), "text": items}), 13)
+    tracemalloc.start()
+    assert sum(len(place) for _, place in decontaminate.matches(segment, windows)) == 200 * 50_000
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 60_000_000
