@@ -2,6 +2,7 @@
 
 import math
 import random
+import tracemalloc
 import zlib
 from collections import Counter, defaultdict
 
@@ -10,7 +11,7 @@ import pyarrow as pa
 import pytest
 
 from tests.llm.conftest import SF, odd_rows
-from tidemark.llm import charmodel, language, toxicity
+from tidemark.llm import arrays, charmodel, language, minhash, toxicity
 
 SF_LARGER = "/root/testdata/sf0.01"
 
@@ -184,3 +185,39 @@ def test_spans_stay_inside_texts():
 
     got = toxicity.compared(Plain(), pa.array(["a b c d e f g", None, "a b", "x", "", "a b c d e"]))
     assert got.tolist() == [[3, 4, 6], [0, 0, 0], [7.5, 7.5, 8], [9, 9, 9], [0, 0, 0], [12, 12, 14]]
+
+
+class _Held:
+    def __init__(self, value):
+        self.value = value
+
+
+def _working_memory():
+    """Per task function of the pipeline's first stages: MB at most in hand over one batch of 2.4 MB of text."""
+    pick = random.Random(3)
+    vocabulary = ["".join(pick.choices("abcdefghijklmnopqrstuvwxyz", k=pick.randrange(2, 9))) for _ in range(300)]
+    texts = [" ".join(pick.choices(vocabulary, k=400)) for _ in range(1000)]
+    numbers = pa.array(range(len(texts)))
+    batch = pa.record_batch([numbers, numbers, pa.array(texts), pa.array([i % 2 for i in range(len(texts))], pa.int32())], ["doc_id", "same", "text", "cls"])
+    level = lambda: charmodel.Level(np.zeros(1, np.uint32), np.zeros((1, 2), np.float32), np.zeros(1, np.uint32), np.zeros((1, 2), np.float32))
+    characters = charmodel.CharModel([level() for _ in range(4)], 2, -3.0)
+    characters.levels[-1].index(characters.bits)
+    charmodel.folded()
+    judge = toxicity.Judge([0.0, 0.0, 0.0, 1.0], [-1e9], [0.0])
+    known = toxicity.WordModel(np.arange(3, dtype=np.uint64), np.ones((3, 3), np.int32), [3.0, 3.0], [[0.0, 0.5, 0.5, 0.5]] * 2, [0.5, 0.5], 6.0, 3.0)
+    for name, task in (
+        ("gram counts", charmodel._Counter(4)), ("languages", language._Measure(_Held(characters), ["doc_id"])), ("word counts", toxicity._count),
+        ("toxicity", toxicity._Compare(_Held(known), ["doc_id"], False, judge)), ("sketches", minhash._sketch),
+    ):
+        arrays._POWERS.__init__()
+        tracemalloc.start()
+        for _ in task(iter([batch])):
+            pass
+        yield name, tracemalloc.get_traced_memory()[1] / 1e6
+        tracemalloc.stop()
+
+
+def test_a_worker_holds_little_beside_its_batch():
+    """A batch may hold tens of MB of text; what a worker computes over it at once must not follow."""
+    most = dict(_working_memory())
+    assert all(mb < 40 for mb in most.values()), most

@@ -23,8 +23,8 @@ from tidemark.llm.tables import stored
 
 BITS = 22
 _STEP = np.uint64(0x5851F42D4C957F2D)
-#: Bytes of text that are in hand at once; every order has a hash of each symbol.
-SLICE = 1_000_000
+#: Bytes of text that are in hand at once; a symbol takes some 200 bytes of hashes, places and log-probabilities meanwhile.
+SLICE = 250_000
 #: Counts a task gathers before it hands them on.
 _HELD = 600_000
 #: Rows handed on together.
@@ -123,9 +123,10 @@ class _Counter:
 
 
 def _added(held: list[tuple[np.ndarray, ...]]) -> tuple[np.ndarray, ...]:
-    keys, classes, grams, n = (np.concatenate(x) for x in zip(*held))
-    keys, first, inverse = np.unique(keys, return_index=True, return_inverse=True)
-    return keys, classes[first], grams[first], np.bincount(inverse, n, len(keys)).astype(np.int64)
+    keys, classes, grams, n = zip(*held)
+    keys, first, inverse = np.unique(np.concatenate(keys), return_index=True, return_inverse=True)
+    # One joined column at a time.
+    return keys, np.concatenate(classes)[first], np.concatenate(grams)[first], np.bincount(inverse, np.concatenate(n), len(keys)).astype(np.int64)
 
 
 class _Hasher:
